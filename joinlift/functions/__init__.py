@@ -1,5 +1,5 @@
 from joinlift.functions.exprs import (  # noqa: F401
-    finite, hash32, max_modulus, order_of_magnitude, unbiased_kurtosis, unbiased_skewness,
+    finite, hash32, max_modulus, order_of_magnitude, pearson, unbiased_kurtosis, unbiased_skewness,
 )
 from joinlift.functions.spread import (  # noqa: F401
     attach, average_ranks, cumulate, group_median, hash_order, materialise, positions, shared_dir,

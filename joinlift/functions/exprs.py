@@ -45,3 +45,10 @@ def order_of_magnitude(v: Column) -> Column:
 
 def zero_if_undefined(v: Column) -> Column:
     return F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0))
+
+
+def pearson(x: str, y: str) -> Column:
+    """Aggregate: Pearson correlation, null where a side is constant (``corr`` raises in ANSI mode)."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col(x))) * F.stddev_pop(F.when(both, F.col(y)))
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))

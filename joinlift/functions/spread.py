@@ -10,6 +10,7 @@ The sample is chosen by hash, so a lost and re-run task sees the same ranges.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,9 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write once, read many: for a costly intermediate with several consumers."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write once, read many: for a costly intermediate with several consumers.
+
+    A Parquet table in the shared folder survives lost executors, and later steps read only
+    the columns they need and know its size.
+    """
+    path = f"{shared_dir(df.sparkSession)}/joinlift-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def attach(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], spread: Sequence[str],
@@ -115,7 +121,7 @@ def cumulate(rows: DataFrame, group: Sequence[str], order: Sequence[str],
             *[F.sum(f"__w_{k}").over(whole).alias(f"{k}_total") for k in sums]).drop(*drop)
 
     ranged = _in_ranges(materialise(marked), group, order, split_rows, slots)
-    ranged = materialise(ranged.repartition(*group, "__range"))
+    ranged = materialise(ranged)
     in_group = Window.partitionBy(*group)
     offsets = (ranged.groupBy(*group, "__range")
                .agg(*[F.sum(f"__w_{k}").alias(f"__r_{k}") for k in sums]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from joinlift.functions import attach, average_ranks, cumulate, materialise, max_modulus
+from joinlift.functions import attach, average_ranks, cumulate, materialise, max_modulus, pearson
 from joinlift.functions.exprs import zero_if_undefined
 from joinlift.schema import ASSOCIATION_FEATURES, PAIR
 
@@ -48,7 +48,7 @@ def linear(rows: DataFrame, group: list[str] = GROUP) -> DataFrame:
     """Pearson (0 where a side is constant) and sample covariance; one partial aggregation."""
     return rows.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"),
-        zero_if_undefined(F.corr("x", "y")).alias("pearson"),
+        zero_if_undefined(pearson("x", "y")).alias("pearson"),
         F.covar_samp("x", "y").alias("covariance"))
 
 
@@ -192,7 +192,7 @@ def within_dataset(cells: DataFrame, max_columns: int = 100) -> DataFrame:
 
 def correlation_of(rows: DataFrame, x: str, y: str, group: list[str] | None = None) -> DataFrame:
     """Pearson between two columns of the instance table."""
-    return rows.groupBy(*(group or [])).agg(F.corr(x, y).alias("pearson"),
+    return rows.groupBy(*(group or [])).agg(pearson(x, y).alias("pearson"),
                                             F.count(F.lit(1)).alias("n"))
 
 
