@@ -57,7 +57,8 @@ def attach(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], spread: S
     return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
-def _has_large_group(rows: DataFrame, group: Sequence[str], split_rows: int) -> bool:
+def has_large_group(rows: DataFrame, group: Sequence[str], split_rows: int) -> bool:
+    """A count per group, so that windows are used only behind a check of their size."""
     sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
     return bool(sizes.where(F.col("__n") > split_rows).select(F.lit(1)).take(1))
 
@@ -112,7 +113,7 @@ def cumulate(rows: DataFrame, group: Sequence[str], order: Sequence[str],
     def before(w):
         return w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
-    if not _has_large_group(marked, group, split_rows):
+    if not has_large_group(marked, group, split_rows):
         w = Window.partitionBy(*group)
         whole = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         return marked.select(

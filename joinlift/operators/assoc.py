@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from joinlift.functions import attach, average_ranks, cumulate, materialise, max_modulus, pearson
 from joinlift.functions.exprs import zero_if_undefined
+from joinlift.functions.spread import SPLIT_ROWS, has_large_group
 from joinlift.schema import ASSOCIATION_FEATURES, PAIR
 
 GROUP = [*PAIR, "col"]
@@ -18,25 +20,41 @@ def aligned(pairs: DataFrame, cells: DataFrame, impute: str | None = "mean") ->
 
     With ``impute='mean'`` every query row takes part and a missing x is the mean of the matched
     ones (0 where nothing matches); with ``None`` only matched rows take part.
+
+    The join runs on whole candidate rows (one array of cells per key), not on single cells.
     """
-    y = pairs.select(*PAIR).join(
-        cells.select(F.col("dataset_id").alias("query_id"), F.col("col").alias("target"),
-                     "row_key", F.col("v").alias("y")), ["query_id", "target"])
-    x = pairs.select(*PAIR).join(
-        cells.select(F.col("dataset_id").alias("candidate_id"), "col", "row_key",
-                     F.col("v").alias("x")), "candidate_id")
+    if impute not in ("mean", None):
+        raise ValueError(f"unknown imputation {impute!r}")
+    pairs = pairs.select(*PAIR).distinct()
+    y = pairs.join(
+        cells.where("v is not null").select(
+            F.col("dataset_id").alias("query_id"), F.col("col").alias("target"), "row_key",
+            F.col("v").alias("y")), ["query_id", "target"])
+    used = pairs.select(F.col("candidate_id").alias("dataset_id")).distinct()
+    theirs = cells.join(used, "dataset_id", "left_semi").withColumnRenamed(
+        "dataset_id", "candidate_id")
+    rows = theirs.where("v is not null").groupBy("candidate_id", "row_key").agg(
+        F.collect_list(F.struct("col", F.col("v").alias("x"))).alias("xs"))
     own_target = (F.col("candidate_id") == F.col("query_id")) & (F.col("col") == F.col("target"))
-    x = x.where(~own_target).select(*GROUP, "row_key", "x")
     if impute is None:
-        return y.where("y is not null").join(x.where("x is not null"), [*PAIR, "row_key"]).select(
+        met = y.join(rows, ["candidate_id", "row_key"])
+        return met.select(*PAIR, "row_key", "y", F.inline("xs")).where(~own_target).select(
             *GROUP, "row_key", "x", "y")
-    if impute != "mean":
-        raise ValueError(f"unknown imputation {impute!r}")
-    matched = y.join(x, [*PAIR, "row_key"]).groupBy(*GROUP).agg(F.avg("x").alias("m"))
-    cols = x.select(*GROUP).distinct().join(matched, GROUP, "left")
-    frame = attach(y.where("y is not null"), cols, PAIR, ["row_key"], how="inner")
-    return frame.join(x, [*GROUP, "row_key"], "left").select(
-        *GROUP, "row_key", F.coalesce("x", "m", F.lit(0.0)).alias("x"), "y")
+    met = y.join(rows, ["candidate_id", "row_key"], "left")
+    means = met.select(*PAIR, F.inline("xs")).groupBy(*GROUP).agg(F.avg("x").alias("m"))
+    columns = pairs.join(theirs.select("candidate_id", "col").distinct(), "candidate_id").where(
+        ~own_target).join(means, GROUP, "left")
+    per_pair = columns.groupBy(*PAIR).agg(F.collect_list(F.struct("col", "m")).alias("ms"))
+    full = attach(met, per_pair, PAIR, ["row_key"], how="inner")
+
+    def filled(m):
+        found = F.filter("xs", lambda e: e["col"] == m["col"])
+        kept = F.transform(found, lambda e: F.struct(m["col"].alias("col"), e["x"].alias("x")))
+        blank = F.array(F.struct(m["col"].alias("col"),
+                                 F.coalesce(m["m"], F.lit(0.0)).alias("x")))
+        return F.when(F.size(kept) > 0, kept).otherwise(blank)
+    return full.select(*PAIR, "row_key", "y", F.inline(
+        F.flatten(F.transform("ms", filled)))).select(*GROUP, "row_key", "x", "y")
 
 
 def own_pairs(queries: DataFrame) -> DataFrame:
@@ -53,21 +71,41 @@ def linear(rows: DataFrame, group: list[str] = GROUP) -> DataFrame:
 
 
 def joint_counts(rows: DataFrame, group: list[str] = GROUP) -> DataFrame:
-    """How often each (x, y) occurs; the shared input of rank and information measures."""
-    return materialise(rows.groupBy(*group, "x", "y").agg(F.count(F.lit(1)).alias("c")))
+    """How often each (x, y) occurs; the input of the rank and information measures."""
+    return rows.groupBy(*group, "x", "y").agg(F.count(F.lit(1)).alias("c"))
 
 
 def _marginal(joint: DataFrame, group: list[str], side: str) -> DataFrame:
     return joint.groupBy(*group, side).agg(F.sum("c").alias("c"))
 
 
+def _ranked_in_place(joint: DataFrame, group: list[str]) -> DataFrame:
+    """Ranks by windows: one shuffle, for groups that fit a task."""
+    g = Window.partitionBy(*group)
+    def rank(side):
+        ties = F.sum("c").over(Window.partitionBy(*group, side))
+        return F.sum("c").over(g.orderBy(side)) - ties + (ties + 1) / 2
+    return joint.select(*group, "c", rank("x").alias("rx"), rank("y").alias("ry"),
+                        F.sum("c").over(g).alias("n"))
+
+
+def _ranked_by_join(joint: DataFrame, group: list[str], **kw) -> DataFrame:
+    """Ranks of the distinct values, found in ranges and joined back: for groups of any size."""
+    joint = materialise(joint)
+    rx = average_ranks(_marginal(joint, group, "x"), group, "x", "c", "rx", "n", **kw).drop("c")
+    ry = average_ranks(_marginal(joint, group, "y"), group, "y", "c", "ry", "ny", **kw).drop("c")
+    # merge joins, which the adaptive planner can split where one value is frequent
+    return joint.join(rx.hint("merge"), [*group, "x"]).join(ry.hint("merge"), [*group, "y"]).select(
+        *group, "c", "rx", "ry", "n")
+
+
 def spearman(joint: DataFrame, group: list[str] = GROUP, **kw) -> DataFrame:
     """Correlation of average ranks; 0 where a side is constant."""
-    rx = average_ranks(_marginal(joint, group, "x"), group, "x", "c", "rx", "nx", **kw).drop("c")
-    ry = average_ranks(_marginal(joint, group, "y"), group, "y", "c", "ry", "ny", **kw).drop("c")
-    both = joint.join(rx, [*group, "x"]).join(ry, [*group, "y"])
-    a = F.col("rx") - (F.col("nx") + 1) / 2   # ranks about their known mean
-    b = F.col("ry") - (F.col("ny") + 1) / 2
+    limit = kw.get("split_rows", SPLIT_ROWS)
+    both = (_ranked_by_join(joint, group, **kw) if has_large_group(joint, group, limit)
+            else _ranked_in_place(joint, group))
+    a = F.col("rx") - (F.col("n") + 1) / 2   # ranks about their known mean
+    b = F.col("ry") - (F.col("n") + 1) / 2
     c = F.col("c")
     parts = both.groupBy(*group).agg(
         F.sum(c * a * b).alias("ab"), F.sum(c * a * a).alias("aa"), F.sum(c * b * b).alias("bb"))
@@ -107,6 +145,7 @@ def discordant_pairs(joint: DataFrame, group: list[str], **kw) -> DataFrame:
     when, at the first digit where their y differ, the row with smaller x has the
     larger digit; one running count per digit finds them, for all digits at once.
     """
+    joint = materialise(joint)
     order = positions_of(_marginal(joint, group, "y"), group, "y", **kw)
     placed = joint.join(order, [*group, "y"])
     # the number of base-16 digits, in whole numbers: a 64-bit count has at most 16
@@ -156,7 +195,8 @@ def kendall(joint: DataFrame, group: list[str] = GROUP, **kw) -> DataFrame:
 def measures(rows: DataFrame, group: list[str] = GROUP, *, norm: str = "geometric",
              with_kendall: bool = False) -> DataFrame:
     """All association measures per column."""
-    joint = joint_counts(rows, group)
+    rows = materialise(rows)
+    joint = materialise(joint_counts(rows, group))
     out = (linear(rows, group).join(spearman(joint, group), group)
            .join(normalised_mutual_information(joint, group, norm), group))
     return out.join(kendall(joint, group), group) if with_kendall else out
