@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from joinlift.plans import assoc_queries, lake_queries  # noqa: F401
+from joinlift.plans import assoc_queries, lake_queries, pair_queries  # noqa: F401
 from joinlift.plans.registry import ORACLES, QUERIES  # noqa: F401
