@@ -94,12 +94,12 @@ def _in_ranges(rows: DataFrame, group: Sequence[str], order: Sequence[str],
 
 
 def cumulate(rows: DataFrame, group: Sequence[str], order: Sequence[str],
-             sums: Mapping[str, Column], *, split_rows: int | None = None,
+             sums: Mapping[str, Column], *, totals: bool = True, split_rows: int | None = None,
              slots: int | None = None) -> DataFrame:
     """Exclusive running sums inside each group, in ascending ``order``.
 
     For every name in ``sums`` the result gains ``name`` (sum over the rows before)
-    and ``name_total`` (sum over the group). Give whole numbers: they add up
+    and, with ``totals``, ``name_total`` (sum over the group). Give whole numbers: they add up
     the same way in any order. ``order`` should be unique inside a group.
     """
     split_rows = SPLIT_ROWS if split_rows is None else split_rows
@@ -119,7 +119,7 @@ def cumulate(rows: DataFrame, group: Sequence[str], order: Sequence[str],
         return marked.select(
             "*",
             *[F.coalesce(F.sum(f"__w_{k}").over(before(w)), F.lit(0)).alias(k) for k in sums],
-            *[F.sum(f"__w_{k}").over(whole).alias(f"{k}_total") for k in sums]).drop(*drop)
+            *[F.sum(f"__w_{k}").over(whole).alias(f"{k}_total") for k in sums if totals]).drop(*drop)
 
     ranged = _in_ranges(materialise(marked), group, order, split_rows, slots)
     ranged = materialise(ranged)
@@ -132,7 +132,7 @@ def cumulate(rows: DataFrame, group: Sequence[str], order: Sequence[str],
         *[F.coalesce(F.sum(f"__r_{k}").over(
             in_group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
           .alias(f"__o_{k}") for k in sums],
-        *[F.sum(f"__r_{k}").over(in_group).alias(f"{k}_total") for k in sums])
+        *[F.sum(f"__r_{k}").over(in_group).alias(f"{k}_total") for k in sums if totals])
     w = Window.partitionBy(*group, "__range")
     local = ranged.repartition(*group, "__range").select(
         "*", *[F.coalesce(F.sum(f"__w_{k}").over(before(w)), F.lit(0)).alias(f"__l_{k}")

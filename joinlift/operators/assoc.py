@@ -161,13 +161,13 @@ def discordant_pairs(joint: DataFrame, group: list[str], **kw) -> DataFrame:
     per_x = digits.groupBy(*node, "x").agg(*[
         F.sum(F.when(F.col("digit") == d, F.col("c")).otherwise(0)).alias(f"d{d}")
         for d in range(RADIX)])
-    run = cumulate(per_x, node, ["x"], {f"b{d}": F.col(f"d{d}") for d in range(RADIX)}, **kw)
-    larger = F.lit(0).cast("decimal(38,0)")
-    found = F.lit(0).cast("decimal(38,0)")
+    run = cumulate(per_x, node, ["x"], {f"b{d}": F.col(f"d{d}") for d in range(1, RADIX)},
+                   totals=False, **kw)
+    larger, found = F.lit(0.0), F.lit(0.0)
     for d in range(RADIX - 2, -1, -1):
         larger = larger + F.col(f"b{d + 1}")
         found = found + F.col(f"d{d}") * larger
-    return run.groupBy(*group).agg(F.sum(found.cast("decimal(38,0)")).alias("discordant"))
+    return run.groupBy(*group).agg(F.sum(found).alias("discordant"))
 
 
 def positions_of(values: DataFrame, group: list[str], value: str, **kw) -> DataFrame:
@@ -178,8 +178,8 @@ def positions_of(values: DataFrame, group: list[str], value: str, **kw) -> DataF
 def kendall(joint: DataFrame, group: list[str] = GROUP, **kw) -> DataFrame:
     """Kendall tau-b; 0 where a side is constant."""
     def ties(counts, name):
-        c = F.col("c").cast("decimal(38,0)")
-        return counts.groupBy(*group).agg(F.sum(c * (c - 1)).cast("double").alias(name))
+        c = F.col("c").cast("double")
+        return counts.groupBy(*group).agg(F.sum(c * (c - 1)).alias(name))
     n = joint.groupBy(*group).agg(F.sum("c").cast("double").alias("n"))
     parts = (n.join(discordant_pairs(joint, group, **kw), group)
              .join(ties(_marginal(joint, group, "x"), "tx"), group)
@@ -187,7 +187,7 @@ def kendall(joint: DataFrame, group: list[str] = GROUP, **kw) -> DataFrame:
              .join(ties(joint, "txy"), group))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     tx, ty, txy = (F.col(t) / 2 for t in ("tx", "ty", "txy"))
-    diff = pairs - tx - ty + txy - 2 * F.col("discordant").cast("double")
+    diff = pairs - tx - ty + txy - 2 * F.col("discordant")
     scale = F.nullif(F.sqrt((pairs - tx) * (pairs - ty)), F.lit(0.0))
     return parts.select(*group, zero_if_undefined(diff / scale).alias("kendall"))
 

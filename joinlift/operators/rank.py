@@ -180,23 +180,26 @@ def ranking_report(rows: DataFrame, scores: Mapping[str, str], gain: str = "gain
     Kendall tau and R-precision are averaged over the queries where they exist for all rankings.
     """
     group = list(group)
-    ranked = materialise(rank_candidates(rows, {"real_rank": gain, **{
-        f"rank_{n}": s for n, s in scores.items()}}, group, **kw))
-    parts = []
-    for name in scores:
-        pred = f"rank_{name}"
-        one = (precision_at(ranked, 1, pred, group=group)
-               .withColumnRenamed("precision_at_k", "precision_at_1")
-               .join(precision_at(ranked, 5, pred, group=group)
-                     .withColumnRenamed("precision_at_k", "precision_at_5"), group)
-               .join(average_precision(ranked, pred, group=group, **kw), group)
-               .join(ndcg(ranked, pred=pred, group=group), group)
-               .join(r_precision(ranked, gain, pred, group), group)
-               .join(kendall_of_rankings(ranked, pred, group=group, **kw), group))
-        parts.append(one.withColumn("ranking", F.lit(name)))
-    everything = parts[0]
-    for p in parts[1:]:
-        everything = everything.unionByName(p)
+    real = rank_by(rows, gain, "real_rank", group, **kw).withColumnRenamed("real_rank_total", "n")
+    # one list per (ranking, query), so that every measure below is computed once for all
+    each = real.select(*group, "candidate_id", F.col(gain).alias("__gain"), "real_rank", "n",
+                       F.explode(F.array(*[
+                           F.struct(F.lit(name).alias("ranking"),
+                                    F.col(score).cast("double").alias("score"))
+                           for name, score in scores.items()])).alias("e")).select(
+        "*", "e.*").drop("e")
+    lists = ["ranking", *group]
+    ranked = materialise(rank_by(each, "score", "pred_rank", lists, **kw))
+    simple = ranked.groupBy(*lists).agg(
+        F.count_if((F.col("real_rank") <= 1) & (F.col("pred_rank") <= 1)).cast("double")
+        .alias("precision_at_1"))
+    everything = (
+        simple.join(precision_at(ranked, 5, group=lists)
+                    .withColumnRenamed("precision_at_k", "precision_at_5"), lists)
+        .join(average_precision(ranked, group=lists, **kw), lists)
+        .join(ndcg(ranked, group=lists), lists)
+        .join(r_precision(ranked, "__gain", group=lists), lists)
+        .join(kendall_of_rankings(ranked, group=lists, **kw), lists))
     everything = materialise(everything)
     whole = everything.groupBy(*group).agg(
         F.count("kendall_tau").alias("kt"), F.count("r_precision").alias("rp"))

@@ -481,10 +481,10 @@ _CURVES = (
         f"count(*) OVER (PARTITION BY {Q}) AS nr FROM s WHERE {w}" for n, (w, sc) in _RECIPES.items())
     + f"), x AS (SELECT p.*, rr, np, n1 FROM p JOIN ok USING ({Q}) LEFT JOIN rr USING ({PKEY})), "
     "k AS (SELECT unnest(range(51))::INTEGER AS k), "
-    f"c AS (SELECT {Q}, recipe, k, least(k, any_value(nr)) AS got, any_value(np) AS np, least(k, any_value(n1)) AS m, any_value(nr) AS nr, "
+    f"c AS (SELECT {Q}, recipe, k, least(k, nr) AS got, np, least(k, n1) AS m, nr, "
     "count(*) FILTER (rr IS NOT NULL AND pr <= k) AS h, "
     "count(*) FILTER (gain > 1 AND greatest(rr, pr) <= least(k, n1)) AS h1, count(*) FILTER (gain > 0 AND greatest(rr, pr) <= k) AS h0 "
-    "FROM x, k WHERE pr <= 50 OR pr = 1 GROUP BY ALL) SELECT recipe, k, " + ", ".join(
+    f"FROM x, k WHERE pr <= 50 GROUP BY {Q}, recipe, k, nr, np, n1) SELECT recipe, k, " + ", ".join(
         f"{rs(f'avg({e})', 8)} AS {n}" for n, e in {
             "precision": "h / nullif(got, 0)", "recall": "CASE WHEN got > 0 THEN h / np END",
             "strict_r_precision": "h1 / nullif(least(m, nr), 0)", "r_recall": "h0 / nullif(got, 0)"}.items())
