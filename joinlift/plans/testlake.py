@@ -252,3 +252,30 @@ FROM (SELECT *, (after - before) / abs(nullif(before, 0)) AS gain, (o % 101) / 1
                   FROM lineitem GROUP BY 1, 2)))
 """
 SCORED_SQL = f"SELECT * FROM ({INSTANCES_SQL}) WHERE gain IS NOT NULL"
+
+
+# ---- a lake of many queries: the customers of each nation -------------------------------------
+
+CANDIDATES = ("cust_orders", "user_events")
+
+
+def nation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query dataset per nation (target ``c_acctbal``) and every candidate column by itself."""
+    wide = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("nation/"), F.col("c_nationkey").cast("string")).alias("dataset_id"),
+        F.col("c_custkey").cast("string").alias("row_key"),
+        F.col("c_acctbal"), F.ascii("c_mktsegment").cast("double").alias("segment"))
+    bases = wide.unpivot(["dataset_id", "row_key"], ["c_acctbal", "segment"], "col", "v")
+    return bases.unionByName(single_cells(spark, sf_dir, *CANDIDATES))
+
+
+def nation_pairs(cells_: DataFrame) -> DataFrame:
+    """Every nation with every candidate column: both lists are as short as the schema."""
+    names = cells_.select("dataset_id").distinct()
+    is_base = F.col("dataset_id").startswith("nation/")
+    columns = F.array(*[F.lit(f"{d}/{c}") for d, cs in {
+        "cust_orders": ("n_orders", "sum_price", "max_price", "avg_price"),
+        "user_events": ("n_events", "sum_value", "max_value")}.items() for c in cs])
+    return names.where(is_base).select(
+        F.col("dataset_id").alias("query_id"), F.lit("c_acctbal").alias("target"),
+        F.explode(columns).alias("candidate_id"))
