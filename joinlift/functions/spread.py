@@ -57,6 +57,11 @@ def attach(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], spread: S
     return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
+def with_one_row(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """Put the single row of a global aggregate on every row; its size is one by construction."""
+    return rows.join(F.broadcast(one))
+
+
 def has_large_group(rows: DataFrame, group: Sequence[str], split_rows: int) -> bool:
     """A count per group, so that windows are used only behind a check of their size."""
     sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))

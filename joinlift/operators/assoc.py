@@ -33,8 +33,11 @@ def aligned(pairs: DataFrame, cells: DataFrame, impute: str | None = "mean") ->
     used = pairs.select(F.col("candidate_id").alias("dataset_id")).distinct()
     theirs = cells.join(used, "dataset_id", "left_semi").withColumnRenamed(
         "dataset_id", "candidate_id")
-    rows = theirs.where("v is not null").groupBy("candidate_id", "row_key").agg(
-        F.collect_list(F.struct("col", F.col("v").alias("x"))).alias("xs"))
+    # a repeated key is averaged first, so a frequent key never fills an array
+    unique = theirs.where("v is not null").groupBy("candidate_id", "row_key", "col").agg(
+        F.avg("v").alias("x"))
+    rows = unique.groupBy("candidate_id", "row_key").agg(
+        F.collect_list(F.struct("col", "x")).alias("xs"))
     own_target = (F.col("candidate_id") == F.col("query_id")) & (F.col("col") == F.col("target"))
     if impute is None:
         met = y.join(rows, ["candidate_id", "row_key"])
@@ -48,13 +51,10 @@ def aligned(pairs: DataFrame, cells: DataFrame, impute: str | None = "mean") ->
     full = attach(met, per_pair, PAIR, ["row_key"], how="inner")
 
     def filled(m):
-        found = F.filter("xs", lambda e: e["col"] == m["col"])
-        kept = F.transform(found, lambda e: F.struct(m["col"].alias("col"), e["x"].alias("x")))
-        blank = F.array(F.struct(m["col"].alias("col"),
-                                 F.coalesce(m["m"], F.lit(0.0)).alias("x")))
-        return F.when(F.size(kept) > 0, kept).otherwise(blank)
-    return full.select(*PAIR, "row_key", "y", F.inline(
-        F.flatten(F.transform("ms", filled)))).select(*GROUP, "row_key", "x", "y")
+        found = F.get(F.filter("xs", lambda e: e["col"] == m["col"]), F.lit(0))["x"]
+        return F.struct(m["col"].alias("col"), F.coalesce(found, m["m"], F.lit(0.0)).alias("x"))
+    return full.select(*PAIR, "row_key", "y", F.inline(F.transform("ms", filled))).select(
+        *GROUP, "row_key", "x", "y")
 
 
 def own_pairs(queries: DataFrame) -> DataFrame:
@@ -221,7 +221,9 @@ def within_dataset(cells: DataFrame, max_columns: int = 100) -> DataFrame:
     if wide.where(F.col("k") > max_columns).take(1):
         raise ValueError(f"a dataset has over {max_columns} columns; raise max_columns to accept "
                          "the square of that many column pairs")
-    row = cells.where("v is not null").groupBy("dataset_id", "row_key").agg(
+    unique = cells.where("v is not null").groupBy("dataset_id", "row_key", "col").agg(
+        F.avg("v").alias("v"))
+    row = unique.groupBy("dataset_id", "row_key").agg(
         F.sort_array(F.collect_list(F.struct("col", "v"))).alias("vs"))
     a = row.select("dataset_id", "row_key", "vs", F.posexplode("vs").alias("i", "a"))
     b = a.select("dataset_id", "row_key", "a",

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joinlift.functions import attach, finite, group_median
+from joinlift.functions import attach, finite, group_median, with_one_row
 
 MAD_TO_SD = 1.4826   # fixed value: scales the median absolute deviation to a standard deviation
 
@@ -15,7 +15,7 @@ MAD_TO_SD = 1.4826   # fixed value: scales the median absolute deviation to a st
 def _meet(rows: DataFrame, stats: DataFrame, group: Sequence[str], spread: Sequence[str]):
     """Put group statistics on the rows; without a group the statistics are one row."""
     if not group:
-        return rows.join(stats)
+        return with_one_row(rows, stats)
     return attach(rows, stats, group, spread)
 
 

@@ -162,7 +162,7 @@ def negative_pairs(datasets: DataFrame, max_columns: int, per_query: int,
     """
     cands = datasets.select(
         "candidate_id", F.col("source").alias("c_source"), F.col("n_candidate_cols").alias("w"),
-        F.md5("source").alias("h")).distinct()
+        F.md5("source").alias("h")).where(F.col("w") < max_columns).distinct()
     numbered = materialise(positions(cands, [], ["w", "h", "candidate_id"], pos="at").drop(
         "at_total"))
     # one row per column count: where the prefix of that width ends
@@ -172,9 +172,10 @@ def negative_pairs(datasets: DataFrame, max_columns: int, per_query: int,
         F.min("at").alias("a"), F.count(F.lit(1)).alias("len"))
     queries = datasets.select("source", "query_id", "n_query_cols").distinct().withColumn(
         "budget", F.lit(max_columns) - F.col("n_query_cols"))
-    ends = (queries.select("budget").distinct()
-            .join(widths, F.col("w") <= F.col("budget"), "left")
-            .groupBy("budget").agg(F.coalesce(F.max("prefix_end"), F.lit(0)).alias("end")))
+    # at most max_columns budgets, each with at most as many widths
+    ends = (queries.where("budget >= 1").select("budget").distinct()
+            .withColumn("w", F.explode(F.sequence(F.lit(1), "budget")))
+            .join(widths, "w").groupBy("budget").agg(F.max("prefix_end").alias("end")))
     own = runs.groupBy("source").agg(
         F.sort_array(F.collect_list(F.struct("a", "len", "w"))).alias("runs"))
     q = queries.join(ends, "budget").join(own, "source", "left")

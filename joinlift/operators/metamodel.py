@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -16,6 +17,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from joinlift.functions import hash32, with_one_row
 from joinlift.operators.impute import drop_z_outliers
 from joinlift.operators.report import classification_report, prediction_errors
 from joinlift.operators.splits import folds
@@ -23,12 +25,18 @@ from joinlift.schema import MODEL_FEATURES, PAIR
 
 TREES = 100
 DEPTH = 10
-FIT_PARTITIONS = 64
+ROWS_PER_PARTITION = 100_000
+MAX_PARTITIONS = 10_000
 
 
 def in_fixed_order(rows: DataFrame, key: Sequence[str] = PAIR,
-                   partitions: int = FIT_PARTITIONS) -> DataFrame:
-    """The same rows in the same partitions on every run: forests draw per partition."""
+                   partitions: int | None = None) -> DataFrame:
+    """The same rows in the same partitions on every run: forests draw per partition.
+
+    The number of partitions follows the number of rows alone, not the cluster.
+    """
+    if partitions is None:
+        partitions = min(MAX_PARTITIONS, max(1, math.ceil(rows.count() / ROWS_PER_PARTITION)))
     return rows.repartition(partitions, *key).sortWithinPartitions(*key)
 
 
@@ -63,7 +71,11 @@ def _fit(rows: DataFrame, features: Sequence[str], label: Column, estimator, sca
     else:
         stages[0].setOutputCol("features")
     data = rows.na.fill(0.0, list(features)).withColumn("label", label.cast("double"))
-    return Pipeline(stages=[*stages, estimator]).fit(in_fixed_order(data, key))
+    ready = in_fixed_order(data.select(*key, *features, "label"), key).persist()
+    try:
+        return Pipeline(stages=[*stages, estimator]).fit(ready)
+    finally:
+        ready.unpersist()
 
 
 def train_classifier(rows: DataFrame, features: Sequence[str] = MODEL_FEATURES,
@@ -159,7 +171,7 @@ def cross_validate(rows: DataFrame, k: int, features: Sequence[str], target: str
             save(model, f"{save_to}/fold={fold}")
         predicted = apply_regressor(model, test, features, "predicted")
         spread = predicted.agg(F.var_pop(target).alias("v"))
-        errors = prediction_errors(predicted, target, "predicted").join(spread).select(
+        errors = with_one_row(prediction_errors(predicted, target, "predicted"), spread).select(
             F.lit(fold).alias("fold"), "n", "mse", "smape",
             (1 - F.col("mse") / F.nullif(F.col("v"), F.lit(0.0))).alias("r2"))
         models.append(model)
@@ -197,7 +209,7 @@ def nearest_centroid(train: DataFrame, test: DataFrame, features: Sequence[str],
             d = F.col(f) - F.col(f"__{i}_{f}")
             total = total + d * d
         return total
-    met = test.join(centres)   # one row of means
+    met = with_one_row(test, centres)
     return met.withColumn("pred", F.when(distance(0) < distance(1), positive).otherwise(
         negative)).drop(*[f"__{i}_{f}" for i in (0, 1) for f in features])
 
@@ -206,7 +218,6 @@ def transfer(train: Mapping[str, DataFrame], test: Mapping[str, DataFrame],
              features: Sequence[str], mix: float = 0.0, label: str = "class", **kw) -> DataFrame:
     """Train on each corpus and report on each other; ``mix`` adds that share of the test corpus
     to the training rows (and takes it out of the test rows)."""
-    from joinlift.functions import hash32
     out = None
     for a, rows in train.items():
         for b, other in test.items():

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from joinlift.functions import attach, max_modulus, unbiased_kurtosis, unbiased_skewness
+from joinlift.functions import (
+    attach, max_modulus, unbiased_kurtosis, unbiased_skewness, with_one_row,
+)
 from joinlift.schema import PROFILE_FEATURES
 
 OUTLIER_Z = 3.0
@@ -100,7 +102,7 @@ def histogram(rows: DataFrame, group: list[str], value: str, bins: int,
     if low is None or high is None:
         ends = clean.groupBy(*group).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
         counted = (attach(counted, ends, group, ["__v"], how="inner") if group
-                   else counted.join(ends))
+                   else with_one_row(counted, ends))
     else:
         counted = counted.withColumns({"__lo": F.lit(low).cast("double"),
                                        "__hi": F.lit(high).cast("double")})
@@ -110,7 +112,7 @@ def histogram(rows: DataFrame, group: list[str], value: str, bins: int,
     place = F.coalesce(F.least(place, F.lit(bins)), F.lit(1)).cast("long")
     filled = counted.groupBy(*group, place.alias("bin")).agg(F.sum("__c").alias("n"))
     totals = filled.groupBy(*group).agg(F.sum("n").alias("__t"))
-    joined = filled.join(totals, group) if group else filled.join(totals)
+    joined = filled.join(totals, group) if group else with_one_row(filled, totals)
     return joined.select(*group, "bin", "n", (F.col("n") / F.col("__t")).alias("share"))
 
 

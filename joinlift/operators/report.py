@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joinlift.functions import group_median
+from joinlift.functions import group_median, with_one_row
 from joinlift.operators.impute import drop_mad_outliers, drop_z_outliers
 from joinlift.operators.labels import QUERY
 from joinlift.operators.profile import histogram
@@ -99,8 +99,8 @@ def candidates_per_query(rows: DataFrame, group: Sequence[str] = QUERY) -> DataF
     """Mean and median number of candidates."""
     sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("c"))
     mean = sizes.agg(F.count(F.lit(1)).alias("n_queries"), F.avg("c").alias("mean_candidates"))
-    return mean.join(group_median(sizes.withColumn("one", F.lit(1)), ["one"], "c",
-                                  "median_candidates").drop("one"))
+    middle = group_median(sizes.withColumn("one", F.lit(1)), ["one"], "c", "median_candidates")
+    return with_one_row(mean, middle.drop("one"))
 
 
 def prediction_errors(rows: DataFrame, real: str, predicted: str, group: Sequence[str] = ()):
@@ -122,7 +122,7 @@ def error_distributions(rows: DataFrame, real: str, predicted: str,
     if not normalise:
         return out
     tops = out.agg(F.max("squared_error").alias("__a"), F.max("sape").alias("__b"))
-    return out.join(tops).withColumns({
+    return with_one_row(out, tops).withColumns({
         "squared_error": F.col("squared_error") / F.nullif(F.col("__a"), F.lit(0.0)),
         "sape": F.col("sape") / F.nullif(F.col("__b"), F.lit(0.0))}).drop("__a", "__b")
 

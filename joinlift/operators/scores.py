@@ -18,6 +18,7 @@ from joinlift.functions import attach, group_median, materialise
 from joinlift.operators.splits import hold_out
 from joinlift.schema import PAIR
 
+HELD_NUMBERS = 4_000_000
 MAX_FEATURES = 200   # a pair's sums are a square of this size at most
 ERRORS = ("mae", "mse", "medae", "r2")
 
@@ -68,7 +69,9 @@ def model_rows(pairs: DataFrame, cells: DataFrame, *, inner: bool = False) -> Da
         pairs.select(F.col("candidate_id").alias("dataset_id"))).distinct()
     used = cells.join(ids, "dataset_id", "left_semi")
     columns = used.groupBy("dataset_id").agg(F.sort_array(F.collect_set("col")).alias("cols"))
-    rows = used.groupBy("dataset_id", "row_key").agg(
+    # a repeated key is averaged first, so a frequent key never fills a map
+    unique = used.groupBy("dataset_id", "row_key", "col").agg(F.avg("v").alias("v"))
+    rows = unique.groupBy("dataset_id", "row_key").agg(
         F.map_from_entries(F.collect_list(F.struct("col", "v"))).alias("vs"))
     q_cols = columns.select(F.col("dataset_id").alias("query_id"), F.col("cols").alias("q_cols"))
     c_cols = columns.select(F.col("dataset_id").alias("candidate_id"), F.col("cols").alias("c_cols"))
@@ -95,16 +98,33 @@ def model_rows(pairs: DataFrame, cells: DataFrame, *, inner: bool = False) -> Da
 
 
 def _task_sums(group: list[str]):
-    """Per Arrow batch and group: the sums of products of (1, x..., y)."""
+    """Per task and group: the sums of products of (1, x..., y).
+
+    A task holds at most ``HELD_NUMBERS`` of them before it sends what it has.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+        size = 0
+
+        def flush():
+            return pd.DataFrame([(*k, m.ravel()) for k, m in held.items()],
+                                columns=[*group, "sums"])
         for pdf in batches:
-            out = []
             for key, part in pdf.groupby(group, sort=False, dropna=False):
                 z = np.column_stack([np.ones(len(part)), np.vstack(part["xs"].to_numpy()),
                                      part["y"].to_numpy(dtype=float)])
-                out.append((*key, (z.T @ z).ravel()))
-            if out:
-                yield pd.DataFrame(out, columns=[*group, "sums"])
+                m = z.T @ z
+                if key in held:
+                    held[key] += m
+                else:
+                    held[key] = m
+                    size += m.size
+            if size > HELD_NUMBERS:
+                yield flush()
+                held.clear()
+                size = 0
+        if held:
+            yield flush()
     return run
 
 

@@ -140,7 +140,7 @@ def _r2(train: np.ndarray, test: np.ndarray, idx: Sequence[int]) -> float:
     i = [0, *[j + 1 for j in idx], test.shape[0] - 1]
     residual = w @ test[np.ix_(i, i)] @ w
     total = test[-1, -1] - test[0, -1] ** 2 / test[0, 0]
-    return 1.0 - residual / total if total > 0 else float("-inf")
+    return float(1.0 - residual / total) if total > 0 else float("-inf")
 
 
 def correlated(table: DataFrame, features: Sequence[str], limit: float = CORRELATION_LIMIT) -> list[str]:

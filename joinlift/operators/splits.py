@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from joinlift.functions import attach, hash32, hash_order
+from joinlift.functions import hash32, hash_order, with_one_row
 
 FLOAT_MAX = 3.4028235e38   # fixed value: largest 32-bit float
 TRAIN_PERCENT = 67
@@ -125,7 +125,7 @@ def balance_classes(rows: DataFrame, label: str, key: Sequence[str],
     placed = hash_order(rows, [label], key, seed=seed)
     smallest = rows.groupBy(label).agg(F.count(F.lit(1)).alias("c")).agg(
         F.min("c").alias("__least"))
-    return placed.join(smallest).where("pos < __least").drop("pos", "pos_total", "__least")
+    return with_one_row(placed, smallest).where("pos < __least").drop("pos", "pos_total", "__least")
 
 
 def draw_per_query(rows: DataFrame, n_queries: int, marker: str | None = None,

@@ -62,9 +62,7 @@ def before_after(spark, sf):
 @query("m01_ground_truth_records")
 def ground_truth(spark, sf):
     """Sources -> splits -> positive and negative pairs -> scores -> training records."""
-    return runs.make_ground_truth(lake.sources(spark, sf), {
-        "lineitem": "l_extendedprice", "part": "p_retailprice", "customer": "c_acctbal",
-        "supplier": "s_acctbal"}, max_splits=3, max_columns=10, negatives=2)
+    return runs.make_ground_truth(lake.sources(spark, sf), lake.SOURCE_TARGETS, max_splits=3, max_columns=10, negatives=2)
 
 
 @query("m08_relative_targets")
@@ -167,36 +165,37 @@ def components(spark, sf):
 # ---- pruners on the nations' lake ----------------------------------------------------------------
 
 def _nations(spark, sf):
-    """Pairs, cells, feature vectors and labels; even nations train, odd ones are to be pruned."""
+    """Cells, feature vectors, and the labelled part; even nations train, odd ones are to be pruned."""
     cells = materialise(lake.nation_cells(spark, sf))
-    pairs = materialise(lake.nation_pairs(cells))
-    train = pairs.where("cast(substring(query_id, 8) as int) % 2 = 0")
-    vectors = instances.feature_vectors(train, cells)
+    pairs = materialise(lake.nation_pairs(cells).withColumn(
+        "trains", F.regexp_extract("query_id", "[0-9]+", 0).cast("int") % 2 == 0))
+    vectors = materialise(instances.feature_vectors(pairs.select(*PAIR), cells))
+    train = pairs.where("trains").select(*PAIR)
     truth = scores.relative_targets(scores.before_and_after(train, cells)).withColumnRenamed(
         "gain_in_r2_score", "gain")
     known = materialise(labels.by_threshold(vectors.join(truth, PAIR), out="class"))
-    return pairs.join(train, PAIR, "left_anti"), cells, known
+    return pairs.where("not trains").select(*PAIR), cells, vectors, known
 
 
 @query("u03_classifier_pruner")
 def classifier_pruner(spark, sf):
-    pairs, cells, known = _nations(spark, sf)
+    pairs, _, vectors, known = _nations(spark, sf)
     model = metamodel.train_classifier(known, **SMALL)
-    return prune.by_model(instances.feature_vectors(pairs, cells), metamodel.scorer(model), n=3).select(
+    return prune.by_model(vectors.join(pairs, PAIR, "left_semi"), metamodel.scorer(model), n=3).select(
         *PAIR, "score", "rank")
 
 
 @query("u04_regression_pruner")
 def regression_pruner(spark, sf):
-    pairs, cells, known = _nations(spark, sf)
+    pairs, _, vectors, known = _nations(spark, sf)
     model = metamodel.train_regressor(known, **SMALL)
-    return prune.by_model(instances.feature_vectors(pairs, cells), metamodel.scorer(model, regression=True),
+    return prune.by_model(vectors.join(pairs, PAIR, "left_semi"), metamodel.scorer(model, regression=True),
                           n=3, min_score=float("-inf")).select(*PAIR, "score", "rank")
 
 
 def _two_steps(**kw):
     def run(spark, sf):
-        pairs, cells, known = _nations(spark, sf)
+        pairs, cells, _, known = _nations(spark, sf)
         return runs.hierarchical(pairs, cells, known, **kw, **SMALL).select(*PAIR, "score")
     return run
 
@@ -208,7 +207,7 @@ query("u07_hybrid_classifier_regressor")(_two_steps(n=3, regression=True, min_sc
 
 @query("u08_containment_then_classifier")
 def hybrid(spark, sf):
-    pairs, cells, known = _nations(spark, sf)
+    pairs, cells, _, known = _nations(spark, sf)
     model = metamodel.train_classifier(known, **SMALL)
     return prune.containment_then_model(pairs, cells, lambda p: instances.feature_vectors(p, cells),
                                         metamodel.scorer(model), n=2).select(*PAIR, "score", "rank")

@@ -18,8 +18,7 @@ Q = "query_id, target"
 
 def _columns(spark, sf):
     src = lake.sources(spark, sf).select("dataset_id", "col").distinct()
-    targets = ["l_extendedprice", "p_retailprice", "c_acctbal", "s_acctbal"]
-    return src.withColumn("is_target", F.col("col").isin(targets))
+    return src.withColumn("is_target", F.col("col").isin(list(lake.SOURCE_TARGETS.values())))
 
 
 _SRC = dict(src=lake.sources_sql())
@@ -27,7 +26,7 @@ _SRC = dict(src=lake.sources_sql())
 _SPLITS = (
     "slots AS (SELECT dataset_id, n, k, copy, row_number() OVER (PARTITION BY dataset_id ORDER BY "
     + hash_sql("splits", "dataset_id", "k", "copy") + ", k, copy) AS split_no FROM (SELECT dataset_id, count(*) AS n FROM cols "
-    "WHERE NOT is_target GROUP BY 1) JOIN (VALUES (3, 1, 1), (3, 1, 2), (3, 1, 3), (3, 2, 1), (3, 2, 2), (3, 2, 3)) "
+    "WHERE NOT is_target GROUP BY 1) JOIN (VALUES (3, 1, 1), (3, 1, 2), (3, 1, 3), (3, 2, 1), (3, 2, 2), (3, 2, 3), (2, 1, 1), (2, 1, 2)) "
     "t(n, k, copy) USING (n)), "
     "placed AS (SELECT dataset_id, split_no, col, n, k, row_number() OVER (PARTITION BY dataset_id, split_no ORDER BY "
     + hash_sql("splits", "dataset_id", "split_no", "col") + ", col) AS rn FROM slots JOIN cols USING (dataset_id) "

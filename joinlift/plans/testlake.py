@@ -19,6 +19,19 @@ PAIRS = [
     ("order_days", "n_orders", "ship_days"), ("order_days", "n_orders", "event_days")]
 
 
+# numeric columns of the source tables, in SQL that both engines read
+SOURCE_COLUMNS = {
+    "lineitem": {c: c for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")},
+    "part": {"p_size": "p_size", "p_retailprice": "p_retailprice",
+             "brand": "cast(replace(p_brand, 'Brand#', '') as double)"},
+    "customer": {"c_nationkey": "c_nationkey", "c_acctbal": "c_acctbal",
+                 "segment": "ascii(c_mktsegment)"},
+    "supplier": {"s_nationkey": "s_nationkey", "s_acctbal": "s_acctbal"},
+}
+SOURCE_TARGETS = {"lineitem": "l_extendedprice", "part": "p_retailprice",
+                  "customer": "c_acctbal", "supplier": "s_acctbal"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -109,19 +122,20 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     line_key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     def src(name, df, key, order, columns):
         wide = df.select(key.cast("string").alias("row_key"), order.cast("long").alias("row_ord"),
-                         *[F.col(c).cast("double").alias(c) for c in columns])
-        return wide.unpivot(["row_key", "row_ord"], columns, "col", "v").select(
+                         *[F.expr(e).cast("double").alias(c) for c, e in columns.items()])
+        return wide.unpivot(["row_key", "row_ord"], list(columns), "col", "v").select(
             F.lit(name).alias("dataset_id"), "row_key", "row_ord", "col", "v")
     lines = t("lineitem").groupBy(line_key.alias("__key"), "l_orderkey").agg(
         *[F.max(c).alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
-    return (src("lineitem", lines, F.col("__key"), F.col("l_orderkey"),
-                ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
-            .unionByName(src("part", t("part"), F.col("p_partkey"), F.col("p_partkey"),
-                             ["p_size", "p_retailprice"]))
-            .unionByName(src("customer", t("customer"), F.col("c_custkey"), F.col("c_custkey"),
-                             ["c_nationkey", "c_acctbal"]))
-            .unionByName(src("supplier", t("supplier"), F.col("s_suppkey"), F.col("s_suppkey"),
-                             ["s_nationkey", "s_acctbal"])))
+    keys = {"lineitem": (lines, F.col("__key"), F.col("l_orderkey")),
+            "part": (t("part"), F.col("p_partkey"), F.col("p_partkey")),
+            "customer": (t("customer"), F.col("c_custkey"), F.col("c_custkey")),
+            "supplier": (t("supplier"), F.col("s_suppkey"), F.col("s_suppkey"))}
+    out = None
+    for name, (df, key, order) in keys.items():
+        one = src(name, df, key, order, SOURCE_COLUMNS[name])
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,17 +236,15 @@ def queries_sql(*queries: str) -> str:
 
 def sources_sql() -> str:
     key = "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey"
-    cols = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    lines = (f"(SELECT {key} AS k, l_orderkey, " + ", ".join(f"max({c}) AS {c}" for c in cols)
+    lines = (f"(SELECT {key} AS k, l_orderkey, "
+             + ", ".join(f"max({c}) AS {c}" for c in SOURCE_COLUMNS["lineitem"])
              + " FROM lineitem GROUP BY 1, 2)")
-    def src(name, frm, k, order, columns):
-        return _sql_melt(name, frm, k, {c: c for c in columns},
-                         f"CAST({order} AS BIGINT) AS row_ord, ")
-    return " UNION ALL ".join([
-        src("lineitem", lines, "k", "l_orderkey", cols),
-        src("part", "part", "p_partkey", "p_partkey", ["p_size", "p_retailprice"]),
-        src("customer", "customer", "c_custkey", "c_custkey", ["c_nationkey", "c_acctbal"]),
-        src("supplier", "supplier", "s_suppkey", "s_suppkey", ["s_nationkey", "s_acctbal"])])
+    keys = {"lineitem": (lines, "k", "l_orderkey"), "part": ("part", "p_partkey", "p_partkey"),
+            "customer": ("customer", "c_custkey", "c_custkey"),
+            "supplier": ("supplier", "s_suppkey", "s_suppkey")}
+    return " UNION ALL ".join(
+        _sql_melt(name, frm, k, SOURCE_COLUMNS[name], f"CAST({order} AS BIGINT) AS row_ord, ")
+        for name, (frm, k, order) in keys.items())
 
 
 INSTANCES_SQL = """
