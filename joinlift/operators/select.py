@@ -225,11 +225,13 @@ def add_random_features(table: DataFrame, features: Sequence[str], share: float
     out = table.withColumn("__xs", F.array(*xs)).withColumn(
         "__m", F.aggregate("__xs", F.lit(0.0), lambda a, x: a + x) / p)
     names = [f"{RANDOM_PREFIX}{i}" for i in range(n_random)]
-    for name, row in zip(names, z):
+
+    def mixed(row):
         weights = F.array(*[F.lit(float(w)) for w in row])
-        mixed = F.aggregate(F.zip_with("__xs", weights, lambda x, w: (x - F.col("__m")) * w),
-                            F.lit(0.0), lambda a, v: a + v)
-        out = out.withColumn(name, F.col("__m") + mixed / math.sqrt(p - 1))
+        return F.aggregate(F.zip_with("__xs", weights, lambda x, w: (x - F.col("__m")) * w),
+                           F.lit(0.0), lambda a, v: a + v)
+    out = out.withColumns({name: F.col("__m") + mixed(row) / math.sqrt(p - 1)
+                           for name, row in zip(names, z)})
     return out.drop("__xs", "__m"), names
 
 
