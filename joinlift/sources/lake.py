@@ -52,7 +52,7 @@ def bundle_files(spark: SparkSession, root: str) -> DataFrame:
 def _json_docs(spark: SparkSession, root: str, name: str) -> DataFrame:
     """(dataset_id, doc): one small JSON text per dataset."""
     return (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name)
-            .option("wholetext", "true").text(root)
+            .text(root, wholetext=True)
             .select(dataset_of(F.input_file_name()).alias("dataset_id"), F.col("value").alias("doc")))
 
 
