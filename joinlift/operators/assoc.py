@@ -71,8 +71,8 @@ def linear(rows: DataFrame, group: list[str] = GROUP) -> DataFrame:
 
 
 def joint_counts(rows: DataFrame, group: list[str] = GROUP) -> DataFrame:
-    """How often each (x, y) occurs; the input of the rank and information measures."""
-    return rows.groupBy(*group, "x", "y").agg(F.count(F.lit(1)).alias("c"))
+    """How often each (x, y) occurs; the shared, stored input of rank and information measures."""
+    return materialise(rows.groupBy(*group, "x", "y").agg(F.count(F.lit(1)).alias("c")))
 
 
 def _marginal(joint: DataFrame, group: list[str], side: str) -> DataFrame:
@@ -91,7 +91,6 @@ def _ranked_in_place(joint: DataFrame, group: list[str]) -> DataFrame:
 
 def _ranked_by_join(joint: DataFrame, group: list[str], **kw) -> DataFrame:
     """Ranks of the distinct values, found in ranges and joined back: for groups of any size."""
-    joint = materialise(joint)
     rx = average_ranks(_marginal(joint, group, "x"), group, "x", "c", "rx", "n", **kw).drop("c")
     ry = average_ranks(_marginal(joint, group, "y"), group, "y", "c", "ry", "ny", **kw).drop("c")
     # merge joins, which the adaptive planner can split where one value is frequent
@@ -145,7 +144,6 @@ def discordant_pairs(joint: DataFrame, group: list[str], **kw) -> DataFrame:
     when, at the first digit where their y differ, the row with smaller x has the
     larger digit; one running count per digit finds them, for all digits at once.
     """
-    joint = materialise(joint)
     order = positions_of(_marginal(joint, group, "y"), group, "y", **kw)
     placed = joint.join(order, [*group, "y"])
     # the number of base-16 digits, in whole numbers: a 64-bit count has at most 16
@@ -196,7 +194,7 @@ def measures(rows: DataFrame, group: list[str] = GROUP, *, norm: str = "geometri
              with_kendall: bool = False) -> DataFrame:
     """All association measures per column."""
     rows = materialise(rows)
-    joint = materialise(joint_counts(rows, group))
+    joint = joint_counts(rows, group)
     out = (linear(rows, group).join(spearman(joint, group), group)
            .join(normalised_mutual_information(joint, group, norm), group))
     return out.join(kendall(joint, group), group) if with_kendall else out

@@ -96,8 +96,8 @@ def average_precision(ranked: DataFrame, pred: str = "pred_rank", real: str = "r
 def kendall_of_rankings(ranked: DataFrame, pred: str = "pred_rank", real: str = "real_rank",
                         group: Sequence[str] = QUERY, **kw) -> DataFrame:
     """Kendall tau between the two rankings of each query; null for a single candidate."""
-    joint = ranked.select(*group, F.col(real).alias("x"), F.col(pred).alias("y"),
-                          F.lit(1).cast("long").alias("c"))
+    joint = materialise(ranked.select(*group, F.col(real).alias("x"), F.col(pred).alias("y"),
+                                      F.lit(1).cast("long").alias("c")))
     tau = kendall(joint, list(group), **kw)
     sizes = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("m"))
     return tau.join(sizes, list(group)).select(

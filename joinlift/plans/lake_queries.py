@@ -169,7 +169,7 @@ _J8_CTES = {"cells": CELLS, "pairs": lake.pairs_sql(),
 @query("j08_containment", with_tables(
     "SELECT *, " + rs("n_common / n_query_keys", 9) + f" AS containment FROM ({_J8})", **_J8_CTES))
 def containment(spark, sf):
-    c = joins.containment(lake.pairs(spark), lake.cells(spark, sf))
+    c = joins.containment(lake.pairs(spark), lake.stored_cells(spark, sf))
     return c.withColumn("containment", rnd("containment", 9))
 
 
@@ -177,7 +177,7 @@ def containment(spark, sf):
     "SELECT query_id, candidate_id, " + rs("n_common / n_query_keys", 9)
     + f" AS containment FROM ({_J8})", **_J8_CTES))
 def containment_joined(spark, sf):
-    joined = joins.augmentation_join(lake.pairs(spark), lake.cells(spark, sf))
+    joined = joins.augmentation_join(lake.pairs(spark), lake.stored_cells(spark, sf))
     return joins.containment_of_joined(joined).withColumn("containment", rnd("containment", 9))
 
 
@@ -208,7 +208,7 @@ def gate(spark, sf):
     + rs("n_common / n_candidate_keys", 9) + " AS candidate_containment, "
     f"n_candidate_keys > n_query_keys AS candidate_is_larger FROM ({_J8})", **_J8_CTES))
 def overlap(spark, sf):
-    o = joins.overlap(lake.pairs(spark), lake.cells(spark, sf))
+    o = joins.overlap(lake.pairs(spark), lake.stored_cells(spark, sf))
     return o.withColumns({c: rnd(c, 9) for c in ("containment", "candidate_containment")})
 
 
@@ -240,7 +240,7 @@ _RANKED = (
     "SELECT *, row_number() OVER (PARTITION BY query_id, target ORDER BY containment DESC, candidate_id) AS rank "
     f"FROM ({_RANKED}) JOIN pairs USING (query_id, candidate_id)) WHERE rank <= 1", **_J8_CTES))
 def top_containment(spark, sf):
-    kept = prune.by_containment(lake.pairs(spark), lake.cells(spark, sf), n=1)
+    kept = prune.by_containment(lake.pairs(spark), lake.stored_cells(spark, sf), n=1)
     return kept.select("query_id", "target", "candidate_id",
                        rnd("containment", 9).alias("containment"), "rank")
 
@@ -252,7 +252,7 @@ def top_containment(spark, sf):
     "count(*) OVER (PARTITION BY query_id, target) AS n "
     f"FROM ({_RANKED}) JOIN pairs USING (query_id, candidate_id))", **_J8_CTES))
 def root_containment(spark, sf):
-    pairs, cells = lake.pairs(spark), lake.cells(spark, sf)
+    pairs, cells = lake.pairs(spark), lake.stored_cells(spark, sf)
     ranked = prune.ranked_by_containment(pairs, cells)
     root = prune.keep_root(ranked).select("query_id", "target", "candidate_id",
                                           F.lit(True).alias("kept_by_root"))
@@ -280,7 +280,7 @@ FLAGSHIP_SQL = with_tables(
 @query("flagship_which_candidate_to_join", FLAGSHIP_SQL)
 def flagship(spark, sf):
     """Which candidate should I join? Containment first, then the strongest Pearson correlation."""
-    pairs, cells = lake.pairs(spark), lake.cells(spark, sf)
+    pairs, cells = lake.pairs(spark), lake.stored_cells(spark, sf)
     linear = assoc.linear(assoc.aligned(pairs, cells, impute=None))
     strongest = linear.groupBy("query_id", "target", "candidate_id").agg(
         F.max(F.abs("pearson")).alias("max_pearson"))
