@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 from joinlift.functions import materialise
 from joinlift.operators import instances, labels, metamodel, prune, scores, select, splits
 from joinlift.plans import runs, testlake as lake
-from joinlift.plans.assoc_queries import ALIGNED, GKEY
+from joinlift.plans.assoc_queries import ALIGNED
 from joinlift.plans.registry import hash_sql, query, rnd, rnd_sql as rs, with_tables
-from joinlift.schema import MODEL_FEATURES, PAIR
+from joinlift.schema import PAIR
 
 # Small forests keep the checks short; the operators' own defaults are 100 trees.
 SMALL = dict(trees=20, depth=5)
@@ -15,7 +15,6 @@ SCORED_FEATURES = ["containment", "pearson_difference", "predicted_gain", "price
 
 # ---- scores of the user model; DuckDB solves the 2 x 2 system in closed form ---------------------
 
-_ONE = lake.PAIRS[:3]
 _PAIRS_SQL = ("SELECT * FROM (VALUES ('customer', 'c_acctbal', 'cust_orders/n_orders'), ('customer', 'c_acctbal', 'cust_orders/avg_price'), "
               "('customer', 'c_acctbal', 'user_events/sum_value'), ('orders', 'o_totalprice', 'order_lines/sum_price'), "
               "('orders', 'o_totalprice', 'order_lines/avg_discount')) x(query_id, target, candidate_id)")

@@ -6,7 +6,6 @@ from joinlift.functions import hash_order
 from joinlift.operators import joins, labels, profile, prune, rank, report, scores, splits
 from joinlift.plans import testlake as lake
 from joinlift.plans.registry import hash_sql, md5_sql, query, rnd, rnd_sql as rs, with_tables
-from joinlift.schema import PAIR
 
 S = dict(s=lake.SCORED_SQL)
 ID = "query_id, candidate_id"

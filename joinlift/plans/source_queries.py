@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from joinlift.functions import shared_dir
 from joinlift.operators import profile, report
 from joinlift.plans import testlake as lake
-from joinlift.plans.registry import query, rnd, rnd_sql as rs, with_tables
+from joinlift.plans.registry import query, with_tables
 from joinlift.schema import ALL_FEATURES, RELATIVE_TARGETS
 from joinlift.sources import lake as src
 
