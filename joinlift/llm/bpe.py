@@ -17,11 +17,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joinlift.llm.common import spaced
+from joinlift.llm.common import spaced, split_words
 
 CACHED = 600_000           # pieces of text whose ids a worker remembers
 WORDS_AT_ONCE = 20_000
@@ -64,8 +63,7 @@ class Coder:
     def __init__(self, path: str, pattern: str):
         import duckdb
         ranks = load_ranks(path)
-        # the pattern's spaces are Unicode's White_Space; Python's \\s has four control characters more
-        self.pattern = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
+        self.pattern = split_words(pattern)
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.ranks = ranks
         splits = [(ranks[t[:i]], ranks[t[i:]], k) for t, k in ranks.items() for i in range(1, len(t))

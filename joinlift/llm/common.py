@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,17 +18,24 @@ HOT_SHARE = 1_000            # a key with more than 1/HOT_SHARE of the weight is
 
 #: Between a non-space and a single space before a non-space: no match of the byte-level split pattern crosses this place.
 _BETWEEN = re.compile(r"(?<=\S)(?= \S)")
-_ODD = re.compile(r" \s|\s ")
+_SPACES = "\t\n\v\f\r \x1c\x1d\x1e\x1f"
+_RARE_SPACES = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD = tuple({p for c in _SPACES for p in (" " + c, c + " ")})
 
 
 def spaced(text: str) -> list[str]:
     """The text cut before single spaces, where tokens never cross: its head, then pieces without their leading space."""
-    if _ODD.search(text) is None:
-        return text.split(" ")
+    if not any(p in text for p in _ODD) and (text.isascii() or _RARE_SPACES.search(text) is None):
+        return text.split(" ")             # every space stands alone between other characters
     head, *rest = _BETWEEN.split(text)
     return [head, *(p[1:] for p in rest)]
 
 
+def split_words(pattern: str) -> regex.Pattern:
+    """The pattern with Unicode's White_Space for its spaces; Python's own class has four control characters more."""
+    return regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
+
+
 def lookup_join(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
     """Left join of one-row-per-key values that no hot key can slow down.
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -25,13 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from joinlift.llm.common import spaced
+from joinlift.llm.common import spaced, split_words
 
 BLOCK = 4_096
 PERCENTILE = 98.0
 SEGMENT_IDS = 1 << 18      # a segment is closed after so many ids; a longer document makes a longer one
 END_ID = 0
-CACHED = 400_000           # pieces of text whose ids a worker remembers
+CACHED = 800_000           # pieces of text whose ids a worker remembers
 
 _HEAD = np.dtype([("base", "<u4"), ("n", "<u2"), ("width", "u1"), ("exceptions", "<u2")])
 SCHEMA = ("part int, seq int, first_id long, n long, doc_ids array<long>, doc_ends array<int>, "
@@ -44,7 +45,9 @@ def pack_block(values: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     rest = (values - base).astype(np.uint32)
     width = int(np.percentile(rest, percentile, method="higher")).bit_length()
     over = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
-    bits = np.unpackbits(rest.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    word = 2 if width <= 16 else 4
+    low = rest.astype(f"<u{word}")
+    bits = np.unpackbits(low.view(np.uint8).reshape(-1, word), axis=1, bitorder="little")[:, :width]
     head = np.array((base, len(values), width, len(over)), _HEAD)
     return b"".join([head.tobytes(), over.astype("<u2").tobytes(), rest[over].astype("<u4").tobytes(),
                      np.packbits(bits.ravel(), bitorder="little").tobytes()])
@@ -57,53 +60,63 @@ def unpack_block(data: bytes, at: int = 0) -> np.ndarray:
     over = np.frombuffer(data, "<u2", k, at)
     patch = np.frombuffer(data, "<u4", k, at + 2 * k)
     packed = np.frombuffer(data, np.uint8, (n * width + 7) // 8, at + 6 * k)
-    bits = np.zeros((n, 32), np.uint8)
+    word = 2 if width <= 16 else 4
+    bits = np.zeros((n, 8 * word), np.uint8)
     bits[:, :width] = np.unpackbits(packed, count=n * width, bitorder="little").reshape(n, width)
-    values = np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel().copy()
+    values = np.packbits(bits, axis=1, bitorder="little").view(f"<u{word}").ravel().astype(np.uint32)
     values[over] = patch
     return values + head["base"]
 
 
+def _byte_letters() -> list[str]:
+    """The letter by which byte-level vocabularies write each byte: printable bytes as they are, others from 256 upwards."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
 class Encoder:
-    """Token ids of whole texts by a byte-level tokenizer file; texts are cut where no token can cross, and pieces remembered."""
+    """Token ids of whole texts by a byte-level tokenizer file.
+
+    Texts are cut where no token can cross. Pieces seen before are looked up; new ones are split by the file's pattern,
+    and the library's model merges each new word.
+    """
 
-    _shared: dict[str, Encoder] = {}
+    _shared: dict[tuple[str, str], Encoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True        # their strings in a text are ordinary text
+        self.model = Tokenizer.from_file(path).model       # special tokens' strings in a text are ordinary text
+        self.pattern = split_words(pattern)
+        self.letters = dict(enumerate(_byte_letters()))
+        self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}                  # by the piece without its leading space
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
+    def of(cls, path: str, pattern: str) -> Encoder:
         """One per worker process, so that pieces are remembered from task to task."""
-        if path not in cls._shared:
-            cls._shared[path] = cls(path)
-        return cls._shared[path]
+        if (path, pattern) not in cls._shared:
+            cls._shared[path, pattern] = cls(path, pattern)
+        return cls._shared[path, pattern]
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces of text, many per call; the library reports which piece each id belongs to."""
-        out = []
-        for i in range(0, len(pieces), 4096):
-            some = pieces[i:i + 4096]
-            got = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            raw = np.array(got.ids, "<u4").tobytes()
-            ends = 4 * np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(some)))
-            out += [raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
-        return out
-
-    def _learn(self, pieces: list[str]) -> None:
-        self.known.update(zip(pieces, self._ids([" " + p for p in pieces])))
+        cut = [self.pattern.findall(p) for p in pieces]
+        words, letters, tokenize = self.words, self.letters, self.model.tokenize
+        for w in {w for ws in cut for w in ws}.difference(words):
+            written = w.encode().decode("latin-1").translate(letters)
+            words[w] = array("I", [t.id for t in tokenize(written)]).tobytes()
+        return [b"".join([words[w] for w in ws]) for ws in cut]
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [spaced(t) for t in batch]
         if len(self.known) > CACHED:
             self.known.clear()
+            self.words.clear()
         known = self.known
-        self._learn(list({p for pieces in cut for p in pieces[1:]}.difference(known)))
+        new = list({p for pieces in cut for p in pieces[1:]}.difference(known))
+        known.update(zip(new, self._ids([" " + p for p in new])))
         heads = self._ids([pieces[0] for pieces in cut])
         return [head + b"".join([known[p] for p in pieces[1:]]) for head, pieces in zip(heads, cut)]
 
@@ -116,13 +129,13 @@ def _segment(part: int, seq: int, first: int, docs: list[tuple[int | None, np.nd
             "block_starts": np.cumsum([0, *map(len, blocks[:-1])]).tolist(), "payload": b"".join(blocks)}
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text") -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, key: str = "doc_id", text: str = "text") -> None:
     """Encodes every row of ``docs`` and writes the file."""
     frame = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     ordered = frame.repartitionByRange("id").sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
-        encoder = Encoder.of(tokenizer)
+        encoder = Encoder.of(tokenizer, pattern)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
