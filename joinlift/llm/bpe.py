@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from joinlift.llm.common import spaced, split_words
 
-CACHED = 600_000           # pieces of text whose ids a worker remembers
-WORDS_AT_ONCE = 20_000
-DOCS_BYTES = 1 << 20       # texts per round trip, unless one is longer
+CACHED = 1_000_000          # pieces of text whose ids a worker remembers
+WORDS_AT_ONCE = 50_000
+DOCS_BYTES = 3 << 20       # texts per round trip, unless one is longer
 
 _ENCODE = """
 WITH RECURSIVE state(word, toks) USING KEY (word) AS (
