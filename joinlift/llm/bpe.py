@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joinlift.llm.common import spaced, split_words
+from joinlift.llm.common import slices, spaced, split_words
 
-CACHED = 1_000_000          # pieces of text whose ids a worker remembers
-WORDS_AT_ONCE = 50_000
-DOCS_BYTES = 3 << 20       # texts per round trip, unless one is longer
+CACHED = 400_000           # pieces of text whose ids a worker remembers
+WORDS_AT_ONCE = 20_000
+DOCS_BYTES = 1 << 20       # texts per round trip, unless one is longer
+DECODE_IDS = 1 << 17       # ids per round trip, unless one text has more
 
 _ENCODE = """
 WITH RECURSIVE state(word, toks) USING KEY (word) AS (
@@ -123,12 +124,14 @@ class Coder:
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """Bytes of each list of ids."""
-        ends = np.cumsum([0, *map(len, ids)])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
-        self.db.register("docs", pa.table({"doc": pa.array(range(len(ids)), pa.int32()), "ids": lists}))
         out = [b""] * len(ids)
-        for doc, text in self.db.execute(_DECODE).fetchall():
-            out[doc] = text.encode("latin-1")
+        ends = np.cumsum([0, *map(len, ids)])
+        for i, j in slices(ends, DECODE_IDS):
+            lists = pa.ListArray.from_arrays(pa.array(ends[i:j + 1] - ends[i], pa.int32()),
+                                             pa.array(np.concatenate(ids[i:j]).astype(np.int32)))
+            self.db.register("docs", pa.table({"doc": pa.array(range(i, j), pa.int32()), "ids": lists}))
+            for doc, text in self.db.execute(_DECODE).fetchall():
+                out[doc] = text.encode("latin-1")
         return out
 
 

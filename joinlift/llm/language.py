@@ -34,7 +34,7 @@ EVIDENCE = 40.0            # a text counts as at most so many independent trigra
 UND_PRIOR = 0.01
 STRENGTH = 20.0            # pseudo-documents that a level of the host hierarchy borrows from the level above
 MIN_CONFIDENCE = 0.5
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 # letters keep their (lower-cased) byte, everything else in ASCII is one separator
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint32)
