@@ -9,6 +9,7 @@ The sample is chosen by hash, so a lost and re-run task sees the same ranges.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
@@ -24,11 +25,13 @@ HASH_SLICES = 4096       # slices of the md5 range in hash_order
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one only where none is configured."""
+    """The folder all executors see; a temporary one only in local mode, where none is configured."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
     if where is None:
+        if known is None and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = known if known is not None else tempfile.mkdtemp(prefix="joinlift-")
     if known is None:
         sc.setCheckpointDir(where)

@@ -208,17 +208,12 @@ def strongest(per_column: DataFrame, group: list[str] = PAIR, prefix: str = "")
         for s, f in zip(sources, ASSOCIATION_FEATURES)])
 
 
-def within_dataset(cells: DataFrame, max_columns: int = 100) -> DataFrame:
+def within_dataset(cells: DataFrame) -> DataFrame:
     """Pairs of columns inside each dataset as ``(dataset_id, col_a, col_b, row_key, x, y)``.
 
     A row is first gathered into one array of its columns, so nothing is joined; the number of pairs
-    follows the (checked) number of columns, never the number of rows.
+    follows the number of columns, never the number of rows.
     """
-    wide = cells.select("dataset_id", "col").distinct().groupBy("dataset_id").agg(
-        F.count(F.lit(1)).alias("k"))
-    if wide.where(F.col("k") > max_columns).take(1):
-        raise ValueError(f"a dataset has over {max_columns} columns; raise max_columns to accept "
-                         "the square of that many column pairs")
     unique = cells.where("v is not null").groupBy("dataset_id", "row_key", "col").agg(
         F.avg("v").alias("v"))
     row = unique.groupBy("dataset_id", "row_key").agg(

@@ -248,10 +248,10 @@ def threshold_grid(train: DataFrame, test: DataFrame, features: Sequence[str], a
 
 def interval_grid(scored: DataFrame, betas: Sequence[float], probability: str, label: str = "class",
                   predicted: str = "pred_class") -> DataFrame:
-    """Reports after dropping rows with a probability within beta of 0.5, for every beta at once."""
+    """Reports of the rows with a probability more than beta away from 0.5, for every beta at once."""
     ladder = F.array(*[F.lit(float(b)) for b in betas])
     kept = scored.withColumn("beta", F.explode(F.filter(
-        ladder, lambda b: F.abs(F.col(probability) - 0.5) >= b)))
+        ladder, lambda b: F.abs(F.col(probability) - 0.5) > b)))
     return classification_report(kept, label, predicted, ["beta"])
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joinlift.functions import positions
+from joinlift.functions import materialise, positions
 from joinlift.operators import joins
 from joinlift.operators.labels import QUERY
 from joinlift.operators.splits import random_share
@@ -82,19 +82,25 @@ def in_two_steps(pairs: DataFrame, free_features: Callable[[DataFrame], DataFram
                  min_score: float | None = 0.5, early_exit: bool = False) -> DataFrame:
     """Prune on features that need no join; join and score only what is left.
 
-    ``early_exit``: stop after the first model where it has already pruned enough
-    (this costs one count).
+    ``early_exit``: a query that the first model has already pruned enough stops there;
+    the second model decides for all others.
     """
     free = first(free_features(pairs))
     survivors = free.where(F.col("score") > 0.5).select(*PAIR, F.col("score").alias("first_score"))
+    done = None
     if early_exit:
-        kept, total = survivors.count(), pairs.count()
-        if kept <= total * (1.0 - (pruned_share or 0.0)):
-            return survivors.withColumnRenamed("first_score", "score")
+        survivors = materialise(survivors)
+        kept = survivors.groupBy(*QUERY).agg(F.count(F.lit(1)).alias("__kept"))
+        total = pairs.groupBy(*QUERY).agg(F.count(F.lit(1)).alias("__total"))
+        enough = materialise(total.join(kept, QUERY).where(
+            F.col("__kept") <= F.col("__total") * (1.0 - (pruned_share or 0.0))).select(*QUERY))
+        done = survivors.join(enough, QUERY, "left_semi").select(*PAIR, F.col("first_score").alias("score"))
+        survivors = survivors.join(enough, QUERY, "left_anti")
     left = pairs.join(survivors.select(*PAIR), PAIR, "left_semi")
     scored = second(all_features(left))
     share = None if pruned_share is None else 1.0 - pruned_share
-    return keep_best(scored, "score", n=n, share=share, min_score=min_score)
+    best = keep_best(scored, "score", n=n, share=share, min_score=min_score)
+    return best if done is None else best.unionByName(done, allowMissingColumns=True)
 
 
 def containment_then_model(pairs: DataFrame, cells: DataFrame,

@@ -11,7 +11,7 @@ from joinlift.functions import attach, cumulate, materialise, positions
 from joinlift.operators.assoc import kendall
 from joinlift.operators.labels import QUERY
 
-TOP = 50   # fixed value: the curves run from k = 0 to 50
+K_MAX = 50   # fixed value: the published curves run from k = 0 to 50
 
 
 def rank_by(rows: DataFrame, score: str, out: str, group: Sequence[str] = QUERY, **kw) -> DataFrame:
@@ -122,8 +122,9 @@ def curve_recipes(positive: str = "gain") -> dict[str, tuple[Column, str]]:
 
 
 def retrieval_curves(rows: DataFrame, gain: str = "gain", label: str = "class",
-                     positive: str = "gain", group: Sequence[str] = QUERY, **kw) -> DataFrame:
-    """Precision, recall, strict R-precision and R-recall at k = 0..50 for every recipe.
+                     positive: str = "gain", group: Sequence[str] = QUERY,
+                     k_max: int = K_MAX, **kw) -> DataFrame:
+    """Precision, recall, strict R-precision and R-recall at k = 0..k_max for every recipe.
 
     Queries without a true, a predicted and a certain positive are left out. Averages run over the
     queries for which a measure is defined.
@@ -146,15 +147,15 @@ def retrieval_curves(rows: DataFrame, gain: str = "gain", label: str = "class",
     placed = rank_by(each, "score", "pr", [*group, "recipe"], **kw)
     meets = F.greatest("rr", "pr")
     def kept(condition, at):
-        # collect_list skips nulls; ranks are distinct, so at most TOP entries are gathered
-        return F.collect_list(F.when(condition & (at <= TOP), at))
+        # collect_list skips nulls; ranks are distinct, so at most k_max entries are gathered
+        return F.collect_list(F.when(condition & (at <= k_max), at))
     true_hit = F.col("rr").isNotNull()
     lists = placed.groupBy(*group, "recipe").agg(
         F.max("pr_total").alias("n_ret"),
         kept(true_hit, F.col("pr")).alias("hits"),
         kept(true_hit & (F.col("g") > 1), meets).alias("over1"),
         kept(true_hit & (F.col("g") > 0), meets).alias("over0"))
-    per_k = lists.join(sizes, group).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(TOP))))
+    per_k = lists.join(sizes, group).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(k_max))))
     def up_to(arr, k):
         return F.size(F.filter(arr, lambda r: r <= k))
     k = F.col("k")

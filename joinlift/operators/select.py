@@ -304,13 +304,12 @@ def shadow_table(table: DataFrame, key: str, features: Sequence[str], seed: str)
     """Add ``<feature>_shadow``: each feature shuffled over the rows, each by another shift."""
     placed = materialise(hash_order(table, [], [key], seed=seed))
     n = F.col("pos_total")
-    out = placed
-    shifts = {f: hash32(F.lit(f), seed=seed) for f in features}
-    for f in features:
-        moved = placed.select(F.pmod(F.col("pos") + shifts[f] % n, n).alias("pos"),
-                              F.col(f"`{f}`").alias(f"{f}_shadow"))
-        out = out.join(moved, "pos")
-    return out.drop("pos", "pos_total")
+    # every value travels once to its new position, where a row's shadows meet: one join for all features
+    moves = F.array(*[F.struct(F.pmod(F.col("pos") + hash32(F.lit(f), seed=seed) % n, n).alias("to"), F.lit(i).alias("i"),
+                               F.col(f"`{f}`").cast("double").alias("v")) for i, f in enumerate(features)])
+    shadows = placed.select(F.explode(moves).alias("m")).groupBy(F.col("m.to").alias("pos")).agg(*[
+        F.max(F.when(F.col("m.i") == i, F.col("m.v"))).alias(f"{f}_shadow") for i, f in enumerate(features)])
+    return placed.join(shadows, "pos").drop("pos", "pos_total")
 
 
 def _at_least(hits: int, trials: int) -> float:

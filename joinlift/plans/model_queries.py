@@ -358,7 +358,7 @@ def elimination(spark, sf):
 
 @query("k10_shadow_selection")
 def shadows(spark, sf):
-    found = select.shadow_selection(_table(spark, sf), "row_key", "l_extendedprice", LINE_FEATURES, rounds=3,
+    found = select.shadow_selection(_table(spark, sf), "row_key", "l_extendedprice", LINE_FEATURES, rounds=10,
                                     trees=10, depth=5)
     return spark.createDataFrame(list(found.items()), "col string, verdict string")
 

@@ -14,8 +14,6 @@ from joinlift.schema import ALL_FEATURES, INSTANCE, RELATIVE_TARGETS, TRAINING_R
 # File names and limits of a source bundle.
 TABLE_FILE, DATASET_FILE, PROBLEM_FILE = "learningData.csv", "datasetDoc.json", "problemDoc.json"
 TABLE_PATH = "tables/learningData.csv"
-MAX_SOURCE_ROWS = 900_000
-MAX_DOWNLOAD_BYTES = 50 * 1024 * 1024
 
 _DATASET_DOC = (
     "dataResources array<struct<resID string, resPath string, "
@@ -103,10 +101,12 @@ def is_numeric(col_type: Column) -> Column:
 
 
 def gate(files: DataFrame, meta: DataFrame, problem: DataFrame, row_counts: DataFrame, *,
-         min_rows: int, max_columns: int, ignore_first: bool = False) -> DataFrame:
+         min_rows: int, max_columns: int, max_rows: int | None = None,
+         ignore_first: bool = False) -> DataFrame:
     """``(dataset_id, reject_reason)``; the reason is null for a usable dataset.
 
     ``row_counts``: ``(dataset_id, n_rows)``, null where the table could not be parsed.
+    ``max_rows``: rejects larger tables where it is given.
     """
     have = files.groupBy("dataset_id").agg(F.count_distinct("file").alias("n_files"))
     counted = meta if not ignore_first else meta.where("col_index <> 0")
@@ -124,8 +124,9 @@ def gate(files: DataFrame, meta: DataFrame, problem: DataFrame, row_counts: Data
               .when(~F.coalesce("target_is_numeric", F.lit(True)), "target not numeric")
               .when(left <= 1, "too few columns")
               .when(F.col("n_rows").isNull(), "unreadable")
-              .when(F.col("n_rows") < min_rows, "too few rows")
-              .when(F.col("n_rows") > MAX_SOURCE_ROWS, "too many rows"))
+              .when(F.col("n_rows") < min_rows, "too few rows"))
+    if max_rows is not None:
+        reason = reason.when(F.col("n_rows") > max_rows, "too many rows")
     return all_.select("dataset_id", reason.alias("reject_reason"))
 
 
@@ -334,5 +335,5 @@ def drop_repeated_names(candidate: DataFrame, base: DataFrame) -> DataFrame:
     return candidate.join(kept.select("dataset_id", "col"), ["dataset_id", "col"], "left_semi")
 
 
-def small_enough(meta: DataFrame, max_bytes: int = MAX_DOWNLOAD_BYTES) -> DataFrame:
+def small_enough(meta: DataFrame, max_bytes: int) -> DataFrame:
     return meta.where(F.col("n_bytes") < max_bytes)

@@ -105,5 +105,5 @@ def test_column_pairs_inside_a_dataset(spark):
     _, cells = _lake(spark)
     rows = assoc.within_dataset(cells.where("dataset_id = 'q'")).toPandas()
     assert len(rows) == 10 and set(zip(rows.col_a, rows.col_b)) == {("f", "t")}
-    with pytest.raises(ValueError):
-        assoc.within_dataset(cells, max_columns=1)
+    many = spark.range(130).selectExpr("'w' dataset_id", "'k' row_key", "concat('c', id) col", "double(id) v")
+    assert assoc.within_dataset(many).count() == 130 * 129 // 2
