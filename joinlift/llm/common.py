@@ -18,14 +18,14 @@ HOT_SHARE = 1_000            # a key with more than 1/HOT_SHARE of the weight is
 
 #: Between a non-space and a single space before a non-space: no match of the byte-level split pattern crosses this place.
 _BETWEEN = re.compile(r"(?<=\S)(?= \S)")
-_SPACES = "\t\n\v\f\r \x1c\x1d\x1e\x1f"
+_OTHER_SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f"
 _RARE_SPACES = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_ODD = tuple({p for c in _SPACES for p in (" " + c, c + " ")})
 
 
 def spaced(text: str) -> list[str]:
     """The text cut before single spaces, where tokens never cross: its head, then pieces without their leading space."""
-    if not any(p in text for p in _ODD) and (text.isascii() or _RARE_SPACES.search(text) is None):
+    odd = any(c in text and (" " + c in text or c + " " in text) for c in _OTHER_SPACES) or "  " in text
+    if not odd and (text.isascii() or _RARE_SPACES.search(text) is None):
         return text.split(" ")             # every space stands alone between other characters
     head, *rest = _BETWEEN.split(text)
     return [head, *(p[1:] for p in rest)]

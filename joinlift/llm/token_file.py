@@ -18,7 +18,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -100,13 +100,38 @@ class Encoder:
             cls._shared[path, pattern] = cls(path, pattern)
         return cls._shared[path, pattern]
 
+    def _learn(self, words: set[str]) -> None:
+        """The library's ids of words not met before."""
+        table, letters, tokenize = self.words, self.letters, self.model.tokenize
+        new = list(words.difference(table))
+        # one translation for all: a zero byte's letter parts the words, so those that hold one go by themselves
+        several = [w for w in new if "\0" not in w]
+        if several:
+            written = "\0".join(several).encode().decode("latin-1").translate(letters).split(letters[0])
+            for w, letter_form in zip(several, written):
+                table[w] = array("I", [t.id for t in tokenize(letter_form)]).tobytes()
+        for w in words.difference(table):
+            table[w] = array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))]).tobytes()
+
     def _ids(self, pieces: list[str]) -> list[bytes]:
         cut = [self.pattern.findall(p) for p in pieces]
-        words, letters, tokenize = self.words, self.letters, self.model.tokenize
-        for w in {w for ws in cut for w in ws}.difference(words):
-            written = w.encode().decode("latin-1").translate(letters)
-            words[w] = array("I", [t.id for t in tokenize(written)]).tobytes()
-        return [b"".join([words[w] for w in ws]) for ws in cut]
+        self._learn(set(chain.from_iterable(cut)))
+        return [b"".join(map(self.words.__getitem__, ws)) for ws in cut]
+
+    def _know(self, new: set[str]) -> None:
+        """Remembers pieces. Those without any white space are split in one go: only their first words start with a space."""
+        plain = [p for p in new if p.split() == [p]]
+        other = list(new.difference(plain))
+        self.known.update(zip(other, self._ids([" " + p for p in other])))
+        if plain:
+            words = self.pattern.findall(" " + " ".join(plain))
+            self._learn(set(words))
+            coded = list(map(self.words.__getitem__, words))
+            ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
+            first = np.flatnonzero(np.fromiter((w[0] == " " for w in words), bool, len(words)))
+            ends = [0, *ends[first[1:] - 1].tolist(), int(ends[-1])]
+            blob = b"".join(coded)
+            self.known.update(zip(plain, [blob[a:b] for a, b in zip(ends, ends[1:])], strict=True))
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -114,11 +139,10 @@ class Encoder:
         if len(self.known) > CACHED:
             self.known.clear()
             self.words.clear()
-        known = self.known
-        new = list({p for pieces in cut for p in pieces[1:]}.difference(known))
-        known.update(zip(new, self._ids([" " + p for p in new])))
         heads = self._ids([pieces[0] for pieces in cut])
-        return [head + b"".join([known[p] for p in pieces[1:]]) for head, pieces in zip(heads, cut)]
+        self._know(set(chain.from_iterable(islice(pieces, 1, None) for pieces in cut)).difference(self.known))
+        known = self.known.__getitem__
+        return [head + b"".join(map(known, islice(pieces, 1, None))) for head, pieces in zip(heads, cut)]
 
 
 def _segment(part: int, seq: int, first: int, docs: list[tuple[int | None, np.ndarray]]) -> dict:
