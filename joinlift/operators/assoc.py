@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from joinlift.functions import attach, average_ranks, cumulate, materialise, max_modulus, pearson
 from joinlift.functions.exprs import zero_if_undefined
 from joinlift.functions.spread import SPLIT_ROWS, has_large_group
+from joinlift.operators import joins
 from joinlift.schema import ASSOCIATION_FEATURES, PAIR
 
 GROUP = [*PAIR, "col"]
@@ -21,40 +22,46 @@ def aligned(pairs: DataFrame, cells: DataFrame, impute: str | None = "mean") ->
     With ``impute='mean'`` every query row takes part and a missing x is the mean of the matched
     ones (0 where nothing matches); with ``None`` only matched rows take part.
 
-    The join runs on whole candidate rows (one array of cells per key), not on single cells.
+    A query's key may repeat: each of its rows meets the candidate's value, and its own columns
+    are told apart by ``row_id`` where ``cells`` has it. A repeated key of a candidate is averaged.
+
+    The join runs on whole candidate rows (one map of cells per key), not on single cells.
     """
     if impute not in ("mean", None):
         raise ValueError(f"unknown imputation {impute!r}")
-    pairs = pairs.select(*PAIR).distinct()
+    kept = ["row_key", "row_id"] if "row_id" in cells.columns else ["row_key"]
+    cells = joins.with_row_id(cells)
+    # a dataset's own columns meet its target row by row, all others by key
+    own = F.col("query_id") == F.col("candidate_id")
+    at = F.when(F.col("own"), F.col("row_id")).otherwise(F.col("row_key")).alias("at")
+    pairs = pairs.select(*PAIR).distinct().withColumn("own", own)
     y = pairs.join(
         cells.where("v is not null").select(
-            F.col("dataset_id").alias("query_id"), F.col("col").alias("target"), "row_key",
-            F.col("v").alias("y")), ["query_id", "target"])
-    used = pairs.select(F.col("candidate_id").alias("dataset_id")).distinct()
-    theirs = cells.join(used, "dataset_id", "left_semi").withColumnRenamed(
-        "dataset_id", "candidate_id")
-    # a repeated key is averaged first, so a frequent key never fills an array
-    unique = theirs.where("v is not null").groupBy("candidate_id", "row_key", "col").agg(
+            F.col("dataset_id").alias("query_id"), F.col("col").alias("target"), "row_key", "row_id",
+            F.col("v").alias("y")), ["query_id", "target"]).select(*PAIR, "own", *kept, at, "y")
+    used = pairs.select("candidate_id", "own").distinct()
+    theirs = cells.withColumnRenamed("dataset_id", "candidate_id").join(used, "candidate_id")
+    # a repeated key is averaged first, so a frequent key never fills a map
+    unique = theirs.where("v is not null").groupBy("candidate_id", "own", at, "col").agg(
         F.avg("v").alias("x"))
-    rows = unique.groupBy("candidate_id", "row_key").agg(
-        F.collect_list(F.struct("col", "x")).alias("xs"))
-    own_target = (F.col("candidate_id") == F.col("query_id")) & (F.col("col") == F.col("target"))
+    rows = unique.groupBy("candidate_id", "own", "at").agg(
+        F.map_from_entries(F.collect_list(F.struct("col", "x"))).alias("xs"))
+    own_target = F.col("own") & (F.col("col") == F.col("target"))
+    side = ["candidate_id", "own", "at"]
     if impute is None:
-        met = y.join(rows, ["candidate_id", "row_key"])
-        return met.select(*PAIR, "row_key", "y", F.inline("xs")).where(~own_target).select(
-            *GROUP, "row_key", "x", "y")
-    met = y.join(rows, ["candidate_id", "row_key"], "left")
-    means = met.select(*PAIR, F.inline("xs")).groupBy(*GROUP).agg(F.avg("x").alias("m"))
-    columns = pairs.join(theirs.select("candidate_id", "col").distinct(), "candidate_id").where(
+        met = y.join(rows, side)
+        return met.select(*PAIR, "own", *kept, "y", F.explode("xs").alias("col", "x")).where(~own_target).select(
+            *GROUP, *kept, "x", "y")
+    met = y.join(rows, side, "left")
+    means = met.select(*PAIR, F.explode("xs").alias("col", "x")).groupBy(*GROUP).agg(F.avg("x").alias("m"))
+    columns = pairs.join(theirs.select("candidate_id", "own", "col").distinct(), ["candidate_id", "own"]).where(
         ~own_target).join(means, GROUP, "left")
     per_pair = columns.groupBy(*PAIR).agg(F.collect_list(F.struct("col", "m")).alias("ms"))
-    full = attach(met, per_pair, PAIR, ["row_key"], how="inner")
+    full = attach(met, per_pair, PAIR, kept, how="inner")
 
     def filled(m):
-        found = F.get(F.filter("xs", lambda e: e["col"] == m["col"]), F.lit(0))["x"]
-        return F.struct(m["col"].alias("col"), F.coalesce(found, m["m"], F.lit(0.0)).alias("x"))
-    return full.select(*PAIR, "row_key", "y", F.inline(F.transform("ms", filled))).select(
-        *GROUP, "row_key", "x", "y")
+        return F.struct(m["col"].alias("col"), F.coalesce(F.element_at("xs", m["col"]), m["m"], F.lit(0.0)).alias("x"))
+    return full.select(*PAIR, *kept, "y", F.inline(F.transform("ms", filled))).select(*GROUP, *kept, "x", "y")
 
 
 def own_pairs(queries: DataFrame) -> DataFrame:

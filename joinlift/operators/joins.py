@@ -9,6 +9,7 @@ from joinlift.functions import attach, finite, hash32, materialise, positions
 from joinlift.schema import PAIR
 
 PQ = ["query_id", "candidate_id"]
+BLOCK_ROWS = 10_000      # base rows that meet the list of columns in one block
 
 
 def keys_of(cells: DataFrame) -> DataFrame:
@@ -16,28 +17,34 @@ def keys_of(cells: DataFrame) -> DataFrame:
     return cells.select("dataset_id", "row_key").distinct()
 
 
+def with_row_id(cells: DataFrame) -> DataFrame:
+    """Cells with ``row_id``: what tells a base's rows apart where its key repeats; the key itself where none is given."""
+    return cells if "row_id" in cells.columns else cells.withColumn("row_id", F.col("row_key"))
+
+
 def augmentation_join(pairs: DataFrame, cells: DataFrame, how: str = "left") -> DataFrame:
     """Join each query with its candidate in cell form.
 
     Gives ``(query_id, candidate_id, row_key, side, col, v)``: the query's own cells and, per
-    query key, the candidate's. Names cannot clash because ``side`` tells them apart; a
-    clashing name gets ``_r`` when the result is pivoted. ``inner`` keeps only the
-    rows on which every value is present.
+    query row, the candidate's. A query's key may repeat: cells that carry ``row_id`` keep each of its rows, and
+    the result has that column too. Names cannot clash because ``side`` tells them apart. ``inner``
+    keeps only the rows on which every value is present.
     """
+    row = ["row_id", "row_key"] if "row_id" in cells.columns else ["row_key"]
     ids = pairs.select(*PQ).distinct()
     q = ids.join(cells.withColumnRenamed("dataset_id", "query_id"), "query_id")
-    q_cells = q.select(*PQ, "row_key", F.lit("query").alias("side"), "col", "v")
+    q_cells = q.select(*PQ, *row, F.lit("query").alias("side"), "col", "v")
     c = ids.join(cells.withColumnRenamed("dataset_id", "candidate_id"), "candidate_id")
-    q_keys = q.select(*PQ, "row_key").distinct()
+    q_rows = q.select(*PQ, *row).distinct()
     c_cols = c.select(*PQ, "col").distinct()
-    frame = attach(q_keys, c_cols, PQ, ["row_key"], how="inner")
+    frame = attach(q_rows, c_cols, PQ, row, how="inner")
     c_cells = frame.join(c.select(*PQ, "row_key", "col", "v"), [*PQ, "row_key", "col"], "left") \
-        .select(*PQ, "row_key", F.lit("candidate").alias("side"), "col", "v")
+        .select(*PQ, *row, F.lit("candidate").alias("side"), "col", "v")
     joined = q_cells.unionByName(c_cells)
     if how == "left":
         return joined
-    broken = joined.where(F.col("v").isNull()).select(*PQ, "row_key").distinct()
-    return joined.join(broken, [*PQ, "row_key"], "left_anti")
+    broken = joined.where(F.col("v").isNull()).select(*PQ, row[0]).distinct()
+    return joined.join(broken, [*PQ, row[0]], "left_anti")
 
 
 def unique_key_candidates(cells: DataFrame) -> DataFrame:
@@ -51,39 +58,45 @@ def unique_key_candidates(cells: DataFrame) -> DataFrame:
 def many_candidate_join(base_id: str, candidates: DataFrame, cells: DataFrame) -> DataFrame:
     """One base with all its candidates in a single join, mean-imputed, as cells.
 
-    Candidates with a repeated key are skipped; infinities and NaN count as missing; a column
-    without any match becomes 0. ``candidates`` holds ``candidate_id``.
+    The base's key may repeat (``row_id`` in ``cells`` keeps its rows apart, and is kept). Candidates
+    with a repeated key are skipped; infinities and NaN count as missing; means are those of the joined rows,
+    and a column without any match becomes 0. ``candidates`` holds ``candidate_id``.
     """
+    row = ["row_id", "row_key"] if "row_id" in cells.columns else ["row_key"]
     clean = cells.withColumn("v", finite(F.col("v")))
     base = clean.where(F.col("dataset_id") == base_id)
-    keys = base.select("row_key").distinct()
+    rows = materialise(base.select(*row).distinct())
     mine = clean.join(candidates.select(F.col("candidate_id").alias("dataset_id")), "dataset_id",
-                      "left_semi")
-    mine = mine.join(unique_key_candidates(mine), "dataset_id", "left_semi")
-    matched = mine.join(keys, "row_key", "left_semi")
+                      "left_semi").select("dataset_id", "row_key", "col", "v")
+    mine = materialise(mine.join(unique_key_candidates(mine), "dataset_id", "left_semi"))
+    matched = rows.join(mine, "row_key")
     wanted = mine.select("dataset_id", "col").distinct()
     means = matched.groupBy("dataset_id", "col").agg(F.avg("v").alias("m"))
-    wanted = wanted.join(means, ["dataset_id", "col"], "left").withColumn("one", F.lit(1))
-    frame = attach(keys.withColumn("one", F.lit(1)), wanted, ["one"], ["row_key"],
-                   how="inner").drop("one")
-    filled = frame.join(matched, ["dataset_id", "row_key", "col"], "left").select(
-        F.col("dataset_id").alias("candidate_id"), "row_key", "col",
+    # every row needs every column: rows go out in blocks, whose number follows the rows, and each meets the list of columns
+    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+    wanted = wanted.join(means, ["dataset_id", "col"], "left").withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    frame = rows.withColumn("block", F.pmod(F.xxhash64(row[0]), F.lit(blocks)).cast("int")).join(
+        wanted, "block").drop("block")
+    filled = frame.join(mine, ["dataset_id", "row_key", "col"], "left").select(
+        F.col("dataset_id").alias("candidate_id"), *row, "col",
         F.coalesce("v", "m", F.lit(0.0)).alias("v"))
     base_means = base.groupBy("col").agg(F.avg("v").alias("m"))
     base_filled = base.join(base_means, "col").select(
-        F.lit(base_id).alias("candidate_id"), "row_key", "col",
+        F.lit(base_id).alias("candidate_id"), *row, "col",
         F.coalesce("v", "m", F.lit(0.0)).alias("v"))
     return base_filled.unionByName(filled)
 
 
 def to_wide(joined: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pivot the joined cells of one base into a table; only for the few that survive.
+    """Pivot the joined cells of one base into a table, one line per base row; only for the few that survive.
 
-    A candidate column that repeats a name of the base gets the suffix ``_r``.
+    A column is named ``dataset/column``, so names cannot clash, unless ``joined`` gives a ``name``.
     """
+    row = ["row_id", "row_key"] if "row_id" in joined.columns else ["row_key"]
     name = F.col("name") if "name" in joined.columns else F.concat_ws("/", "candidate_id", "col")
-    named = joined.select("row_key", name.alias("name"), "v")
-    return named.groupBy("row_key").pivot("name", columns).agg(F.first("v"))
+    named = joined.select(*row, name.alias("name"), "v")
+    return named.groupBy(*row).pivot("name", columns).agg(F.first("v"))
 
 
 def containment(pairs: DataFrame, cells: DataFrame) -> DataFrame:

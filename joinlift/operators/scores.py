@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from joinlift.functions import attach, group_median, materialise
+from joinlift.operators.joins import with_row_id
 from joinlift.operators.splits import hold_out
 from joinlift.schema import PAIR
 
@@ -58,31 +59,33 @@ def relative_targets(scores: DataFrame) -> DataFrame:
 
 
 def model_rows(pairs: DataFrame, cells: DataFrame, *, inner: bool = False) -> DataFrame:
-    """One row per (pair, key): target ``y``, query features ``qx``, candidate features ``cx``.
+    """One row per (pair, query row): target ``y``, query features ``qx``, candidate features ``cx``.
 
     Arrays follow the column names in order. Missing candidate values are the mean of the
-    matched ones (0 if none), or with ``inner`` rows with a missing value are dropped.
+    matched ones (0 if none), or with ``inner`` rows with a missing value are dropped. A query's
+    key may repeat where ``cells`` has ``row_id``, which the result has in any case.
     """
     pairs = pairs.select(*PAIR).distinct()
     ids = pairs.select(F.col("query_id").alias("dataset_id")).union(
         pairs.select(F.col("candidate_id").alias("dataset_id"))).distinct()
-    used = cells.join(ids, "dataset_id", "left_semi")
+    used = with_row_id(cells).join(ids, "dataset_id", "left_semi")
     columns = used.groupBy("dataset_id").agg(F.sort_array(F.collect_set("col")).alias("cols"))
-    # a repeated key is averaged first, so a frequent key never fills a map
-    unique = used.groupBy("dataset_id", "row_key", "col").agg(F.avg("v").alias("v"))
-    rows = unique.groupBy("dataset_id", "row_key").agg(
-        F.map_from_entries(F.collect_list(F.struct("col", "v"))).alias("vs"))
+    # what repeats is averaged first, so a frequent key never fills a map
+    by_row, by_key = [
+        used.groupBy("dataset_id", *at, "col").agg(F.avg("v").alias("v")).groupBy("dataset_id", *at).agg(
+            F.map_from_entries(F.collect_list(F.struct("col", "v"))).alias("vs"))
+        for at in (["row_id", "row_key"], ["row_key"])]
     q_cols = columns.select(F.col("dataset_id").alias("query_id"), F.col("cols").alias("q_cols"))
     c_cols = columns.select(F.col("dataset_id").alias("candidate_id"), F.col("cols").alias("c_cols"))
     shape = pairs.join(q_cols, "query_id").join(c_cols, "candidate_id").withColumn(
         "q_cols", F.array_remove("q_cols", F.col("target")))
-    q_rows = rows.select(F.col("dataset_id").alias("query_id"), "row_key", F.col("vs").alias("qv"))
-    c_rows = rows.select(F.col("dataset_id").alias("candidate_id"), "row_key",
+    q_rows = by_row.select(F.col("dataset_id").alias("query_id"), "row_id", "row_key", F.col("vs").alias("qv"))
+    c_rows = by_key.select(F.col("dataset_id").alias("candidate_id"), "row_key",
                          F.col("vs").alias("cv"))
-    met = attach(q_rows, shape, ["query_id"], ["row_key"], how="inner").join(
+    met = attach(q_rows, shape, ["query_id"], ["row_id"], how="inner").join(
         c_rows, ["candidate_id", "row_key"], "inner" if inner else "left")
     wide = met.select(
-        *PAIR, "row_key", F.element_at("qv", F.col("target")).alias("y"),
+        *PAIR, "row_id", "row_key", F.element_at("qv", F.col("target")).alias("y"),
         F.transform("q_cols", lambda c: F.coalesce(F.element_at("qv", c), F.lit(0.0))).alias("qx"),
         F.transform("c_cols", lambda c: F.element_at("cv", c)).alias("cx")).where("y is not null")
     if inner:
@@ -92,7 +95,7 @@ def model_rows(pairs: DataFrame, cells: DataFrame, *, inner: bool = False) -> Da
         F.avg("v").alias("m")).groupBy(*PAIR).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))),
                     lambda e: F.coalesce(e["m"], F.lit(0.0))).alias("ms"))
-    return attach(wide, means, PAIR, ["row_key"]).withColumn(
+    return attach(wide, means, PAIR, ["row_id"]).withColumn(
         "cx", F.zip_with("cx", "ms", lambda v, m: F.coalesce(v, m))).drop("ms")
 
 
@@ -196,15 +199,15 @@ def before_and_after(pairs: DataFrame, cells: DataFrame, *, inner: bool = False,
                      seed: str = "42") -> DataFrame:
     """Hold-out scores of the linear user model with the query alone and with the candidate.
 
-    Both models see the same training rows; a key's side is a hash of the key.
+    Both models see the same training rows; a row's side is a hash of its id (of its key, where rows have none).
     """
-    rows = hold_out(model_rows(pairs, cells, inner=inner), seed=seed)
-    both = materialise(rows.select(*PAIR, "row_key", "is_train", "y", F.inline(F.array(
+    rows = hold_out(model_rows(pairs, cells, inner=inner), "row_id", seed=seed)
+    both = materialise(rows.select(*PAIR, "row_id", "is_train", "y", F.inline(F.array(
         F.struct(F.lit("before").alias("stage"), F.col("qx").alias("xs")),
         F.struct(F.lit("after").alias("stage"), F.concat("qx", "cx").alias("xs"))))))
     group = [*PAIR, "stage"]
     coefs = fit_linear(both.where("is_train"), group)
-    predicted = materialise(predict_linear(both.where("not is_train"), coefs, group, ["row_key"]))
+    predicted = materialise(predict_linear(both.where("not is_train"), coefs, group, ["row_id"]))
     errors = error_scores(predicted, group)
     return errors.groupBy(*PAIR).agg(*[
         F.max(F.when(F.col("stage") == s, F.col(m))).alias(f"{m}_{s}")

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from joinlift.operators import joins, profile, splits
+from joinlift.operators import assoc, joins, profile, scores, splits
 
 CELL = "dataset_id string, row_key string, col string, v double"
 
@@ -109,3 +109,33 @@ def test_profile_of_awkward_columns(spark):
     x = pd.Series([1, 2, 2, 3, 50.0])
     assert got["skewness"]["x"] == pytest.approx(x.skew()) and got["kurtosis"]["x"] == pytest.approx(x.kurt())
     assert got.n_distinct["x"] == 4
+
+
+def test_rows_of_a_repeated_base_key_stay_apart(spark):
+    cell = "dataset_id string, row_id string, row_key string, col string, v double"
+    rows = [("base", f"r{i}", f"k{i % 10}", c, float(v)) for i in range(40) for c, v in (("t", i), ("a", i * i % 7))]
+    rows += [("cand", f"k{k}", f"k{k}", "x", k * 3.0) for k in range(0, 10, 2)]
+    cells = spark.createDataFrame(rows, cell)
+    pairs = spark.createDataFrame([("base", "t", "cand")], "query_id string, target string, candidate_id string")
+    base = pd.DataFrame([(f"r{i}", i % 10, float(i), float(i * i % 7)) for i in range(40)], columns=["r", "k", "t", "a"])
+    base["x"] = base.k.map({k: k * 3.0 for k in range(0, 10, 2)})
+    filled = base.assign(x=base.x.fillna(base.x.mean())).set_index("r")
+
+    many = joins.many_candidate_join("base", pairs.select("candidate_id"), cells)
+    wide = joins.to_wide(many).toPandas().set_index("row_id")
+    assert len(wide) == 40
+    for mine, theirs in (("t", "base/t"), ("a", "base/a"), ("x", "cand/x")):
+        assert np.allclose(wide[theirs].reindex(filled.index), filled[mine])
+    left = joins.augmentation_join(pairs, cells).where("side = 'candidate'").toPandas()
+    assert len(left) == 40 and left.v.isna().sum() == 20
+    inner = joins.augmentation_join(pairs, cells, how="inner").where("side = 'query' and col = 't'").toPandas()
+    assert set(inner.row_id) == set(base[base.x.notna()].r)
+
+    own = assoc.linear(assoc.aligned(assoc.own_pairs(pairs), cells, impute=None)).toPandas()
+    assert own.pearson[0] == pytest.approx(base.t.corr(base.a))
+    cross = assoc.linear(assoc.aligned(pairs, cells)).toPandas()
+    assert cross.n[0] == 40 and cross.pearson[0] == pytest.approx(filled.t.corr(filled.x))
+
+    model = scores.model_rows(pairs, cells).toPandas().set_index("row_id").reindex(filled.index)
+    assert np.allclose(model.y, filled.t) and np.allclose(np.stack(model.qx)[:, 0], filled.a)
+    assert np.allclose(np.stack(model.cx)[:, 0], filled.x)
