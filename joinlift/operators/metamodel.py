@@ -25,7 +25,7 @@ from joinlift.schema import MODEL_FEATURES, PAIR
 
 TREES = 100
 DEPTH = 10
-ROWS_PER_PARTITION = 100_000
+ROWS_PER_PARTITION = 10_000
 MAX_PARTITIONS = 10_000
 
 
@@ -255,6 +255,12 @@ def interval_grid(scored: DataFrame, betas: Sequence[float], probability: str, l
     return classification_report(kept, label, predicted, ["beta"])
 
 
+def best_step(grid: DataFrame, step: str, positive: str = "gain", group: Sequence[str] = ()) -> DataFrame:
+    """The step of a grid (alpha, beta) with the highest F1 of the positive class; the smallest on a tie."""
+    own = grid.where(F.col("class") == positive) if "class" in grid.columns else grid
+    return own.groupBy(*group).agg(F.min_by(step, F.struct(-F.col("f1"), F.col(step))).alias(step), F.max("f1").alias("f1"))
+
+
 def theta_grid(scored: DataFrame, thetas: Sequence[float], label: str = "class",
                predicted: str = "pred_class", theta_of: str = "containment") -> DataFrame:
     """Reports of one model on the versions ``theta_of >= theta`` of a test set."""

@@ -209,6 +209,11 @@ def selection_overlap(selected: Sequence[str], useful: Sequence[str]) -> float:
 
 # ---- random injection ------------------------------------------------------------------------
 
+def mixing_weights(p: int, share: float = ETA, seed: int = 42) -> np.ndarray:
+    """Standard normal weights: a row per random column, a column per original feature."""
+    return np.random.default_rng(seed).standard_normal((math.ceil(share * p), p))
+
+
 def add_random_features(table: DataFrame, features: Sequence[str], share: float = ETA,
                         seed: int = 42) -> tuple[DataFrame, list[str]]:
     """Add ceil(share * p) random columns with each row's own mean and the rows' own covariance.
@@ -219,12 +224,11 @@ def add_random_features(table: DataFrame, features: Sequence[str], share: float
     p = len(features)
     if p < 2:
         raise ValueError("random features need at least two original ones")
-    n_random = math.ceil(share * p)
-    z = np.random.default_rng(seed).standard_normal((n_random, p))
+    z = mixing_weights(p, share, seed)
     xs = [F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)) for f in features]
     out = table.withColumn("__xs", F.array(*xs)).withColumn(
         "__m", F.aggregate("__xs", F.lit(0.0), lambda a, x: a + x) / p)
-    names = [f"{RANDOM_PREFIX}{i}" for i in range(n_random)]
+    names = [f"{RANDOM_PREFIX}{i}" for i in range(len(z))]
 
     def mixed(row):
         weights = F.array(*[F.lit(float(w)) for w in row])

@@ -4,13 +4,15 @@ from pyspark.sql import functions as F
 
 from joinlift.functions import materialise
 from joinlift.operators import instances, labels, metamodel, prune, scores, select, splits
+from joinlift.operators.report import classification_report
 from joinlift.plans import runs, testlake as lake
 from joinlift.plans.assoc_queries import ALIGNED
+from joinlift.plans.pair_queries import report_sql
 from joinlift.plans.registry import hash_sql, query, rnd, rnd_sql as rs, with_tables
 from joinlift.schema import PAIR
 
-# Small forests keep the checks short; the operators' own defaults are 100 trees.
-SMALL = dict(trees=20, depth=5)
+# Boosting is sequential, so its queries run fewer rounds than the operator's default of 100.
+FEWER_ROUNDS = dict(trees=20)
 SCORED_FEATURES = ["containment", "pearson_difference", "predicted_gain", "price", "p_gain"]
 
 # ---- scores of the user model; DuckDB solves the 2 x 2 system in closed form ---------------------
@@ -64,10 +66,19 @@ def ground_truth(spark, sf):
     return runs.make_ground_truth(lake.sources(spark, sf), lake.SOURCE_TARGETS, max_splits=3, max_columns=10, negatives=2)
 
 
-@query("m08_relative_targets")
+_M8 = {"decrease_in_mae": "mae", "decrease_in_mse": "mse", "decrease_in_medae": "medae", "gain_in_r2_score": "r2"}
+
+
+@query("m08_relative_targets", with_tables(
+    "SELECT query_id, candidate_id, " + ", ".join(
+        rs(f"(n.{m} - p.{m}) / " + (f"abs(nullif(p.{m}, 0))" if m == "r2" else f"nullif(p.{m}, 0)"), 3 if m == "r2" else 7) + f" AS {name}"
+        for name, m in _M8.items())
+    + ", " + ", ".join(f"n.{m} {'>' if m == 'r2' else '<'} p.{m} AS {m}_improved" for m in _M8.values())
+    + f" FROM ({_BEFORE}) p JOIN ({_AFTER}) n USING (query_id, candidate_id)", cells=_M1_CELLS, pairs=_PAIRS_SQL, rows=ALIGNED, xy=_XY, fit=_FIT))
 def relative(spark, sf):
-    return scores.improvement_flags(scores.relative_targets(
-        scores.before_and_after(*_m1_inputs(spark, sf))))
+    out = scores.improvement_flags(scores.relative_targets(scores.before_and_after(*_m1_inputs(spark, sf))))
+    return out.select("query_id", "candidate_id", *[rnd(name, 3 if m == "r2" else 7).alias(name) for name, m in _M8.items()],
+                      *[f"{m}_improved" for m in _M8.values()])
 
 
 def _train_test(spark, sf):
@@ -75,10 +86,14 @@ def _train_test(spark, sf):
     return s.where("part = 'train'").drop("part"), s.where("part = 'test'").drop("part")
 
 
+def _rounds(kind):
+    return FEWER_ROUNDS if kind == "boosted trees" else {}
+
+
 def _regression(kind):
     def run(spark, sf):
         train, test = _train_test(spark, sf)
-        model = metamodel.train_regressor(train, SCORED_FEATURES, kind=kind, **SMALL)
+        model = metamodel.train_regressor(train, SCORED_FEATURES, kind=kind, **_rounds(kind))
         scored = metamodel.apply_regressor(model, test, SCORED_FEATURES)
         return scores.error_scores(scored.select("target", F.col("gain").alias("y"),
                                                  F.col("score").alias("yhat")), ["target"])
@@ -94,7 +109,7 @@ for _name, _kind in {"m02_linear_regression": "linear", "m03_random_forest": "ra
 def _classification(kind):
     def run(spark, sf):
         train, test = _train_test(spark, sf)
-        model = metamodel.train_classifier(train, SCORED_FEATURES, kind=kind, **SMALL)
+        model = metamodel.train_classifier(train, SCORED_FEATURES, kind=kind, **_rounds(kind))
         scored = metamodel.apply_classifier(model, test.drop("pred_class"), SCORED_FEATURES)
         return scored.select("query_id", "candidate_id", "class", "pred_class", "score")
     return run
@@ -108,20 +123,20 @@ for _name, _kind in {"m11_metamodel_classifier": "random forest", "m05_boosted_c
 @query("m12_regressor_on_positives")
 def on_positives(spark, sf):
     train, test = _train_test(spark, sf)
-    model = metamodel.train_regressor(train, SCORED_FEATURES, above=0.0, **SMALL)
+    model = metamodel.train_regressor(train, SCORED_FEATURES, above=0.0)
     return metamodel.apply_regressor(model, test, SCORED_FEATURES).select(
         "query_id", "candidate_id", "gain", "score")
 
 
 @query("m14_cross_validation")
 def cross_validation(spark, sf):
-    return metamodel.cross_validate(lake.scored(spark, sf), 3, SCORED_FEATURES, **SMALL)[0]
+    return metamodel.cross_validate(lake.scored(spark, sf), 3, SCORED_FEATURES)[0]
 
 
 @query("m15_mean_importances")
 def importances(spark, sf):
     train, _ = _train_test(spark, sf)
-    parts = [metamodel.importances(metamodel.train_classifier(train, SCORED_FEATURES, seed=s, **SMALL),
+    parts = [metamodel.importances(metamodel.train_classifier(train, SCORED_FEATURES, seed=s),
                                    spark, SCORED_FEATURES, str(s)) for s in (42, 17)]
     return metamodel.mean_importances(parts)
 
@@ -129,7 +144,7 @@ def importances(spark, sf):
 @query("m16_seed_flips")
 def flips(spark, sf):
     train, test = _train_test(spark, sf)
-    out = metamodel.seed_flips(train, test.drop("pred_class"), SCORED_FEATURES, **SMALL)
+    out = metamodel.seed_flips(train, test.drop("pred_class"), SCORED_FEATURES)
     return out.select("query_id", "candidate_id", "pred_0", "pred_1", "flips")
 
 
@@ -137,24 +152,48 @@ def flips(spark, sf):
 def transfer(spark, sf):
     s = lake.scored(spark, sf).drop("pred_class")
     corpora = {m: s.where(F.col("gain_marker") == m) for m in ("positive", "negative")}
-    return metamodel.transfer(corpora, corpora, SCORED_FEATURES, mix=0.1, **SMALL)
+    return metamodel.transfer(corpora, corpora, SCORED_FEATURES, mix=0.1)
 
 
 @query("m20_alpha_grid")
 def alpha_grid(spark, sf):
     train, test = _train_test(spark, sf)
     return metamodel.threshold_grid(train.drop("pred_class"), test.drop("pred_class"), SCORED_FEATURES,
-                                    [0.0, 0.7, 1.5], **SMALL)
+                                    [0.0, 0.7, 1.5])
 
 
-@query("m20_beta_and_theta_grids", None)
-def beta_theta(spark, sf):
+BETAS = [i / 100 for i in range(0, 50, 5)]
+THETAS = [i / 20 for i in range(21)]
+
+
+def _steps_sql(steps):
+    return "(SELECT unnest([" + ", ".join(f"{v}::DOUBLE" for v in steps) + "]) AS \"at\")"
+
+
+_GRIDS = with_tables(
+    "", base=lake.SCORED_SQL, s=f"SELECT 'beta' AS grid, * FROM base, {_steps_sql(BETAS)} WHERE abs(p_gain - 0.5) > \"at\" UNION ALL "
+      f"SELECT 'theta' AS grid, * FROM base, {_steps_sql(THETAS)} WHERE containment >= \"at\"").rstrip() + ", " + report_sql('grid, "at"')
+
+
+def _grids(spark, sf):
     s = lake.scored(spark, sf)
-    betas = metamodel.interval_grid(s, [0.0, 0.05, 0.1, 0.2, 0.3], "p_gain").withColumnRenamed("beta", "at")
-    thetas = metamodel.theta_grid(s, [0.0, 0.25, 0.5, 0.75, 1.0]).withColumnRenamed("theta", "at")
+    betas = metamodel.interval_grid(s, BETAS, "p_gain").withColumnRenamed("beta", "at")
+    thetas = metamodel.theta_grid(s, THETAS).withColumnRenamed("theta", "at")
     return betas.withColumn("grid", F.lit("beta")).unionByName(thetas.withColumn("grid", F.lit("theta")))
 
 
+@query("m20_beta_and_theta_grids", _GRIDS)
+def beta_theta(spark, sf):
+    return _grids(spark, sf).withColumns({c: rnd(c, 8) for c in ("precision", "recall", "f1")})
+
+
+@query("m20_best_steps", f"SELECT grid, \"at\", f1 FROM (SELECT grid, \"at\", f1, row_number() OVER (PARTITION BY grid ORDER BY f1 DESC, \"at\") AS k "
+       f"FROM ({_GRIDS}) WHERE class = 'gain') WHERE k = 1")
+def best_steps(spark, sf):
+    rounded = _grids(spark, sf).withColumn("f1", rnd("f1", 8))
+    return metamodel.best_step(rounded, "at", group=["grid"])
+
+
 @query("m21_principal_components")
 def components(spark, sf):
     return metamodel.principal_components(lake.scored(spark, sf), SCORED_FEATURES, 2).select(
@@ -179,7 +218,7 @@ def _nations(spark, sf):
 @query("u03_classifier_pruner")
 def classifier_pruner(spark, sf):
     pairs, _, vectors, known = _nations(spark, sf)
-    model = metamodel.train_classifier(known, **SMALL)
+    model = metamodel.train_classifier(known)
     return prune.by_model(vectors.join(pairs, PAIR, "left_semi"), metamodel.scorer(model), n=3).select(
         *PAIR, "score", "rank")
 
@@ -187,7 +226,7 @@ def classifier_pruner(spark, sf):
 @query("u04_regression_pruner")
 def regression_pruner(spark, sf):
     pairs, _, vectors, known = _nations(spark, sf)
-    model = metamodel.train_regressor(known, **SMALL)
+    model = metamodel.train_regressor(known)
     return prune.by_model(vectors.join(pairs, PAIR, "left_semi"), metamodel.scorer(model, regression=True),
                           n=3, min_score=float("-inf")).select(*PAIR, "score", "rank")
 
@@ -195,7 +234,7 @@ def regression_pruner(spark, sf):
 def _two_steps(**kw):
     def run(spark, sf):
         pairs, cells, _, known = _nations(spark, sf)
-        return runs.hierarchical(pairs, cells, known, **kw, **SMALL).select(*PAIR, "score")
+        return runs.hierarchical(pairs, cells, known, **kw).select(*PAIR, "score")
     return run
 
 
@@ -207,7 +246,7 @@ query("u07_hybrid_classifier_regressor")(_two_steps(n=3, regression=True, min_sc
 @query("u08_containment_then_classifier")
 def hybrid(spark, sf):
     pairs, cells, _, known = _nations(spark, sf)
-    model = metamodel.train_classifier(known, **SMALL)
+    model = metamodel.train_classifier(known)
     return prune.containment_then_model(pairs, cells, lambda p: instances.feature_vectors(p, cells),
                                         metamodel.scorer(model), n=2).select(*PAIR, "score", "rank")
 
@@ -219,7 +258,18 @@ def full_run(spark, sf):
                                  pruner=lambda p: prune.by_containment(p, cells, 1), selector="elimination")
 
 
-@query("u12_candidates_by_true_gain")
+_U12 = (
+    "truth AS (SELECT query_id, candidate_id, (n.r2 - p.r2) / abs(nullif(p.r2, 0)) AS gain "
+    f"FROM ({_BEFORE}) p JOIN ({_AFTER}) n USING (query_id, candidate_id)), "
+    "base_keys AS (SELECT DISTINCT dataset_id, row_key FROM cells), "
+    "met AS (SELECT query_id, candidate_id, count(k.row_key)::DOUBLE / count(*) AS containment FROM pairs JOIN base_keys q ON q.dataset_id = query_id "
+    "LEFT JOIN base_keys k ON k.dataset_id = candidate_id AND k.row_key = q.row_key GROUP BY 1, 2), "
+    "s AS (SELECT CASE WHEN gain > 0 THEN 'gain' ELSE 'loss' END AS class, CASE WHEN containment >= 0.6 THEN 'gain' ELSE 'loss' END AS pred_class "
+    "FROM truth JOIN met USING (query_id, candidate_id)), ")
+
+
+@query("u12_candidates_by_true_gain", with_tables(
+    "", cells=lake.nation_cells_sql(), pairs=lake.NATION_PAIRS_SQL, rows=ALIGNED, xy=_XY, fit=_FIT).rstrip() + ", " + _U12 + report_sql())
 def true_gain(spark, sf):
     """Label every candidate by the gain of joining it alone and report on a containment rule."""
     cells = materialise(lake.nation_cells(spark, sf))
@@ -228,8 +278,8 @@ def true_gain(spark, sf):
     known = labels.by_threshold(truth, gain="gain_in_r2_score", out="class")
     ranked = prune.ranked_by_containment(pairs, cells).withColumn(
         "pred_class", labels.label(F.col("containment") >= 0.6))
-    from joinlift.operators.report import classification_report
-    return classification_report(known.join(ranked, PAIR), "class", "pred_class")
+    out = classification_report(known.join(ranked, PAIR), "class", "pred_class")
+    return out.withColumns({c: rnd(c, 8) for c in ("precision", "recall", "f1")})
 
 
 # ---- selectors -----------------------------------------------------------------------------------
@@ -296,17 +346,33 @@ def _names(spark, names):
     return spark.createDataFrame([(n,) for n in names], "col string")
 
 
-@query("k13_correlated_features",
-       "SELECT 'double_quantity' AS col FROM (SELECT corr(l_quantity, l_quantity * 2 + l_tax) AS r FROM lineitem) WHERE abs(r) > 0.85")
+_WIDE_SQL = ("SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS row_key, l_linenumber, l_partkey, l_suppkey, "
+             "max(l_extendedprice) AS y, max(l_quantity) AS l_quantity, max(l_discount) AS l_discount, max(l_tax) AS l_tax, "
+             "max(l_orderkey % 97) AS noise FROM lineitem GROUP BY ALL")
+_DOUBLED = [*LINE_FEATURES, "double_quantity"]
+
+
+@query("k13_correlated_features", with_tables(
+    " UNION ".join(f"SELECT '{b}' AS col FROM w HAVING abs(corr({a}, {b})) > 0.85" for i, b in enumerate(_DOUBLED) for a in _DOUBLED[:i]),
+    w=f"SELECT *, l_quantity * 2 + l_tax AS double_quantity FROM ({_WIDE_SQL})"))
 def correlated(spark, sf):
     t = _table(spark, sf).withColumn("double_quantity", F.col("l_quantity") * 2 + F.col("l_tax"))
     return _names(spark, select.correlated(t, [*LINE_FEATURES, "double_quantity"]))
 
 
-@query("k01_random_features")
+def _random_sql():
+    p = len(LINE_FEATURES)
+    columns = [" + ".join(f"({f} - m) * {float(z)!r}::DOUBLE" for f, z in zip(LINE_FEATURES, row))
+               for row in select.mixing_weights(p)]
+    return with_tables("SELECT row_key, " + ", ".join(
+        rs(f"m + ({c}) / sqrt({p - 1}.0::DOUBLE)", 4) + f" AS {select.RANDOM_PREFIX}{i}" for i, c in enumerate(columns)) + " FROM w",
+        w="SELECT *, (" + " + ".join(f"{f}::DOUBLE" for f in LINE_FEATURES) + f") / {p} AS m FROM ({_WIDE_SQL})")
+
+
+@query("k01_random_features", _random_sql())
 def random_features(spark, sf):
     out, names = select.add_random_features(_table(spark, sf), LINE_FEATURES)
-    return out.select("row_key", *names)
+    return out.select("row_key", *[rnd(n, 4).alias(n) for n in names])
 
 
 _COEFS_SQL = ("SELECT p_size AS ranking, p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'random_feature_' ELSE 'f_' END || p_partkey AS col, "
@@ -376,3 +442,17 @@ def score_overlap(spark, sf):
     useful = [r["col"] for r in select.by_correlation(_tall(spark, sf)).collect()]
     return spark.createDataFrame([(float(r2), select.selection_overlap(chosen, useful))],
                                  "r2 double, overlap double")
+
+
+@query("k15_selection_overlap", with_tables(
+    "SELECT count(b.col) / count(*)::DOUBLE AS overlap FROM a LEFT JOIN b USING (col)",
+    t=_LINES_SQL,
+    a="SELECT col FROM (SELECT col, row_number() OVER (ORDER BY var_pop(x) DESC, col) AS k, count(*) OVER () AS p FROM t GROUP BY 1) WHERE k <= floor(sqrt(p))",
+    b="SELECT col FROM (SELECT col, row_number() OVER (ORDER BY abs(corr(x, y)) DESC, col) AS k, count(*) OVER () AS p FROM t GROUP BY 1) WHERE k <= floor(sqrt(p))"))
+def overlap(spark, sf):
+    """How many of the features of largest variance are among the best by correlation."""
+    tall = _tall(spark, sf)
+    widest = select.keep_top_root(select.low_variance(tall, float("inf")), "variance")
+    share = select.selection_overlap([r["col"] for r in widest.collect()],     # names of features only
+                                     [r["col"] for r in select.by_correlation(tall).collect()])
+    return spark.createDataFrame([(share,)], "overlap double")

@@ -381,7 +381,7 @@ def rankings(spark, sf):
         "query_id", "candidate_id", "real_rank", "pred_rank", "cont_rank", "pear_rank")
 
 
-def _report_sql(group=""):
+def report_sql(group=""):
     g = f"{group}, " if group else ""
     return (
         f"per AS (SELECT {g}c AS class, coalesce(hits / nullif(said, 0), 0) AS precision, coalesce(hits / nullif(support, 0), 0) AS recall, "
@@ -395,13 +395,13 @@ def _report_sql(group=""):
         + f", sum(support)::BIGINT FROM per {'GROUP BY ' + group if group else ''}")
 
 
-@query("r02_classification_report", f"WITH s AS ({lake.SCORED_SQL}), {_report_sql()}")
+@query("r02_classification_report", f"WITH s AS ({lake.SCORED_SQL}), {report_sql()}")
 def class_report(spark, sf):
     out = report.classification_report(lake.scored(spark, sf), "class", "pred_class")
     return out.withColumns({c: rnd(c, 8) for c in ("precision", "recall", "f1")})
 
 
-@query("r02_report_per_query", f"WITH s AS ({lake.SCORED_SQL}), {_report_sql('query_id')}")
+@query("r02_report_per_query", f"WITH s AS ({lake.SCORED_SQL}), {report_sql('query_id')}")
 def class_report_per_query(spark, sf):
     out = report.classification_report(lake.scored(spark, sf), "class", "pred_class", ["query_id"])
     return out.withColumns({c: rnd(c, 8) for c in ("precision", "recall", "f1")})

@@ -291,3 +291,14 @@ def nation_pairs(cells_: DataFrame) -> DataFrame:
     return names.where(is_base).select(
         F.col("dataset_id").alias("query_id"), F.lit("c_acctbal").alias("target"),
         F.explode(columns).alias("candidate_id"))
+
+
+_NATION = "SELECT 'nation/' || c_nationkey AS dataset_id, c_custkey::VARCHAR AS row_key, "
+NATION_PAIRS_SQL = (
+    "SELECT 'nation/' || n AS query_id, 'c_acctbal' AS target, candidate_id FROM (SELECT DISTINCT c_nationkey AS n FROM customer), "
+    f"(SELECT DISTINCT dataset_id AS candidate_id FROM ({single_cells_sql(*CANDIDATES)}))")
+
+
+def nation_cells_sql() -> str:
+    return (_NATION + "'c_acctbal' AS col, c_acctbal::DOUBLE AS v FROM customer UNION ALL " + _NATION
+            + f"'segment', ascii(c_mktsegment)::DOUBLE FROM customer UNION ALL {single_cells_sql(*CANDIDATES)}")
