@@ -7,15 +7,21 @@ number of pairs, not of rows. Predictions and errors are built-in expressions ag
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import StandardScaler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from joinlift.functions import attach, group_median, materialise
+from joinlift.operators.impute import best_strategy, fill_value
 from joinlift.operators.joins import with_row_id
+from joinlift.operators.metamodel import ROWS_PER_PARTITION, in_fixed_order, regressors
 from joinlift.operators.splits import hold_out
 from joinlift.schema import PAIR
 
@@ -58,11 +64,11 @@ def relative_targets(scores: DataFrame) -> DataFrame:
         "gain_in_r2_score": relative_gain("r2_before", "r2_after")})
 
 
-def model_rows(pairs: DataFrame, cells: DataFrame, *, inner: bool = False) -> DataFrame:
+def model_rows(pairs: DataFrame, cells: DataFrame, *, inner: bool = False, strategy: str = "mean") -> DataFrame:
     """One row per (pair, query row): target ``y``, query features ``qx``, candidate features ``cx``.
 
-    Arrays follow the column names in order. Missing candidate values are the mean of the
-    matched ones (0 if none), or with ``inner`` rows with a missing value are dropped. A query's
+    Arrays follow the column names in order. Missing candidate values are the mean (or
+    median, or most frequent: ``strategy``) of the matched ones (0 if none), or with ``inner`` rows with a missing value are dropped. A query's
     key may repeat where ``cells`` has ``row_id``, which the result has in any case.
     """
     pairs = pairs.select(*PAIR).distinct()
@@ -91,10 +97,12 @@ def model_rows(pairs: DataFrame, cells: DataFrame, *, inner: bool = False) -> Da
     if inner:
         return wide.where(~F.exists("cx", lambda v: v.isNull()))
     wide = materialise(wide)
-    means = wide.select(*PAIR, F.posexplode("cx").alias("i", "v")).groupBy(*PAIR, "i").agg(
-        F.avg("v").alias("m")).groupBy(*PAIR).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))),
-                    lambda e: F.coalesce(e["m"], F.lit(0.0))).alias("ms"))
+    values = wide.select(*PAIR, F.posexplode("cx").alias("i", "v"))
+    # a column without any match has no fill of its own
+    fills = values.select(*PAIR, "i").distinct().join(fill_value(values, [*PAIR, "i"], "v", strategy), [*PAIR, "i"], "left")
+    means = fills.groupBy(*PAIR).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("i", "fill"))),
+                    lambda e: F.coalesce(e["fill"], F.lit(0.0))).alias("ms"))
     return attach(wide, means, PAIR, ["row_id"]).withColumn(
         "cx", F.zip_with("cx", "ms", lambda v, m: F.coalesce(v, m))).drop("ms")
 
@@ -195,28 +203,72 @@ def error_scores(predicted: DataFrame, group: list[str]) -> DataFrame:
         (1 - F.col("mse") / F.nullif(F.col("__v"), F.lit(0.0))).alias("r2"))
 
 
+def _by_stage(errors: DataFrame) -> DataFrame:
+    return errors.groupBy(*PAIR).agg(*[
+        F.max(F.when(F.col("stage") == s, F.col(m))).alias(f"{m}_{s}")
+        for m in ERRORS for s in ("before", "after")])
+
+
 def before_and_after(pairs: DataFrame, cells: DataFrame, *, inner: bool = False,
-                     seed: str = "42") -> DataFrame:
+                     seed: str = "42", strategy: str = "mean") -> DataFrame:
     """Hold-out scores of the linear user model with the query alone and with the candidate.
 
     Both models see the same training rows; a row's side is a hash of its id (of its key, where rows have none).
     """
-    rows = hold_out(model_rows(pairs, cells, inner=inner), "row_id", seed=seed)
+    rows = hold_out(model_rows(pairs, cells, inner=inner, strategy=strategy), "row_id", seed=seed)
     both = materialise(rows.select(*PAIR, "row_id", "is_train", "y", F.inline(F.array(
         F.struct(F.lit("before").alias("stage"), F.col("qx").alias("xs")),
         F.struct(F.lit("after").alias("stage"), F.concat("qx", "cx").alias("xs"))))))
     group = [*PAIR, "stage"]
     coefs = fit_linear(both.where("is_train"), group)
     predicted = materialise(predict_linear(both.where("not is_train"), coefs, group, ["row_id"]))
-    errors = error_scores(predicted, group)
-    return errors.groupBy(*PAIR).agg(*[
-        F.max(F.when(F.col("stage") == s, F.col(m))).alias(f"{m}_{s}")
-        for m in ERRORS for s in ("before", "after")])
+    return _by_stage(error_scores(predicted, group))
+
+
+def before_and_after_with(kind: str, pairs: DataFrame, cells: DataFrame, *, inner: bool = False, seed: str = "42",
+                          strategy: str = "mean", **model) -> DataFrame:
+    """The same scores of another user model (a name of ``metamodel.regressors``), with features scaled on the training rows.
+
+    Each pair is a fit of its own on all executors, so this is for the finalists that the pruners leave.
+    The target keeps its unit: a linear scale of it changes neither R2 nor relative errors. A query
+    without features is fitted on a constant. Pairs without training rows have no scores.
+    """
+    rows = materialise(hold_out(model_rows(pairs, cells, inner=inner, strategy=strategy), "row_id", seed=seed))
+    counts = rows.where("is_train").groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n")).collect()   # one row per finalist
+    predicted = rows.where("false").select(*PAIR, F.lit("").alias("stage"), "y", F.lit(0.0).alias("yhat"))
+    for pair in counts:
+        own = rows
+        for c in PAIR:
+            own = own.where(F.col(c).eqNullSafe(F.lit(pair[c])))
+        for stage, xs in (("before", F.col("qx")), ("after", F.concat("qx", "cx"))):
+            ready = own.select("row_id", "is_train", "y", F.col("y").alias("label"), array_to_vector(
+                F.when(F.size(xs) == 0, F.array(F.lit(0.0))).otherwise(xs)).alias("raw"))
+            train = in_fixed_order(ready.where("is_train"), ["row_id"], math.ceil(pair["n"] / ROWS_PER_PARTITION)).persist()
+            try:
+                fitted = Pipeline(stages=[StandardScaler(inputCol="raw", outputCol="features", withMean=True),
+                                          regressors(**model)[kind]]).fit(train)
+            finally:
+                train.unpersist()
+            predicted = predicted.unionByName(fitted.transform(ready.where("not is_train")).select(
+                *[F.lit(pair[c]).alias(c) for c in PAIR], F.lit(stage).alias("stage"), "y", F.col("prediction").alias("yhat")))
+    return _by_stage(error_scores(materialise(predicted), [*PAIR, "stage"]))
+
+
+def with_best_imputation(pairs: DataFrame, cells: DataFrame, strategies: Sequence[str] = ("mean", "median", "most_frequent"),
+                         *, seed: str = "42") -> DataFrame:
+    """Scores under the imputation whose model after the join has the lowest MAE; ``strategy`` names it."""
+    each = None
+    for s in strategies:
+        one = before_and_after(pairs, cells, seed=seed, strategy=s).withColumn("strategy", F.lit(s))
+        each = one if each is None else each.unionByName(one)
+    each = materialise(each)
+    best = best_strategy(each.withColumn("mae", F.col("mae_after")), PAIR).select(*PAIR, "strategy")
+    return each.join(best, [*PAIR, "strategy"])
 
 
 def training_records(scores: DataFrame, strategy: str | None = "mean",
-                     mark: Column | None = None) -> DataFrame:
-    """Scores in the shape of training records: one [before, after] array per metric."""
+                     mark: Column | None = None, algorithm: str | None = None) -> DataFrame:
+    """Scores in the shape of training records: one [before, after] array per metric, and the ``algorithm`` where given."""
     names = {"mae": "mean_absolute_error", "mse": "mean_squared_error",
              "medae": "median_absolute_error", "r2": "r2_score"}
     return scores.select(
@@ -224,4 +276,5 @@ def training_records(scores: DataFrame, strategy: str | None = "mean",
         F.col("candidate_id").alias("candidate_dataset"),
         F.lit(strategy).cast("string").alias("imputation_strategy"),
         (mark if mark is not None else F.lit(None).cast("string")).alias("mark"),
-        *[F.array(f"{m}_before", f"{m}_after").alias(n) for m, n in names.items()])
+        *[F.array(f"{m}_before", f"{m}_after").alias(n) for m, n in names.items()],
+        *([F.lit(algorithm).alias("algorithm")] if algorithm else []))

@@ -46,6 +46,46 @@ def test_before_and_after_equals_least_squares(spark, wide):
     assert flags["r2_improved"] and flags["mae_improved"]
 
 
+@pytest.fixture(scope="module")
+def joined_cells(spark, wide):
+    rows = [("q", k, c, float(v)) for c in ("y", "f0") for k, v in zip(wide.k, wide[c])]
+    rows += [("c", k, "f1", float(v)) for k, v in zip(wide.k[:400], wide.f1)]
+    return spark.createDataFrame([*rows, *[("lone", k, "y", float(v)) for k, v in zip(wide.k, wide.y)]], CELL)
+
+
+def test_other_user_models(spark, joined_cells):
+    pairs = spark.createDataFrame([("q", "y", "c"), ("lone", "y", "c")], PAIR)
+    plain = {r["query_id"]: r for r in scores.before_and_after(pairs, joined_cells).collect()}
+    same = {r["query_id"]: r for r in scores.before_and_after_with("linear", pairs, joined_cells).collect()}
+    for q in ("q", "lone"):
+        for m in scores.ERRORS:
+            for s in ("before", "after"):
+                assert same[q][f"{m}_{s}"] == pytest.approx(plain[q][f"{m}_{s}"], rel=1e-6, abs=1e-9)
+    forest = scores.before_and_after_with("random forest", pairs.where("query_id = 'q'"), joined_cells, trees=20).first()
+    assert forest["r2_after"] > forest["r2_before"] > 0.5
+    record = scores.training_records(scores.before_and_after(pairs, joined_cells), algorithm="linear").first()
+    assert record["algorithm"] == "linear"
+    assert scores.before_and_after_with("linear", pairs.where("false"), joined_cells).count() == 0
+
+
+def test_best_imputation_has_the_lowest_error(spark, joined_cells):
+    pairs = spark.createDataFrame([("q", "y", "c")], PAIR)
+    each = {s: scores.before_and_after(pairs, joined_cells, strategy=s).first()["mae_after"] for s in ("mean", "median", "most_frequent")}
+    best = scores.with_best_imputation(pairs, joined_cells).first()
+    assert best["mae_after"] == pytest.approx(min(each.values())) and each[best["strategy"]] == pytest.approx(min(each.values()))
+
+
+def test_recorded_relative_scores(spark):
+    df = spark.createDataFrame([(0.0562187572, 0.2827487144, 0.6700611970, 0.5472515171)], "r0 double, r1 double, e0 double, e1 double")
+    got = df.select(scores.relative_gain("r0", "r1"), scores.relative_change("e0", "e1")).first()
+    assert got[0] == pytest.approx(4.0294373004, rel=1e-7) and got[1] == pytest.approx(-0.1832812890, rel=1e-7)
+
+
+def test_best_step_takes_the_smaller_of_equal_ones(spark):
+    grid = spark.createDataFrame([(0.2, "gain", 0.5), (0.1, "gain", 0.5), (0.0, "gain", 0.4), (0.3, "loss", 0.9)], "alpha double, class string, f1 double")
+    assert metamodel.best_step(grid, "alpha").first().asDict() == {"alpha": 0.1, "f1": 0.5}
+
+
 def test_a_constant_feature_has_no_weight(spark):
     t = pd.DataFrame({"g": ["a"] * 20, "xs": [[1.0 * i, 7.0] for i in range(20)], "y": [2.0 * i + 1 for i in range(20)]})
     coef = scores.fit_linear(spark.createDataFrame(t), ["g"]).first()["coef"]
