@@ -60,6 +60,12 @@ def before_after(spark, sf):
         for s in ("before", "after")], *[rnd(F.sqrt(f"mse_{s}"), 2).alias(f"rmse_{s}") for s in ("before", "after")])
 
 
+@query("m01_user_model_forest")
+def forest_scores(spark, sf):
+    """The same pairs under a random forest as the user's model."""
+    return scores.before_and_after_with("random forest", *_m1_inputs(spark, sf))
+
+
 @query("m01_ground_truth_records")
 def ground_truth(spark, sf):
     """Sources -> splits -> positive and negative pairs -> scores -> training records."""
