@@ -14,7 +14,7 @@ part, but is never a component's smallest id; a component of null ids alone has
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -153,13 +153,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
                     radius: int = RADIUS) -> DataFrame:
     """(id, fp, component_id) of every row."""
     rows = store(fingerprints(docs, key, text, words))
-    return lookup_join(rows, _groups(rows, radius), "fp", "n").select("id", "fp", "component_id")
+    distinct = _distinct(rows)
+    return lookup_join(rows, _groups(distinct, links(distinct, radius)), "fp", "n").select("id", "fp", "component_id")
 
 
-def _groups(rows: DataFrame, radius: int) -> DataFrame:
+def _distinct(rows: DataFrame) -> DataFrame:
+    return store(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")))
+
+
+def _groups(distinct: DataFrame, linked: DataFrame) -> DataFrame:
     """Stored (fp, n, root, component_id): root names the component by a fingerprint."""
-    distinct = store(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")))
-    roots = components(links(distinct, radius), "a", "b").select(F.col("node").alias("fp"), "component")
+    roots = components(linked, "a", "b").select(F.col("node").alias("fp"), "component")
     rooted = store(distinct.join(roots, "fp", "left").select(
         "fp", "n", "first", F.coalesce("component", "fp").alias("root")))
     least = store(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("m")))
@@ -174,7 +178,13 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     without an id, or whose id names several fingerprints, are hashed again and matched by id and fingerprint.
     """
     rows = store(fingerprints(docs, key, text, words))
-    placed = lookup_join(rows, _groups(rows, radius), "fp", "n")
+    return keep_rows(docs, key, text, rows, links(_distinct(rows), radius), lambda t: fingerprint(t, words))
+
+
+def keep_rows(docs: DataFrame, key: str, text: str, rows: DataFrame, linked: DataFrame,
+              fingerprint_of: Callable[[bytes], int]) -> DataFrame:
+    """``keep_first`` for any fingerprint and links. ``rows``: stored (id, fp) of every row."""
+    placed = lookup_join(rows, _groups(_distinct(rows), linked), "fp", "n")
     wanted = store(placed.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root", "id")
                    .agg(F.min("fp").alias("__fp")).select(F.col("id").alias("__id"), "__fp"))
     several = store(rows.where("id is not null").groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y"))
@@ -184,7 +194,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     plain = docs.join(wanted.join(several, "__id", "left_anti").select("__id"), own == F.col("__id"), "left_semi")
     plain = _first_row(plain, [F.col(key)], order)
     again = _with_fingerprint(docs.where(F.col(key).isNull()).unionByName(
-        docs.join(several, own == F.col("__id"), "left_semi")), text, words)
+        docs.join(several, own == F.col("__id"), "left_semi")), text, fingerprint_of)
     again = again.join(wanted, own.eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__fp")), "left_semi")
     return plain.unionByName(_first_row(again, [F.col(key), F.col("__own")], order).drop("__own"))
 
@@ -195,14 +205,14 @@ def _first_row(frame: DataFrame, by: list, order: list) -> DataFrame:
         "__rank = 1").drop("__rank")
 
 
-def _with_fingerprint(docs: DataFrame, text: str, words: int) -> DataFrame:
+def _with_fingerprint(docs: DataFrame, text: str, fingerprint_of: Callable[[bytes], int]) -> DataFrame:
     """Every column, and the fingerprint as ``__own``."""
     at = position(docs, text)
     schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "__own long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t, words) for t in texts(batch.column(at))], np.uint64).view(np.int64)
+            fp = np.array([fingerprint_of(t) for t in texts(batch.column(at))], np.uint64).view(np.int64)
             yield with_columns(batch, __own=pa.array(fp))
 
     return docs.mapInArrow(run, schema)
