@@ -69,7 +69,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-file-{uuid.uuid4().hex}"
     token_file.write(table(spark, sf_dir, "documents", "doc_id", "text"), path, tokenizer("byte_bpe_50k.json"),
-                     split_pattern())
+                     split_pattern(), added=True)
     return token_file.index(spark, path)
 
 

@@ -79,26 +79,30 @@ class Encoder:
     """Token ids of whole texts by a byte-level tokenizer file.
 
     Texts are cut where no token can cross. Pieces seen before are looked up; new ones are split by the file's pattern,
-    and the library's model merges each new word.
+    and the library's model merges each new word. With ``added``, a text that contains an added token's string (such as
+    ``<|endoftext|>``) is encoded by the library as a whole; without, such a string is ordinary text.
     """
 
-    _shared: dict[tuple[str, str], Encoder] = {}
+    _shared: dict[tuple[str, str, bool], Encoder] = {}
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.model = Tokenizer.from_file(path).model       # special tokens' strings in a text are ordinary text
+        self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        tokens = self.library.get_added_tokens_decoder().values() if added else ()
+        self.added = [t.content for t in tokens]
         self.pattern = split_words(pattern)
         self.letters = dict(enumerate(_byte_letters()))
         self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}                  # by the piece without its leading space
 
     @classmethod
-    def of(cls, path: str, pattern: str) -> Encoder:
+    def of(cls, path: str, pattern: str, added: bool = False) -> Encoder:
         """One per worker process, so that pieces are remembered from task to task."""
-        if (path, pattern) not in cls._shared:
-            cls._shared[path, pattern] = cls(path, pattern)
-        return cls._shared[path, pattern]
+        if (path, pattern, added) not in cls._shared:
+            cls._shared[path, pattern, added] = cls(path, pattern, added)
+        return cls._shared[path, pattern, added]
 
     def _learn(self, words: set[str]) -> None:
         """The library's ids of words not met before."""
@@ -135,6 +139,14 @@ class Encoder:
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        whole = {i for a in self.added for i, t in enumerate(batch) if a in t}
+        if whole:
+            rest = iter(self._encode([t for i, t in enumerate(batch) if i not in whole]))
+            return [array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes() if i in whole else next(rest)
+                    for i, t in enumerate(batch)]
+        return self._encode(batch)
+
+    def _encode(self, batch: list[str]) -> list[bytes]:
         cut = [spaced(t) for t in batch]
         if len(self.known) > CACHED:
             self.known.clear()
@@ -153,13 +165,14 @@ def _segment(part: int, seq: int, first: int, docs: list[tuple[int | None, np.nd
             "block_starts": np.cumsum([0, *map(len, blocks[:-1])]).tolist(), "payload": b"".join(blocks)}
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, key: str = "doc_id", text: str = "text") -> None:
-    """Encodes every row of ``docs`` and writes the file."""
+def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, key: str = "doc_id", text: str = "text",
+          added: bool = False) -> None:
+    """Encodes every row of ``docs`` and writes the file; ``added``: strings of added tokens become these tokens."""
     frame = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     ordered = frame.repartitionByRange("id").sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
-        encoder = Encoder.of(tokenizer, pattern)
+        encoder = Encoder.of(tokenizer, pattern, added)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
