@@ -2,7 +2,10 @@
 
 Rules decide the addresses that they cover. For all others, trust flows from trusted hosts along links and distrust flows from
 blocked hosts against them (who links to a blocked host is suspect), both as personalised PageRank; a host whose
-distrust exceeds ``THRESHOLD`` times its trust is blocked.
+distrust exceeds ``THRESHOLD`` times its trust is blocked. There is no absolute floor, so any distrust without trust blocks.
+
+Rounds go on until the scores' summed change over ``STORE_EVERY`` rounds is at most ``TOLERANCE`` (each kind sums to one) and no
+further host is reached, however far it is from a seed.
 
 A host is a seed when the rules decide more than half of its pages one way; its weight is the number of those pages.
 Host edges are the distinct pairs of a page's host and the host of an absolute link in its HTML, weighted by
@@ -23,10 +26,10 @@ from joinlift.llm.common import lookup_join, store
 
 ALLOW, BLOCK = "allow", "block"
 DAMPING = 0.85
-ROUNDS = 10
+ROUNDS = 10                # at least so many
 STORE_EVERY = 5            # rounds between written tables, so that lineage stays short
+TOLERANCE = 1e-6
 THRESHOLD = 1.0
-MIN_SCORE = 1e-9
 
 #: The links of a page that name a host.
 LINK = r"(?i)href\s*=\s*[\"']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]+)"
@@ -69,8 +72,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     out = edges.groupBy("kind", "src").agg(F.sum("links").alias("out"))
     share = store(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst",
                                                           (F.col("links") / F.col("out")).alias("share")))
-    score = seeds.select("kind", "host", F.col("seed").alias("score"))
-    for i in range(1, rounds + 1):
+    last = score = seeds.select("kind", "host", F.col("seed").alias("score"))
+    i = 0
+    while True:
+        i += 1
         sent = score.join(share, ["kind", "host"]).select(
             "kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * DAMPING).alias("score"))
         arrived = sent.groupBy("kind", "host").agg(F.sum("score").alias("score"))
@@ -78,9 +83,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
         back = seeds.join(F.broadcast(kept), "kind", "left").select(        # what did not travel returns to the seeds
             "kind", "host", (F.col("seed") * (1 - F.coalesce("kept", F.lit(0.0)))).alias("score"))
         score = arrived.unionByName(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if i % STORE_EVERY == 0 or i == rounds:
+        if i % STORE_EVERY == 0:
             score = store(score)
-    return score
+            moved = score.unionByName(last.select("kind", "host", (-F.col("score")).alias("score"))).groupBy("kind", "host").agg(
+                F.sum("score").alias("by")).agg(F.sum(F.abs("by")).alias("by"), F.count(F.lit(1)).alias("n")).first()
+            if i >= rounds and (moved["by"] or 0.0) <= TOLERANCE and last.count() == moved["n"]:
+                return score
+            last = score
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], key: str = "page_id", url: str = "url",
@@ -104,7 +113,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], key: str = "page_i
     scores = propagate(edges, seeds, rounds).groupBy("host").agg(
         F.sum(F.when(F.col("kind") == ALLOW, F.col("score")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("kind") == BLOCK, F.col("score")).otherwise(0.0)).alias("distrust"))
-    bad = (F.col("distrust") > MIN_SCORE) & (F.col("distrust") > threshold * F.col("trust"))
+    bad = (F.col("distrust") > 0) & (F.col("distrust") > threshold * F.col("trust"))
     verdicts = store(hosts.join(scores, "host", "left").select(
         "host", "n", F.when(bad, BLOCK).otherwise(ALLOW).alias("by_graph")))
     judged = lookup_join(rows, verdicts, "host", "n")
