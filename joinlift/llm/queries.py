@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from joinlift.functions.spread import shared_dir
 from joinlift.llm import (
-    bpe, language, mixing, multi_index, quality, sharding, simhash, token_file, topk, url_graph,
+    bpe, hard_negatives, language, mixing, multi_index, quality, sharding, simhash, token_file, topk, url_graph, warc, whitening,
 )
 from joinlift.llm.common import store
 
@@ -126,3 +126,54 @@ def held_out(key: str):
 def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels outside the held-out quarter."""
     return table(spark, sf_dir, "labels", "doc_id", "quality").where(~held_out("doc_id"))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors, lambda vec_id: vec_id % 100 == 0, label=label)
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+@query
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
+    return warc.catalogue(spark, path)
+
+
+_SCORED = """scored AS (SELECT a.vec_id AS query_id, a.label AS own, b.vec_id, b.label, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+        FROM whole a JOIN whole b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % {every} = 0)"""
+_WHOLE = """whole AS (SELECT vec_id, {label} AS label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND {label} IS NOT NULL AND len(embedding) > 0
+          AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))))"""
+
+ORACLES["op9_exact_topk"] = f"""WITH {_WHOLE.format(label="0", scale=64)}, {_SCORED.format(every=20)},
+    ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
+
+ORACLES["op11_hard_negatives"] = f"""WITH {_WHOLE.format(label="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END", scale=256)}, {_SCORED.format(every=100)},
+    positives AS (SELECT query_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE label = own
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5),
+    ranked AS (SELECT p.query_id AS anchor_id, p.positive_id,
+            CAST(row_number() OVER (PARTITION BY p.query_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+            s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+        FROM positives p JOIN scored s ON s.query_id = p.query_id AND s.label <> s.own
+            AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score)
+    SELECT * FROM ranked WHERE rank <= 10"""
+
+# base32 of the SHA-1: five hex digits are four letters
+ORACLES["op13_warc"] = """WITH payloads AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+    placed AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS sha,
+            row_number() OVER (PARTITION BY payload ORDER BY page_id DESC NULLS LAST) AS place,
+            first_value(page_id) OVER (PARTITION BY payload ORDER BY page_id DESC NULLS LAST) AS newest FROM payloads)
+    SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+        array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            CAST(((CAST('0x' || substr(sha, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest,
+        CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN newest END AS refers_to
+    FROM placed"""
