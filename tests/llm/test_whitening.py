@@ -83,7 +83,7 @@ def test_far_from_the_origin_and_beyond_32_bits(spark):
 
 def test_fewer_components_than_asked_for(spark):
     rng = np.random.default_rng(3)
-    line = [(i, [float(t), 2.0 * t, -float(t)]) for i, t in enumerate(rng.integers(-50, 50, 80))]
+    line = [(i, [float(t), 2.0 * t, -float(t)]) for i, t in enumerate(rng.integers(-50, 50, 80).tolist())]
     check(line, whitened(spark, line))
     assert {r["component"] for r in whitened(spark, line)} == {1}
     for rows in ([], ODD[:5], [(1, [1.0, 2.0])], [(1, [1.0, 2.0]), (2, [1.0, 2.0])]):
