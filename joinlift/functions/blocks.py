@@ -1,6 +1,6 @@
 """Sums of matrices that many tasks hold a part of, shipped in segments so that no row, batch or group is ever large.
 
-A task flattens what it has summed and cuts it into segments of ``SEGMENT`` numbers. Segments of one key and place are added
+A task cuts what it has summed into segments of whole rows, about ``SEGMENT`` numbers each. Segments of one key and place are added
 one after another from a sorted stream, first within ``SALTS`` salts, then across them: a task holds one segment at a time
 however many tasks took part.
 """
@@ -18,11 +18,12 @@ SEGMENT = 1024
 SALTS = 16
 
 
-def segments(flat: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(place, little-endian doubles) of a flattened matrix."""
-    flat = np.ascontiguousarray(flat, "<f8").ravel()
-    for s in range(0, len(flat), SEGMENT):
-        yield s // SEGMENT, flat[s:s + SEGMENT].tobytes()
+def segments(matrix: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(place, little-endian doubles) of a matrix, whole rows of it at a time; a longer row is a segment of its own."""
+    matrix = np.ascontiguousarray(matrix, "<f8")
+    step = max(1, SEGMENT // max(1, matrix.shape[1]))
+    for s in range(0, len(matrix), step):
+        yield s // step, matrix[s:s + step].tobytes()
 
 
 def joined(places: Sequence[int], parts: Sequence[bytes]) -> np.ndarray:

@@ -240,7 +240,7 @@ def squared(d: np.ndarray) -> list[int | None]:
 
 
 def _summed(fit: DataFrame, of: Callable[[int, np.ndarray], np.ndarray | None]) -> dict[int, np.ndarray]:
-    """Per width: the sum over the fit list of ``of(width, x)``, an array of doubles of fixed length, merged in segments."""
+    """Per width: the flattened sum over the fit list of ``of(width, x)``, a matrix of fixed shape, merged in segments."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for width, x in _by_width(batches):
@@ -263,7 +263,7 @@ def covariances(fit: DataFrame, sums: dict[int, tuple[int, list[int]]]) -> dict[
     def products(width: int, x: np.ndarray) -> np.ndarray:
         n, s = sums[width]
         z = deviations(x, n, s).astype(np.float64) / n
-        return (z.T @ z).ravel()
+        return z.T @ z
     return {w: m.reshape(w, w) / sums[w][0] for w, m in _summed(fit, products).items()}
 
 
@@ -283,7 +283,7 @@ def whiten(table: DataFrame, key: str = "vec_id", vector: str = "embedding", com
 
     def whitened_products(width: int, x: np.ndarray) -> np.ndarray | None:
         y = np.column_stack([np.ones(len(x)), project(width, x)[1]])
-        return (y.T @ y).ravel() if y.shape[1] > 1 else None
+        return y.T @ y if y.shape[1] > 1 else None
 
     errors = {}
     for width, flat in _summed(fit, whitened_products).items():

@@ -1,17 +1,15 @@
 """Scores of the user's model before and after an augmentation, for many pairs at once.
 
-The linear model of every pair is fitted from sums of products. Each task adds up its
-own rows with numpy and sends one small matrix per pair, so the shuffle is as large as the
-number of pairs, not of rows. Predictions and errors are built-in expressions again.
+The linear model of every pair is fitted from sums of products (``products``): each task adds up its
+own rows with numpy, so the shuffle is as large as the models, not the rows. Predictions and errors are built-in
+expressions again.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
@@ -19,13 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from joinlift.functions import attach, group_median, materialise
+from joinlift.operators.forests import fit_forests, predict_forests
 from joinlift.operators.impute import best_strategy, fill_value
 from joinlift.operators.joins import with_row_id
-from joinlift.operators.metamodel import ROWS_PER_PARTITION, in_fixed_order, regressors
+from joinlift.operators.metamodel import DEPTH, ROWS_PER_PARTITION, TREES, in_fixed_order, regressors
+from joinlift.operators.products import fit_linear
 from joinlift.operators.splits import hold_out
 from joinlift.schema import PAIR
 
-HELD_NUMBERS = 4_000_000
 ERRORS = ("mae", "mse", "medae", "r2")
 
 
@@ -74,32 +73,44 @@ def model_rows(pairs: DataFrame, cells: DataFrame, *, inner: bool = False, strat
     pairs = pairs.select(*PAIR).distinct()
     ids = pairs.select(F.col("query_id").alias("dataset_id")).union(
         pairs.select(F.col("candidate_id").alias("dataset_id"))).distinct()
-    used = with_row_id(cells).join(ids, "dataset_id", "left_semi")
+    used = cells.join(ids, "dataset_id", "left_semi")
     columns = used.groupBy("dataset_id").agg(F.sort_array(F.collect_set("col")).alias("cols"))
-    # what repeats is averaged first, so a frequent key never fills a map
-    by_row, by_key = [
-        used.groupBy("dataset_id", *at, "col").agg(F.avg("v").alias("v")).groupBy("dataset_id", *at).agg(
-            F.map_from_entries(F.collect_list(F.struct("col", "v"))).alias("vs"))
-        for at in (["row_id", "row_key"], ["row_key"])]
+
+    def rows(*at):
+        """Values in the order of the columns; what repeats is averaged first, so a frequent key never fills a row."""
+        unique = used.groupBy("dataset_id", *at, "col").agg(F.avg("v").alias("v"))
+        return unique.groupBy("dataset_id", *at).agg(F.sort_array(F.collect_list(F.struct("col", "v"))).alias("vs"))
+    by_key = rows("row_key")
+    if "row_id" not in cells.columns:
+        by_row = by_key.withColumn("row_id", F.col("row_key"))       # the same grouping serves both sides
+    else:
+        by_row = rows("row_id", "row_key")
+
+    def in_order(vs, cols):
+        """A row that has every column is in their order already; any other is looked up."""
+        vs, cols = F.col(vs), F.col(cols)
+        return F.when(F.size(vs) == F.size(cols), vs["v"]).otherwise(
+            F.transform(cols, lambda c: F.element_at(F.map_from_entries(vs), c)))
     q_cols = columns.select(F.col("dataset_id").alias("query_id"), F.col("cols").alias("q_cols"))
     c_cols = columns.select(F.col("dataset_id").alias("candidate_id"), F.col("cols").alias("c_cols"))
-    shape = pairs.join(q_cols, "query_id").join(c_cols, "candidate_id").withColumn(
-        "q_cols", F.array_remove("q_cols", F.col("target")))
+    shape = pairs.join(q_cols, "query_id").join(c_cols, "candidate_id")
     q_rows = by_row.select(F.col("dataset_id").alias("query_id"), "row_id", "row_key", F.col("vs").alias("qv"))
-    c_rows = by_key.select(F.col("dataset_id").alias("candidate_id"), "row_key",
-                         F.col("vs").alias("cv"))
+    c_rows = by_key.select(F.col("dataset_id").alias("candidate_id"), "row_key", F.col("vs").alias("cv"))
     met = attach(q_rows, shape, ["query_id"], ["row_id"], how="inner").join(
         c_rows, ["candidate_id", "row_key"], "inner" if inner else "left")
+    met = met.withColumns({"qx": in_order("qv", "q_cols"), "cx": in_order("cv", "c_cols"),
+                           "at": F.array_position("q_cols", F.col("target")).cast("int") - 1})
     wide = met.select(
-        *PAIR, "row_id", "row_key", F.element_at("qv", F.col("target")).alias("y"),
-        F.transform("q_cols", lambda c: F.coalesce(F.element_at("qv", c), F.lit(0.0))).alias("qx"),
-        F.transform("c_cols", lambda c: F.element_at("cv", c)).alias("cx")).where("y is not null")
+        *PAIR, "row_id", "row_key", F.get("qx", F.col("at")).alias("y"),
+        F.transform(F.filter("qx", lambda v, i: i != F.col("at")), lambda v: F.coalesce(v, F.lit(0.0))).alias("qx"), "cx").where("y is not null")
     if inner:
         return wide.where(~F.exists("cx", lambda v: v.isNull()))
     wide = materialise(wide)
     values = wide.select(*PAIR, F.posexplode("cx").alias("i", "v"))
-    # a column without any match has no fill of its own
-    fills = values.select(*PAIR, "i").distinct().join(fill_value(values, [*PAIR, "i"], "v", strategy), [*PAIR, "i"], "left")
+    if strategy == "mean":
+        fills = fill_value(values, [*PAIR, "i"], "v", strategy)
+    else:                                                            # a column without any match has no fill of its own
+        fills = values.select(*PAIR, "i").distinct().join(fill_value(values, [*PAIR, "i"], "v", strategy), [*PAIR, "i"], "left")
     means = fills.groupBy(*PAIR).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("i", "fill"))),
                     lambda e: F.coalesce(e["fill"], F.lit(0.0))).alias("ms"))
@@ -107,83 +118,6 @@ def model_rows(pairs: DataFrame, cells: DataFrame, *, inner: bool = False, strat
         "cx", F.zip_with("cx", "ms", lambda v, m: F.coalesce(v, m))).drop("ms")
 
 
-def _task_sums(group: list[str]):
-    """Per task and group: the sums of products of (1, x..., y).
-
-    A task holds at most ``HELD_NUMBERS`` of them before it sends what it has.
-    """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, np.ndarray] = {}
-        size = 0
-
-        def flush():
-            return pd.DataFrame([(*k, m.ravel()) for k, m in held.items()],
-                                columns=[*group, "sums"])
-        for pdf in batches:
-            for key, part in pdf.groupby(group, sort=False, dropna=False):
-                z = np.column_stack([np.ones(len(part)), np.vstack(part["xs"].to_numpy()),
-                                     part["y"].to_numpy(dtype=float)])
-                m = z.T @ z
-                if key in held:
-                    held[key] += m
-                else:
-                    held[key] = m
-                    size += m.size
-            if size > HELD_NUMBERS:
-                yield flush()
-                held.clear()
-                size = 0
-        if held:
-            yield flush()
-    return run
-
-
-def _solve(group: list[str]):
-    """Least squares from the sums; the smallest-norm answer where columns are dependent."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            coefs = []
-            for sums in pdf["sums"]:
-                m = np.asarray(sums, dtype=float)
-                k = int(round(len(m) ** 0.5))
-                g = m.reshape(k, k)
-                n = g[0, 0]
-                # about the means, and scaled: constant columns then have no weight
-                xx = g[1:-1, 1:-1] - np.outer(g[0, 1:-1], g[0, 1:-1]) / n
-                xy = g[1:-1, -1] - g[0, 1:-1] * g[0, -1] / n
-                scale = np.sqrt(np.clip(np.diag(xx), 0, None))
-                size = np.sqrt(np.diag(g)[1:-1])
-                live = scale > 1e-7 * np.where(size > 0, size, 1)
-                b = np.zeros(k - 2)
-                if live.any():
-                    s = scale[live]
-                    b[live] = np.linalg.lstsq(xx[np.ix_(live, live)] / np.outer(s, s),
-                                              xy[live] / s, rcond=1e-10)[0] / s
-                intercept = (g[0, -1] - b @ g[0, 1:-1]) / n
-                coefs.append([intercept, *b])
-            yield pdf[group].assign(coef=coefs)
-    return run
-
-
-def product_sums(rows: DataFrame, group: list[str]) -> DataFrame:
-    """``sums``: the matrix of products of (1, xs..., y) per group, row by row as an array."""
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    keys = ", ".join(f"`{g}` {types[g]}" for g in group)
-    partial = rows.select(*group, "xs", "y").mapInPandas(
-        _task_sums(group), f"{keys}, sums array<double>")
-    return partial.select(*group, F.posexplode("sums").alias("i", "s")).groupBy(*group, "i").agg(
-        F.sum("s").alias("s")).groupBy(*group).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda e: e["s"])
-        .alias("sums"))
-
-
-def fit_linear(rows: DataFrame, group: list[str]) -> DataFrame:
-    """Coefficients (intercept first) of y on the array ``xs``, per group."""
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    keys = ", ".join(f"`{g}` {types[g]}" for g in group)
-    return product_sums(rows, group).mapInPandas(_solve(group), f"{keys}, coef array<double>")
-
-
 def predict_linear(rows: DataFrame, coefs: DataFrame, group: list[str],
                    spread: list[str]) -> DataFrame:
     met = attach(rows, coefs, group, spread, how="inner")
@@ -209,6 +143,17 @@ def _by_stage(errors: DataFrame) -> DataFrame:
         for m in ERRORS for s in ("before", "after")])
 
 
+def _both_stages(rows: DataFrame) -> DataFrame:
+    """Each row with the query's features alone, and with the candidate's."""
+    return rows.select(*PAIR, "row_id", "is_train", "y", F.inline(F.array(
+        F.struct(F.lit("before").alias("stage"), F.col("qx").alias("xs")),
+        F.struct(F.lit("after").alias("stage"), F.concat("qx", "cx").alias("xs")))))
+
+
+def _forest_settings(seed: int = 42, trees: int = TREES, depth: int = DEPTH) -> dict:
+    return dict(seeds=(seed,), trees=trees, depth=depth)
+
+
 def before_and_after(pairs: DataFrame, cells: DataFrame, *, inner: bool = False,
                      seed: str = "42", strategy: str = "mean") -> DataFrame:
     """Hold-out scores of the linear user model with the query alone and with the candidate.
@@ -216,9 +161,7 @@ def before_and_after(pairs: DataFrame, cells: DataFrame, *, inner: bool = False,
     Both models see the same training rows; a row's side is a hash of its id (of its key, where rows have none).
     """
     rows = hold_out(model_rows(pairs, cells, inner=inner, strategy=strategy), "row_id", seed=seed)
-    both = materialise(rows.select(*PAIR, "row_id", "is_train", "y", F.inline(F.array(
-        F.struct(F.lit("before").alias("stage"), F.col("qx").alias("xs")),
-        F.struct(F.lit("after").alias("stage"), F.concat("qx", "cx").alias("xs"))))))
+    both = materialise(_both_stages(rows))
     group = [*PAIR, "stage"]
     coefs = fit_linear(both.where("is_train"), group)
     predicted = materialise(predict_linear(both.where("not is_train"), coefs, group, ["row_id"]))
@@ -229,11 +172,19 @@ def before_and_after_with(kind: str, pairs: DataFrame, cells: DataFrame, *, inne
                           strategy: str = "mean", **model) -> DataFrame:
     """The same scores of another user model (a name of ``metamodel.regressors``), with features scaled on the training rows.
 
-    Each pair is a fit of its own on all executors, so this is for the finalists that the pruners leave.
+    Random forests of all pairs and stages are grown together (``forests``). Any other kind is a fit per pair on all executors, so it is for
+    the finalists that the pruners leave.
     The target keeps its unit: a linear scale of it changes neither R2 nor relative errors. A query
     without features is fitted on a constant. Pairs without training rows have no scores.
     """
-    rows = materialise(hold_out(model_rows(pairs, cells, inner=inner, strategy=strategy), "row_id", seed=seed))
+    rows = hold_out(model_rows(pairs, cells, inner=inner, strategy=strategy), "row_id", seed=seed)
+    if kind == "random forest":
+        both = materialise(_both_stages(rows))
+        group = [*PAIR, "stage"]
+        forests = fit_forests(both.where("is_train"), group, ["row_id"], **_forest_settings(**model))
+        predicted = predict_forests(both.where("not is_train").select(*group, "row_id", "xs", "y"), forests, group, ["row_id"])
+        return _by_stage(error_scores(materialise(predicted), group))
+    rows = materialise(rows)
     counts = rows.where("is_train").groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n")).collect()   # one row per finalist
     predicted = rows.where("false").select(*PAIR, F.lit("").alias("stage"), "y", F.lit(0.0).alias("yhat"))
     for pair in counts:

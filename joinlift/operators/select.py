@@ -10,15 +10,16 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from joinlift.functions import average_ranks, hash32, hash_order, materialise, pearson
+from joinlift.operators.forests import fit_forests, forest_importances
 from joinlift.operators.metamodel import DEPTH, in_fixed_order
-from joinlift.operators.scores import product_sums
+from joinlift.operators.products import Products, solve
 from joinlift.operators.splits import hold_out
 
 # Shares, thresholds and seeds of the random-injection selector.
@@ -108,82 +109,59 @@ def low_variance(cells: DataFrame, limit: float = VARIANCE_LIMIT,
         F.col("variance") <= limit)
 
 
-# ---- sums of products: one pass, then small matrices ------------------------------------------
+# ---- sums of products: one pass over the rows ---------------------------------------------------
 
-def _sums(table: DataFrame, target: str, features: Sequence[str], by: str | None = None):
+def _products(table: DataFrame, target: str, features: Sequence[str], by: str | None = None) -> Products:
     """Product matrices of (1, features, target): one per value of ``by``."""
     tag = F.lit(0) if by is None else F.col(by)
-    rows = table.select(tag.cast("int").alias("part"), F.col(target).cast("double").alias("y"),
-                        F.array(*[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0))
-                                  for f in features]).alias("xs"))
-    k = len(features) + 2
-    return {r["part"]: np.asarray(r["sums"]).reshape(k, k)
-            for r in product_sums(rows, ["part"]).collect()}
-
-
-def _fit(g: np.ndarray, idx: Sequence[int]) -> tuple[float, np.ndarray]:
-    """Intercept and coefficients of the target on the features ``idx``, from a product matrix."""
-    i = [j + 1 for j in idx]
-    n = g[0, 0]
-    xx = g[np.ix_(i, i)] - np.outer(g[0, i], g[0, i]) / n
-    xy = g[i, -1] - g[0, i] * g[0, -1] / n
-    s = np.sqrt(np.clip(np.diag(xx), 0, None))
-    s[s == 0] = 1.0
-    b = np.linalg.lstsq(xx / np.outer(s, s), xy / s, rcond=1e-10)[0] / s
-    return (g[0, -1] - b @ g[0, i]) / n, b
-
-
-def _r2(train: np.ndarray, test: np.ndarray, idx: Sequence[int]) -> float:
-    """R2 on ``test`` of the model fitted on ``train``; both are product matrices."""
-    a, b = _fit(train, idx)
-    w = np.concatenate([[a], b, [-1.0]])
-    i = [0, *[j + 1 for j in idx], test.shape[0] - 1]
-    residual = w @ test[np.ix_(i, i)] @ w
-    total = test[-1, -1] - test[0, -1] ** 2 / test[0, 0]
-    return float(1.0 - residual / total) if total > 0 else float("-inf")
+    return Products(table.select(tag.cast("int").alias("part"), F.col(target).cast("double").alias("y"),
+                                 F.array(*[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)) for f in features]).alias("xs")))
 
 
 def correlated(table: DataFrame, features: Sequence[str], limit: float = CORRELATION_LIMIT) -> list[str]:
     """Features to drop: those correlated above ``limit`` with an earlier feature."""
-    g = _sums(table.withColumn("__one", F.lit(0.0)), "__one", features)[0]
-    i = list(range(1, len(features) + 1))
-    xx = g[np.ix_(i, i)] - np.outer(g[0, i], g[0, i]) / g[0, 0]
-    s = np.sqrt(np.clip(np.diag(xx), 0, None))
-    s[s == 0] = np.inf
-    r = np.abs(xx / np.outer(s, s))
-    return [f for j, f in enumerate(features) if j and r[j, :j].max() > limit]
+    found = _products(table.withColumn("__one", F.lit(0.0)), "__one", features).correlated_with_earlier(limit)
+    return [features[j] for j in found]
 
 
 def recursive_elimination(table: DataFrame, target: str, features: Sequence[str],
                           keep: int | None = None) -> list[str]:
     """Drop the feature of smallest |coefficient| of a linear model until half are left."""
     keep = len(features) // 2 if keep is None else keep
-    g = _sums(table, target, features)[0]
-    left = list(range(len(features)))
-    while len(left) > max(keep, 1):
-        _, b = _fit(g, left)
-        left.pop(int(np.argmin(np.abs(b))))
-    return [features[j] for j in left]
+    return [features[j] for j in _products(table, target, features).eliminated(keep)]
 
 
 def forward_stepwise(table: DataFrame, key: str, target: str, features: Sequence[str], k: int = 5,
                      n_folds: int = 5) -> list[str]:
     """Floating forward selection of ``k`` features by cross-validated R2 of a linear model.
 
-    One pass gives a product matrix per fold; every later step is arithmetic on those.
+    One pass gives a product matrix per fold. A step needs only the lines of the chosen features, which is linear in their number.
     """
     split = table.withColumn("__fold", hash32(key, seed="42") % n_folds)
-    parts = _sums(split, target, features, "__fold")
-    whole = sum(parts.values())
+    products = _products(split, target, features, "__fold")
+    last = products.k - 1
+    held = {i: {p: line[n] for p, (line, _) in got.items()} for got in [products.lines((0, last))] for n, i in enumerate((0, last))}
+    diagonal = {p: d for p, (_, d) in products.lines((0,)).items()}
+
+    def small(p, at):
+        """The matrix of (1, chosen and one more, target) of a part, from the lines at hand."""
+        def entry(a, b):
+            return held[a][p][b] if a in held else held[b][p][a] if b in held else diagonal[p][a]
+        return np.array([[entry(a, b) for b in at] for a in at])
 
     def score(idx):
-        return float(np.mean([_r2(whole - g, g, idx) for g in parts.values()]))
+        at = [0, *(j + 1 for j in idx), last]
+        gs = {p: small(p, at) for p in products.parts}
+        whole = sum(gs.values())
+        return float(np.mean([_r2(whole - g, g) for g in gs.values()]))
     chosen: list[int] = []
     best: dict[int, float] = {}
     while len(chosen) < min(k, len(features)):
         gains = [(score([*chosen, j]), -j) for j in range(len(features)) if j not in chosen]
         top, at = max(gains)
         chosen.append(-at)
+        if 1 - at not in held:
+            held[1 - at] = {p: line[0] for p, (line, _) in products.lines((1 - at,)).items()}
         best[len(chosen)] = max(top, best.get(len(chosen), float("-inf")))
         while len(chosen) > 2:   # step back while a smaller set beats the best of its size
             backs = [(score([c for c in chosen if c != j]), -j) for j in chosen[:-1]]
@@ -195,11 +173,17 @@ def forward_stepwise(table: DataFrame, key: str, target: str, features: Sequence
     return [features[j] for j in chosen]
 
 
+def _r2(train: np.ndarray, test: np.ndarray) -> float:
+    """R2 on ``test`` of the model fitted on ``train``; both are small product matrices."""
+    w = np.concatenate([solve(train), [-1.0]])
+    total = test[-1, -1] - test[0, -1] ** 2 / test[0, 0]
+    return float(1.0 - w @ test @ w / total) if total > 0 else float("-inf")
+
+
 def score_columns(table: DataFrame, key: str, target: str, features: Sequence[str]) -> float:
     """Hold-out R2 of the linear user model on the listed columns."""
-    parts = _sums(hold_out(table, key).withColumn("is_train", F.col("is_train").cast("int")),
-                  target, features, "is_train")
-    return _r2(parts[1], parts[0], range(len(features)))
+    split = hold_out(table, key).withColumn("is_train", F.col("is_train").cast("int"))
+    return _products(split, target, features, "is_train").r2([1], [0])
 
 
 def selection_overlap(selected: Sequence[str], useful: Sequence[str]) -> float:
@@ -260,22 +244,26 @@ def injection_quality(rankings: DataFrame, prefix: str = RANDOM_PREFIX) -> DataF
         .alias("quality"))
 
 
+def forest_weights(rows: DataFrame, key: str, n_features: int, seeds: Sequence[int], trees: int, depth: int) -> dict[int, list[float]]:
+    """Importances of the features in a forest per seed, all of which are grown together; ``rows``: (key, xs, y)."""
+    forests = fit_forests(rows.select(F.lit(0).alias("part"), key, "xs", "y"), ["part"], [key], trees=trees, depth=depth, seeds=seeds)
+    weights = {seed: [0.0] * n_features for seed in seeds}
+    for r in forest_importances(forests, ["part"]).collect():            # one row per seed and feature
+        weights[r["seed"]][r["feature"]] = r["importance"]
+    return weights
+
+
 def injection_rankings(table: DataFrame, key: str, target: str, features: Sequence[str],
                        seeds: Sequence[int] = SEEDS, trees: int = 100, depth: int = DEPTH) -> DataFrame:
     """One ranking per seed from a forest and a lasso on the table with random columns."""
     wide, randoms = add_random_features(table.na.drop(), features)
     names = [*features, *randoms]
-    rows = VectorAssembler(inputCols=names, outputCol="features").transform(
-        wide.withColumn("label", F.col(target).cast("double"))).select(key, "features", "label")
-    rows = in_fixed_order(rows, [key]).persist()
+    stored = materialise(wide.select(key, F.array(*[F.col(f"`{n}`").cast("double") for n in names]).alias("xs"), F.col(target).cast("double").alias("y")))
     # without randomness in the solver one lasso serves all seeds
-    lasso = LinearRegression(elasticNetParam=1.0, regParam=1.0, standardization=False).fit(rows)
-    found = []
-    for seed in seeds:
-        forest = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
-        found += [(seed, n, float(r), float(c)) for n, r, c in zip(
-            names, forest.featureImportances.toArray(), lasso.coefficients.toArray())]
-    rows.unpersist()
+    rows = stored.select(key, array_to_vector("xs").alias("features"), F.col("y").alias("label"))
+    lasso = LinearRegression(elasticNetParam=1.0, regParam=1.0, standardization=False).fit(in_fixed_order(rows, [key]))
+    weights = forest_weights(stored, key, len(names), seeds, trees, depth)
+    found = [(seed, n, r, float(c)) for seed in seeds for n, r, c in zip(names, weights[seed], lasso.coefficients.toArray())]
     coefs = table.sparkSession.createDataFrame(found, "ranking int, col string, rf double, lasso double")
     return combined_ranking(coefs)
 
@@ -288,14 +276,13 @@ def random_injection(table: DataFrame, key: str, target: str, features: Sequence
     """
     quality = {r["col"]: r["quality"] for r in injection_quality(
         injection_rankings(table, key, target, features, **kw)).collect()}
-    parts = _sums(hold_out(table, key).withColumn("is_train", F.col("is_train").cast("int")),
-                  target, features, "is_train")
+    products = _products(hold_out(table, key).withColumn("is_train", F.col("is_train").cast("int")), target, features, "is_train")
     best_r2, best, last = float("-inf"), [], []
     for tau in taus:
         last = [f for f in features if quality.get(f, 0.0) >= tau]
         if not last:
             break
-        r2 = _r2(parts[1], parts[0], [features.index(f) for f in last])
+        r2 = products.r2([1], [0], [features.index(f) for f in last])
         if r2 <= best_r2:
             break
         best_r2, best = r2, last
@@ -334,12 +321,9 @@ def shadow_selection(table: DataFrame, key: str, target: str, features: Sequence
             break
         wide = shadow_table(table.select(key, target, *active), key, active, f"shadow{r}")
         names = [*active, *[f"{f}_shadow" for f in active]]
-        rows = VectorAssembler(inputCols=names, outputCol="features").transform(
-            wide.withColumn("label", F.col(target).cast("double"))).select(key, "features", "label")
-        forest = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=r).fit(
-            in_fixed_order(rows, [key]))
-        weight = forest.featureImportances.toArray()
-        bar = weight[len(active):].max()
+        rows = wide.select(key, F.array(*[F.col(f"`{n}`").cast("double") for n in names]).alias("xs"), F.col(target).cast("double").alias("y"))
+        weight = forest_weights(rows, key, len(names), [r], trees, depth)[r]
+        bar = max(weight[len(active):])
         for f, w in zip(active, weight):
             hits[f] += w > bar
         limit = level / len(features)

@@ -402,14 +402,12 @@ def quality(spark, sf):
 
 @query("k04_injection_rankings")
 def injection(spark, sf):
-    return select.injection_rankings(_table(spark, sf), "row_key", "l_extendedprice", LINE_FEATURES,
-                                     seeds=(42, 17), trees=10, depth=5)
+    return select.injection_rankings(_table(spark, sf), "row_key", "l_extendedprice", LINE_FEATURES)
 
 
 @query("k05_random_injection")
 def random_injection(spark, sf):
-    return _names(spark, select.random_injection(_table(spark, sf), "row_key", "l_extendedprice", LINE_FEATURES,
-                                                 seeds=(42, 17), trees=10, depth=5, keep="best"))
+    return _names(spark, select.random_injection(_table(spark, sf), "row_key", "l_extendedprice", LINE_FEATURES, keep="best"))
 
 
 @query("k06_recursive_elimination")
@@ -419,8 +417,7 @@ def elimination(spark, sf):
 
 @query("k10_shadow_selection")
 def shadows(spark, sf):
-    found = select.shadow_selection(_table(spark, sf), "row_key", "l_extendedprice", LINE_FEATURES, rounds=10,
-                                    trees=10, depth=5)
+    found = select.shadow_selection(_table(spark, sf), "row_key", "l_extendedprice", LINE_FEATURES)
     return spark.createDataFrame(list(found.items()), "col string, verdict string")
 
 
