@@ -27,7 +27,7 @@ BINS = 32
 BLOCK_ROWS = 50_000
 BLOCK_NUMBERS = 8_000_000       # bytes of bins in a block
 LOCAL_NUMBERS = 64_000_000      # rows x features of a group whose trees are grown within tasks
-TASK_TREES = 25
+TASK_TREES = 10
 HELD_NUMBERS = 16_000_000       # of a level's sums in a task: it says how many trees share a job
 ACCURACY = 1_000                # of the quantiles that cut features: ranks are off by at most 1/ACCURACY of the rows
 
@@ -261,13 +261,13 @@ def fit_forests(rows: DataFrame, group: Sequence[str], key: Sequence[str], *, tr
 
 def _grow_in_tasks(groups: DataFrame, blocks: DataFrame, group: Sequence[str], wanted: Sequence[tuple[int, int]], depth: int, share: float) -> DataFrame:
     shares = -(-len(wanted) // TASK_TREES)
-    sent = groups.select(*group, "width", "mean", "cuts", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("part"))
+    sent = groups.select(*group, "width", "mean", "cuts", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("__share"))
     sent = sent.toDF(*sent.columns)
     same = F.lit(True)
     few = groups.select(*[F.col(g).alias(f"__c_{g}") for g in group])
     for g in group:
         same = same & F.col(f"__c_{g}").eqNullSafe(F.col(g))
-    dealt = blocks.join(few, same, "left_semi").select("*", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("part"))
+    dealt = blocks.join(few, same, "left_semi").select("*", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("__share"))
     fields = _arrow_fields(blocks, group)
     names = [*group, *(f.split()[0] for f in TREE.split(", "))]
     types = [*[next(f.type for f in fields if f.name == g) for g in group], *_TREE_TYPES]
@@ -277,11 +277,11 @@ def _grow_in_tasks(groups: DataFrame, blocks: DataFrame, group: Sequence[str], w
         if len(left) and len(right):
             of = right.to_pylist()[0]
             bins, y, hashes = _unpacked(left.to_pylist(), of["width"])
-            for seed, number in wanted[of["part"] * TASK_TREES:(of["part"] + 1) * TASK_TREES]:
+            for seed, number in wanted[of["__share"] * TASK_TREES:(of["__share"] + 1) * TASK_TREES]:
                 tree = grow(bins, y, hashes, seed, number, depth, share)
                 found.append((*(of[g] for g in group), *tree.row(of["cuts"], of["mean"])))
         return pa.table([pa.array([f[i] for f in found], t) for i, t in enumerate(types)], names=names)
-    return dealt.groupBy(*group, "part").cogroup(sent.groupBy(*group, "part")).applyInArrow(run, f"{_types(blocks, group)}{TREE}")
+    return dealt.groupBy(*group, "__share").cogroup(sent.groupBy(*group, "__share")).applyInArrow(run, f"{_types(blocks, group)}{TREE}")
 
 
 def _grow_by_levels(of, blocks: DataFrame, group: Sequence[str], wanted: Sequence[tuple[int, int]], depth: int, share: float) -> DataFrame:
@@ -390,8 +390,8 @@ def forest_importances(forests: DataFrame, group: Sequence[str]) -> DataFrame:
     """(group, seed, feature, importance): each tree's gains sum to one, and so do a forest's importances. Features that split nothing are left out."""
     by = [*group, "seed"]
     gains = forests.select(*by, "tree", F.inline(F.arrays_zip("feature", "gain"))).where("feature >= 0")
-    per_tree = gains.groupBy(*by, "tree", "feature").agg(F.sum("gain").alias("g"))
-    entries = per_tree.groupBy(*by, "tree").agg(F.sum("g").alias("all"), F.collect_list(F.struct("feature", "g")).alias("e"))   # one entry per feature
-    shares = entries.select(*by, "all", F.inline("e")).groupBy(*by, "feature").agg(F.sum(F.col("g") / F.col("all")).alias("s"))
-    totals = shares.groupBy(*by).agg(F.sum("s").alias("all"), F.collect_list(F.struct("feature", "s")).alias("e"))
-    return totals.select(*by, "all", F.inline("e")).select(*by, "feature", (F.col("s") / F.col("all")).alias("importance"))
+    per_tree = gains.groupBy(*by, "tree", "feature").agg(F.sum("gain").alias("__g"))
+    entries = per_tree.groupBy(*by, "tree").agg(F.sum("__g").alias("__all"), F.collect_list(F.struct("feature", "__g")).alias("__e"))   # one entry per feature
+    shares = entries.select(*by, "__all", F.inline("__e")).groupBy(*by, "feature").agg(F.sum(F.col("__g") / F.col("__all")).alias("__s"))
+    totals = shares.groupBy(*by).agg(F.sum("__s").alias("__all"), F.collect_list(F.struct("feature", "__s")).alias("__e"))
+    return totals.select(*by, "__all", F.inline("__e")).select(*by, "feature", (F.col("__s") / F.col("__all")).alias("importance"))
