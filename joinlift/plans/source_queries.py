@@ -3,12 +3,13 @@
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from joinlift.functions import shared_dir
-from joinlift.operators import profile, report
+from joinlift.functions import positions, shared_dir
+from joinlift.operators import joins, profile, report
 from joinlift.plans import testlake as lake
 from joinlift.plans.registry import query, with_tables
-from joinlift.schema import ALL_FEATURES, RELATIVE_TARGETS
+from joinlift.schema import ALL_FEATURES, PAIR, RELATIVE_TARGETS
 from joinlift.sources import lake as src
 
 
@@ -84,6 +85,163 @@ def candidate_folder(spark, sf):
     return src.read_candidates(spark, path, "key", named_by="folder")
 
 
+# ---- bundles as files: a dataset per brand, each with its own fault, and one large table -----------
+
+_FAULTS = ["accepted", "missing files", "not a regression", "several tables", "target not numeric", "too few columns", "unreadable", "too few rows",
+           "too many rows"]
+_MIN_ROWS, _REPEATS = 3, 20
+
+
+def _bundles(spark, sf, with_lines):
+    """Writes the bundles, with the large table or with brands repeated until they are too large; gives their folder and the limit of rows."""
+    part = lake.table(spark, sf, "part").withColumn("b", F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("int"))
+    fault = F.element_at(F.array(*[F.lit(f) for f in _FAULTS]), F.col("b") % len(_FAULTS) + 1)
+    part = part.withColumn("fault", fault).withColumn("dataset_id", F.concat(F.lit("brand "), "b"))
+    quoted = F.concat(F.lit('"'), "p_name", F.lit('\n, a ""second"" line\n"'))
+    line = F.concat_ws(",", "p_partkey", quoted, "p_size", "p_retailprice")
+    order = F.row_number().over(Window.partitionBy("dataset_id").orderBy("p_partkey"))       # a brand's parts
+    rows = part.select("dataset_id", "fault", order.alias("n"), line.alias("line"))
+    rows = rows.where("fault <> 'too few rows' or n < 3").withColumn(
+        "line", F.when((F.col("fault") == "unreadable") & (F.col("n") == 1), F.concat("line", F.lit(',"open'))).otherwise(F.col("line")))
+    copies = F.explode(F.sequence(F.lit(0), F.when((F.col("fault") == "too many rows") & F.lit(not with_lines), _REPEATS - 1).otherwise(0)))
+    rows = rows.select("dataset_id", "n", copies.alias("copy"), "line").select(
+        "dataset_id", (F.col("n") + F.col("copy").cast("long") * 1_000_000_000).alias("row_ord"), "line")
+    lines = positions(lake.table(spark, sf, "lineitem"), [], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]).select(
+        F.lit("lines").alias("dataset_id"), (F.col("pos") + 1).alias("row_ord"),
+        F.concat_ws(",", "l_linenumber", F.concat(F.lit('"'), "l_returnflag", F.lit('\n"')), "l_quantity", "l_extendedprice").alias("line"))
+    lines = lines.where(F.lit(with_lines))
+    heads = rows.unionByName(lines).select("dataset_id").distinct().select(
+        "dataset_id", F.lit(0).cast("long").alias("row_ord"), F.lit("id,kind,size,price").alias("line"))
+    kinds = part.select("dataset_id", "fault").unionByName(lines.select("dataset_id", F.lit("accepted").alias("fault"))).distinct()
+
+    def column(i, name, kind):
+        return F.struct(F.lit(i).alias("colIndex"), F.lit(name).alias("colName"), F.array(kind if not isinstance(kind, str) else F.lit(kind)).alias("colType"))
+    few = F.when(F.col("fault") == "too few columns", "categorical").otherwise("real")
+    table = F.struct(F.lit("learningData").alias("resID"), F.lit("tables/learningData.csv").alias("resPath"), F.array(
+        column(0, "id", "integer"), column(1, "kind", "categorical"), column(2, "size", few), column(3, "price", "real")).alias("columns"))
+    doc = F.to_json(F.struct(F.when(F.col("fault") == "several tables", F.array(table, table)).otherwise(F.array(table)).alias("dataResources")))
+    target = F.when(F.col("fault") == "target not numeric", 1).otherwise(3).alias("colIndex")
+    problem = F.to_json(F.struct(
+        F.struct(F.when(F.col("fault") == "not a regression", "classification").otherwise("regression").alias("taskType")).alias("about"),
+        F.struct(F.array(F.struct(F.array(F.struct(target, F.lit("t").alias("colName"))).alias("targets"))).alias("data")).alias("inputs")))
+    docs = kinds.select("dataset_id", doc.alias("doc"), F.when(F.col("fault") != "missing files", problem).alias("problem"))
+    path = _fresh(spark)
+    src.write_bundles(rows.unionByName(lines).unionByName(heads), docs, path)
+    sizes = part.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
+    return path, lake.table(spark, sf, "lineitem").count() if with_lines else 2 * sizes.first()["n"]
+
+
+_FAULT_SQL = ("[" + ", ".join(f"'{f}'" for f in _FAULTS) + f"][b % {len(_FAULTS)} + 1]")
+_BUNDLES_SQL = dict(
+    p="SELECT *, CAST(replace(p_brand, 'Brand#', '') AS INTEGER) AS b FROM part",
+    f=f"SELECT 'brand ' || b AS dataset_id, {_FAULT_SQL} AS fault, p_partkey, p_size, p_retailprice, "
+      "row_number() OVER (PARTITION BY b ORDER BY p_partkey) AS n FROM p")
+
+
+@query("s01_bundle_cells", with_tables(
+    "SELECT dataset_id, row_ord, col, v FROM (SELECT f.dataset_id, n AS row_ord, unnest(['id', 'size', 'price']) AS col, "
+    "unnest([p_partkey::DOUBLE, p_size::DOUBLE, p_retailprice::DOUBLE]) AS v FROM f JOIN g USING (dataset_id) WHERE fault IN ('accepted', 'too many rows') AND total >= 3) "
+    "UNION ALL SELECT 'lines', row_ord, unnest(['id', 'size', 'price']), unnest([l_linenumber::DOUBLE, l_quantity::DOUBLE, l_extendedprice::DOUBLE]) "
+    "FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS row_ord FROM lineitem)",
+    **_BUNDLES_SQL, g="SELECT dataset_id, count(*) AS total FROM f GROUP BY 1"))
+def bundle_cells(spark, sf):
+    """Bundles written from parts and lines, with quoted line breaks, and read back: the cells of those that the gate lets through."""
+    path, most = _bundles(spark, sf, True)
+    found, counts = src.table_records(spark, path)
+    gated = _gated(spark, path, counts, most)
+    cells, _ = src.read_bundle(spark, path, found=found)
+    return cells.join(gated.where("reject_reason is null"), "dataset_id", "left_semi").select("dataset_id", "row_ord", "col", "v")
+
+
+def _gated(spark, path, counts, most):
+    return src.gate(src.bundle_files(spark, path), src.columns_meta(spark, path), src.problems(spark, path), counts,
+                    min_rows=_MIN_ROWS, max_columns=30, max_rows=most)
+
+
+@query("s02_gate_of_bundles", with_tables(
+    "SELECT dataset_id, CASE WHEN fault = 'accepted' OR fault = 'too many rows' AND total * 20 <= 2 * (SELECT max(total) FROM g) THEN "
+    "CASE WHEN total < 3 AND fault = 'accepted' OR total * 20 < 3 THEN 'too few rows' ELSE 'accepted' END ELSE fault END AS reject_reason "
+    "FROM (SELECT DISTINCT dataset_id, fault FROM f) JOIN g USING (dataset_id)",
+    **_BUNDLES_SQL, g="SELECT dataset_id, count(*) AS total FROM f GROUP BY 1"))
+def bundle_gate(spark, sf):
+    """The gate on the same files; every reason occurs."""
+    path, most = _bundles(spark, sf, False)
+    _, counts = src.table_records(spark, path)
+    return _gated(spark, path, counts, most).withColumn("reject_reason", F.coalesce("reject_reason", F.lit("accepted")))
+
+
+# ---- a folder of a thousand layouts, and a key name for each candidate -----------------------------
+
+_LAYOUTS = 1000
+
+
+def _layouts(spark, sf):
+    """A file per value of ``l_partkey % 1000``, each with a header of its own; some have no key column, some quotes that do not close."""
+    path = _fresh(spark)
+    k = F.col("l_partkey") % _LAYOUTS
+    rows = lake.table(spark, sf, "lineitem").select(k.alias("k"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), "l_quantity", "l_extendedprice")
+    even = F.col("k") % 2 == 0
+    line = F.when(even, F.concat_ws(",", "key", "l_quantity", "l_extendedprice")).otherwise(F.concat_ws(",", "l_quantity", F.concat(
+        F.lit('"'), "key", F.lit('"')), "l_extendedprice"))
+    body = rows.select("k", F.lit(1).alias("o"), line.alias("line"))
+    name = F.when(F.col("k") % 100 == 7, "other").otherwise("key")
+    v, w = F.concat(F.lit("v"), "k"), F.concat(F.lit("w"), "k")
+    head = rows.select("k").distinct().select("k", F.lit(0).alias("o"), F.when(even, F.concat_ws(",", name, v, w)).otherwise(
+        F.concat_ws(",", v, name, w)).alias("line"))
+    tail = rows.select("k").distinct().where("k % 100 = 9").select("k", F.lit(2).alias("o"), F.lit('1,"open').alias("line"))
+    body.unionByName(head).unionByName(tail).withColumn("name", F.concat(F.lit("t"), "k")).repartition("name").sortWithinPartitions("name", "o").select(
+        "name", "line").write.partitionBy("name").text(path)
+    return path
+
+
+_LAYOUT_SQL = "SELECT l_partkey % 1000 AS k, l_orderkey || '-' || l_linenumber AS row_key, l_quantity::DOUBLE AS q, l_extendedprice::DOUBLE AS p FROM lineitem"
+
+
+@query("s04_thousand_layouts", with_tables(
+    "SELECT 't' || k AS dataset_id, row_key, unnest(['v' || k, 'w' || k]) AS col, unnest([q, p]) AS v FROM t WHERE k % 100 NOT IN (7, 9)", t=_LAYOUT_SQL))
+def thousand_layouts(spark, sf):
+    """One scan over a thousand headers."""
+    return src.read_candidates(spark, _layouts(spark, sf), "key", named_by="folder")
+
+
+@query("s04_refused_files", with_tables(
+    "SELECT DISTINCT 't' || k AS dataset_id, CASE k % 100 WHEN 7 THEN 'no key column' WHEN 9 THEN 'unclosed quote' ELSE 'read' END AS reason FROM t", t=_LAYOUT_SQL))
+def refused_files(spark, sf):
+    """What became of each of the files."""
+    files = src.ingest_candidates(spark, _layouts(spark, sf), "key", named_by="folder")[1]
+    return files.select("dataset_id", F.coalesce("reason", F.lit("read")).alias("reason"))
+
+
+_KEYS = {"cust_orders": "customer no", "user_events": "user"}
+
+
+@query("j04_key_per_candidate", with_tables(
+    "SELECT p.candidate_id, q.row_key, d.col, c.v FROM p JOIN (SELECT DISTINCT row_key FROM cells WHERE dataset_id = 'customer') q ON true "
+    "JOIN (SELECT DISTINCT dataset_id, col FROM cells) d ON d.dataset_id = p.candidate_id LEFT JOIN cells c ON c.dataset_id = p.candidate_id "
+    "AND c.row_key = q.row_key AND c.col = d.col", p="SELECT unnest(['cust_orders', 'user_events']) AS candidate_id",
+    cells=lake.cells_sql("customer", *_KEYS)))
+def key_per_candidate(spark, sf):
+    """Candidates whose files call the key by different names, joined to one base."""
+    path, cells = _fresh(spark), lake.stored_cells(spark, sf, "customer", *_KEYS)
+    for name, key in _KEYS.items():
+        wide = cells.where(F.col("dataset_id") == name).groupBy("row_key").pivot("col").agg(F.first("v"))
+        wide.withColumnRenamed("row_key", key).withColumn("name", F.lit(name)).repartition(2).write.mode("append").partitionBy("name").csv(path, header=True)
+    keys = spark.createDataFrame(list(_KEYS.items()), "dataset_id string, key string")
+    read = src.read_candidates(spark, path, keys, named_by="folder")
+    joined = joins.augmentation_join(lake.pairs(spark, "customer"), cells.where("dataset_id = 'customer'").unionByName(read))
+    return joined.where("side = 'candidate'").select("candidate_id", "row_key", "col", "v")
+
+
+@query("j05_cells_of_pairs", with_tables(
+    "SELECT 'query' AS side, p.*, row_key, col, v FROM p JOIN cells ON dataset_id = query_id UNION ALL "
+    "SELECT 'candidate', p.*, row_key, col, v FROM p JOIN cells ON dataset_id = candidate_id", p=lake.pairs_sql(), cells=lake.cells_sql()))
+def cells_of_pairs(spark, sf):
+    """The cells behind both sides of every pair."""
+    pairs, cells = lake.pairs(spark), lake.stored_cells(spark, sf)
+    return joins.pair_cells(pairs, cells, "query").withColumn("side", F.lit("query")).unionByName(
+        joins.pair_cells(pairs, cells, "candidate").withColumn("side", F.lit("candidate"))).select("side", *PAIR, "row_key", "col", "v")
+
+
 def _records(spark, sf):
     s = lake.instances(spark, sf)
     pairs = {"mean_absolute_error": ("p_gain", "containment"), "mean_squared_error": ("containment", "p_gain"),

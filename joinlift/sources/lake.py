@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joinlift.functions import finite, materialise
+from joinlift.functions.files import file_system
 from joinlift.schema import ALL_FEATURES, INSTANCE, RELATIVE_TARGETS, TRAINING_RECORD
+from joinlift.sources import records
 
 # File names and limits of a source bundle.
 TABLE_FILE, DATASET_FILE, PROBLEM_FILE = "learningData.csv", "datasetDoc.json", "problemDoc.json"
@@ -23,6 +26,12 @@ _PROBLEM_DOC = ("about struct<taskType string>, inputs struct<data array<struct<
                 "targets array<struct<colIndex int, colName string>>>>>")
 
 
+def plain_path(path: Column) -> Column:
+    """A path as it is written on disk, in one form for all readers: decoded, with a single slash after the scheme."""
+    decoded = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    return F.regexp_replace(decoded, "^([a-z0-9]+):/+", "$1:/")
+
+
 def file_stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
@@ -43,6 +52,7 @@ def bundle_files(spark: SparkSession, root: str) -> DataFrame:
     listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
               .option("pathGlobFilter", "{" + ",".join((TABLE_FILE, DATASET_FILE, PROBLEM_FILE)) + "}")
               .load(root).select("path", "length"))
+    listed = listed.withColumn("path", F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/"))
     return listed.select(dataset_of(F.col("path")).alias("dataset_id"),
                          F.element_at(F.split("path", "/"), -1).alias("file"), "path", "length")
 
@@ -51,7 +61,7 @@ def _json_docs(spark: SparkSession, root: str, name: str) -> DataFrame:
     """(dataset_id, doc): one small JSON text per dataset."""
     return (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name)
             .text(root, wholetext=True)
-            .select(dataset_of(F.input_file_name()).alias("dataset_id"), F.col("value").alias("doc")))
+            .select(dataset_of(plain_path(F.col("_metadata.file_path"))).alias("dataset_id"), F.col("value").alias("doc")))
 
 
 def columns_meta(spark: SparkSession, root: str) -> DataFrame:
@@ -92,10 +102,17 @@ def parse_problems(docs: DataFrame) -> DataFrame:
 def table_lines(spark: SparkSession, root: str) -> DataFrame:
     """``(dataset_id, line)``: the text lines of every source table."""
     return (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", TABLE_FILE)
-            .text(root).select(dataset_of(F.input_file_name()).alias("dataset_id"),
+            .text(root).select(dataset_of(plain_path(F.col("_metadata.file_path"))).alias("dataset_id"),
                                F.col("value").alias("line")))
 
 
+def table_records(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Records of every source table (``records.records``) and ``(dataset_id, n_rows)``: null rows where a table cannot be read."""
+    found, files = records.records(records.text_lines(spark, root, TABLE_FILE))
+    n_rows = F.when(F.col("problem").isNull() & (F.col("n_records") > 0), F.col("n_records") - 1)
+    return found, files.select(dataset_of(plain_path(F.col("path"))).alias("dataset_id"), n_rows.alias("n_rows"))
+
+
 def is_numeric(col_type: Column) -> Column:
     return F.array_contains(col_type, "real") | F.array_contains(col_type, "integer")
 
@@ -135,85 +152,131 @@ def gate_counts(gated: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_datasets"))
 
 
-def read_bundle(spark: SparkSession, root: str, ignore_first: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_bundle(spark: SparkSession, root: str, ignore_first: bool = False,
+                found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Cells and column metadata of every bundle below ``root``.
 
-    All tables are parsed in one scan: a line is split by the CSV rules and met with its dataset's column
-    list, so one wide and one narrow table cost no separate jobs. ``row_ord`` is the byte
-    order of the line inside its file.
+    All tables are parsed in one scan: a record is split by the CSV rules and met with its dataset's column
+    list, so one wide and one narrow table cost no separate jobs, and quoted fields may hold line breaks. ``row_ord`` is the
+    place of the record in its file (the header is 0). ``found``: the records of ``table_records``, where they are at hand.
     """
     meta = columns_meta(spark, root).join(problems(spark, root), "dataset_id", "left")
     numeric = meta.where(is_numeric(F.col("col_type")))
     if ignore_first:
         numeric = numeric.where("col_index <> 0")
-    lists = numeric.groupBy("dataset_id").agg(
-        F.sort_array(F.collect_list(F.struct("col_index", "col"))).alias("cols"),
-        (F.max("col_index") + 1).alias("width"))
-    lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", TABLE_FILE)
-             .text(root).select(
-                 dataset_of(F.input_file_name()).alias("dataset_id"),
-                 F.monotonically_increasing_id().alias("row_ord"),
-                 F.col("value").alias("line")).where("line <> ''"))
-    lines = materialise(lines)   # fixes row_ord
-    heads = lines.groupBy("dataset_id").agg(F.min("row_ord").alias("head"))
-    body = lines.join(heads, "dataset_id").where("row_ord > head")
-    fields = body.join(lists, "dataset_id").select(
-        "dataset_id", "row_ord", "cols", csv_fields(F.col("line")).alias("fs"))
+    lists = numeric.groupBy("dataset_id").agg(F.sort_array(F.collect_list(F.struct("col_index", "col"))).alias("cols"))
+    found = table_records(spark, root)[0] if found is None else found
+    heads = found.where("row_ord = 0").select("path", dataset_of(plain_path(F.col("path"))).alias("dataset_id")).join(lists, "dataset_id")
+    fields = records.with_header(found, heads)
     cells = fields.select("dataset_id", "row_ord", F.inline(F.transform("cols", lambda c: F.struct(
-        c["col"].alias("col"), F.get("fs", c["col_index"]).alias("raw")))))
-    return cells.select("dataset_id", F.col("row_ord").cast("string").alias("row_key"), "row_ord",
-                        "col", F.expr("try_cast(trim(raw) AS double)").alias("v")), meta
+        c["col"].alias("col"), F.trim(F.get("fs", c["col_index"])).try_cast("double").alias("v")))))
+    return cells.select("dataset_id", F.col("row_ord").cast("string").alias("row_key"), "row_ord", "col", "v"), meta
 
 
-def csv_fields(line: Column) -> Column:
-    """Fields of one CSV line; a quoted field may hold commas and doubled quotes."""
-    raw = F.regexp_extract_all(F.concat(F.lit(","), line),
-                               F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
-    return F.transform(raw, lambda f: F.when(
-        f.startswith('"'), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"')))
-        .otherwise(f))
+def write_bundles(rows: DataFrame, docs: DataFrame, path: str) -> None:
+    """Writes ``path/<dataset_id>/`` with the three files of a bundle.
 
-
-def read_candidates(spark: SparkSession, path: str, key: str, sep: str = ",",
-                    rename: bool = False, named_by: str = "file") -> DataFrame:
-    """Cells of a folder of candidate tables, one dataset per file (or per subfolder).
-
-    All files with the same header are read together. Infinite and missing values become 0; a row without
-    any value is dropped. ``rename`` calls the value column after its file.
+    ``rows``: (dataset_id, row_ord, line), the lines of the tables, header first. ``docs``: (dataset_id, doc, problem), either null where a file
+    is to be left out. A task streams the lines of its datasets to their files.
+    """
+    ordered = rows.select("dataset_id", "row_ord", "line").repartition("dataset_id").sortWithinPartitions("dataset_id", "row_ord")
+
+    def lines_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = file_system(path)
+        name, out, done = None, None, []
+        for batch in batches:
+            for dataset, _, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if dataset != name:
+                    if out:
+                        out.close()
+                    fs.create_dir(f"{at}/{dataset}", recursive=True)
+                    name, out = dataset, fs.open_output_stream(f"{at}/{dataset}/{TABLE_FILE}", compression=None)
+                    done.append(dataset)
+                out.write((line + "\n").encode())
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["dataset_id"])
+
+    def docs_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = file_system(path)
+        for batch in batches:
+            for dataset, *texts in zip(*(c.to_pylist() for c in batch.columns)):
+                fs.create_dir(f"{at}/{dataset}", recursive=True)
+                for file, text in zip((DATASET_FILE, PROBLEM_FILE), texts):
+                    if text is not None:
+                        with fs.open_output_stream(f"{at}/{dataset}/{file}", compression=None) as out:
+                            out.write(text.encode())
+            yield batch.select(["dataset_id"])
+    for written in (ordered.mapInArrow(lines_out, "dataset_id string"),
+                    docs.select("dataset_id", "doc", "problem").mapInArrow(docs_out, "dataset_id string")):
+        written.write.format("noop").mode("overwrite").save()
+
+
+def ingest_candidates(spark: SparkSession, path: str, key: str | DataFrame, sep: str = ",", rename: bool = False,
+                      named_by: str = "file", row_id: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Cells of a folder of candidate tables, one dataset per file (or per subfolder), and what became of each file.
+
+    One scan reads files of any number of layouts: a record meets its own file's header. ``key`` is the name of the key column, or a table
+    ``(dataset_id, key)`` with a name for each dataset. Infinite and missing values become 0; a row without any value is dropped.
+    ``rename`` calls the value column after its file. ``row_id`` adds the record's place in its file, which tells rows of a
+    repeated key apart.
+
+    The second table is ``(dataset_id, path, key, n_rows, reason)``; ``reason`` is null for a file that was read, else one of
+    ``empty file`` (blank lines only; Spark's readers do not list files of no bytes), ``unclosed quote``, ``no key column``, ``no value column``.
+    """
+    found, files = records.records(records.text_lines(spark, path))
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+              .where("length >= 0").select(F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/").alias("listed")))
+    place = F.col("listed")
+    ident = file_stem(place) if named_by == "file" else F.regexp_extract(place, r"/(?:[^/=]+=)?([^/]+)/[^/]+$", 1)
+    heads = records.headers(found, sep)
+    known = files.join(heads, "path", "left").withColumn("listed", plain_path(F.col("path")))
+    all_ = listed.join(known, "listed", "left").withColumn("dataset_id", ident)
+    if isinstance(key, DataFrame):
+        all_ = all_.join(key.select("dataset_id", F.col("key").alias("key")), "dataset_id", "left")
+    else:
+        all_ = all_.withColumn("key", F.lit(key))
+    at = F.array_position("names", F.col("key")).cast("int") - 1
+    reason = (F.when(F.col("problem").isNotNull(), F.col("problem")).when(F.coalesce("n_records", F.lit(0)) == 0, "empty file")
+              .when(F.coalesce(at, F.lit(-1)) < 0, "no key column").when(F.size("names") < 2, "no value column"))
+    files = materialise(all_.select("dataset_id", "listed", "path", "key", (F.col("n_records") - 1).alias("n_rows"), "names", at.alias("at"),
+                                    reason.alias("reason")))                             # one row per file
+    column = (lambda v: F.col("dataset_id")) if rename else (lambda v: v["name"])
+    named = F.filter(F.transform("names", lambda n, i: F.struct(n.alias("name"), i.alias("i"))), lambda v: v["i"] != F.col("at"))
+    met = records.with_header(found, files.where("reason is null").select("path", "dataset_id", "at", named.alias("cols")), sep)
+
+    def value(v):
+        return F.struct(column(v).alias("col"), finite(F.get("fs", v["i"]).try_cast("double")).alias("v"))
+    rows = met.select("dataset_id", F.nullif(F.get("fs", F.col("at")), F.lit("")).alias("row_key"), F.col("row_ord").cast("string").alias("row_id"),
+                      F.transform("cols", value).alias("vs"))
+    kept = rows.where(F.col("row_key").isNotNull() | F.exists("vs", lambda v: v["v"].isNotNull()))
+    ids = ["dataset_id", *(["row_id"] if row_id else []), "row_key"]
+    cells = kept.select(*ids, F.inline("vs")).withColumn("v", F.coalesce("v", F.lit(0.0)))
+    return cells, files.select("dataset_id", F.col("listed").alias("path"), "key", "n_rows", "reason")
+
+
+def read_candidates(spark: SparkSession, path: str, key: str | DataFrame, sep: str = ",", rename: bool = False,
+                    named_by: str = "file", row_id: bool = False) -> DataFrame:
+    """The cells of ``ingest_candidates``; an error where no file could be read."""
+    cells, files = ingest_candidates(spark, path, key, sep, rename, named_by, row_id)
+    if files.where("reason is null").isEmpty():
+        raise ValueError(f"no file in {path} has its key column")
+    return cells
+
+
+def read_base(spark: SparkSession, path: str, key: str, name: str, sep: str = ",", row_id: bool = False) -> DataFrame:
+    """Cells of one base table; columns that hold no numbers are left out by ``drop_empty``.
+
+    ``row_id`` adds the place of a row in its file, for a base whose key repeats.
     """
-    place = F.input_file_name()
-    ident = file_stem(place) if named_by == "file" else F.regexp_extract(
-        place, r"/(?:[^/=]+=)?([^/]+)/[^/]+$", 1)
-    heads = (spark.read.option("recursiveFileLookup", "true").text(path)
-             .select(place.alias("path"), F.monotonically_increasing_id().alias("o"), "value")
-             .groupBy("path").agg(F.min_by("value", "o").alias("head"))
-             .groupBy("head").agg(F.collect_list("path").alias("paths")))
-    out = None
-    for r in heads.collect():   # names of files and headers only
-        names = [n.strip().strip('"') for n in r["head"].split(sep)]
-        values = [n for n in names if n != key]
-        if key not in names or not values:
-            continue
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        df = spark.read.csv(r["paths"], sep=sep, header=True, schema=schema)
-        wide = df.select(ident.alias("dataset_id"), F.col(f"`{key}`").alias("row_key"),
-                         *[finite(F.expr(f"try_cast(`{v}` AS double)")).alias(v) for v in values])
-        wide = wide.where(F.coalesce("row_key", *[F.col(f"`{v}`").cast("string") for v in values])
-                          .isNotNull())
-        cells = wide.unpivot(["dataset_id", "row_key"], [f"`{v}`" for v in values], "col", "v")
-        cells = cells.withColumn("v", F.coalesce("v", F.lit(0.0)))
-        if rename:
-            cells = cells.withColumn("col", F.col("dataset_id"))
-        out = cells if out is None else out.unionByName(cells)
-    if out is None:
-        raise ValueError(f"no file in {path} has the key column {key!r}")
-    return out.select("dataset_id", "row_key", "col", "v")
-
-
-def read_base(spark: SparkSession, path: str, key: str, name: str, sep: str = ",") -> DataFrame:
-    """Cells of one base table; columns that hold no numbers are left out by ``drop_empty``."""
-    df = spark.read.csv(path, sep=sep, header=True)
-    return to_cells(df, key, name)
+    found, _ = records.records(records.text_lines(spark, path))
+    at = F.array_position("names", F.lit(key)).cast("int") - 1
+    named = F.filter(F.transform("names", lambda n, i: F.struct(n.alias("name"), i.alias("i"))), lambda v: v["name"] != key)
+    rows = records.with_header(found, records.headers(found, sep).select("path", at.alias("at"), named.alias("cols")), sep).select(
+        F.lit(name).alias("dataset_id"), F.col("row_ord").cast("string").alias("row_id"),
+        F.nullif(F.get("fs", F.col("at")), F.lit("")).alias("row_key"),
+        F.inline(F.transform("cols", lambda v: F.struct(v["name"].alias("col"), F.get("fs", v["i"]).try_cast("double").alias("v")))))
+    return rows if row_id else rows.drop("row_id")
 
 
 def to_cells(df: DataFrame, key: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:

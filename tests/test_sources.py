@@ -100,3 +100,53 @@ def test_cells_are_written_by_bucket(spark, tmp_path):
     cells = spark.createDataFrame([("a", "1", "x", 1.0), ("b", "1", "x", 2.0)], "dataset_id string, row_key string, col string, v double")
     lake.write_cells(cells, str(tmp_path / "cells"), buckets=4)
     assert spark.read.parquet(str(tmp_path / "cells")).drop("bucket").count() == 2
+
+
+def test_records_over_many_ranges(spark, tmp_path):
+    """Quoted line breaks across the borders of small ranges, beside plain and broken files."""
+    import csv
+    import io
+    from joinlift.sources import records
+
+    def text(rows):
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\n").writerows(rows)
+        return out.getvalue()
+    hard = [["a", "b"]] + [[str(i), f'x "{i}"\n\n,tail {"y" * (i % 90)}\n' if i % 3 else f"plain {i}"] for i in range(400)]
+    plain = [["a", "b"]] + [[str(i), f"p{i}"] for i in range(300)]
+    (tmp_path / "hard.csv").write_text(text(hard))
+    (tmp_path / "plain.csv").write_text(text(plain) + "\n\n")
+    (tmp_path / "open.csv").write_text('a,b\n1,"x\n2,y\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        lines = records.text_lines(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert lines.select("path", "at").distinct().count() > 30
+    found, files = records.records(lines)
+    got = {}
+    for r in found.select("path", "row_ord", records.csv_fields(F.col("record")).alias("f")).orderBy("path", "row_ord").collect():
+        assert r["row_ord"] == len(got.setdefault(r["path"].rsplit("/", 1)[1], []))
+        got[r["path"].rsplit("/", 1)[1]].append(list(r["f"]))
+    assert got == {"hard.csv": hard, "plain.csv": plain}
+    state = {r["path"].rsplit("/", 1)[1]: (r["n_records"], r["problem"]) for r in files.collect()}
+    assert state == {"hard.csv": (401, None), "plain.csv": (301, None), "open.csv": (0, "unclosed quote")}
+
+
+def test_what_became_of_candidate_files(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text("﻿time;x\n1;2\n1;3\n;\n")
+    (tmp_path / "b+c.csv").write_text('x;"day"\n5;"1\n2"\n')
+    (tmp_path / "none.csv").write_text("x;y\n1;2\n")
+    (tmp_path / "only.csv").write_text("time\n1\n")
+    (tmp_path / "empty.csv").write_text("\n\n")
+    (tmp_path / "open.csv").write_text('time;x\n1;"2\n')
+    keys = spark.createDataFrame([(n, "day" if n == "b+c" else "time") for n in ("a b", "b+c", "none", "only", "empty", "open")], "dataset_id string, key string")
+    cells, files = lake.ingest_candidates(spark, str(tmp_path), keys, sep=";", row_id=True)
+    assert {r["dataset_id"]: (r["n_rows"], r["reason"]) for r in files.collect()} == {
+        "a b": (3, None), "b+c": (1, None), "none": (1, "no key column"), "only": (1, "no value column"), "empty": (-1, "empty file"), "open": (-1, "unclosed quote")}
+    assert sorted(tuple(r) for r in cells.collect()) == [("a b", "1", "1", "x", 2.0), ("a b", "2", "1", "x", 3.0), ("b+c", "1", "1\n2", "x", 5.0)]
+    base = lake.read_base(spark, str(tmp_path / "a b.csv"), "time", "base", sep=";", row_id=True)
+    assert sorted((r["row_id"], r["row_key"], r["v"]) for r in base.where("row_key is not null").collect()) == [("1", "1", 2.0), ("2", "1", 3.0)]
+    with pytest.raises(ValueError):
+        lake.read_candidates(spark, str(tmp_path), "nowhere", sep=";")
