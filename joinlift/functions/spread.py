@@ -22,6 +22,7 @@ SPLIT_ROWS = 2_000_000   # a group above this many rows is cut into ranges
 SLOTS = 1024             # sampled cut points per large group
 SALTS = 32               # copies of a per-group row when it meets the group's rows
 HASH_SLICES = 4096       # slices of the md5 range in hash_order
+FEW_ROWS = 100_000       # a table of pairs or ids up to this many rows is broadcast
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,6 +61,16 @@ def attach(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], spread: S
     return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
+def meet(rows: DataFrame, few: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows with a stored table that names their groups (pairs, ids): broadcast behind a count of it, else over salted keys.
+
+    Either way the rows of one dataset stay spread out, as large as it may be.
+    """
+    if few.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
+        return rows.join(F.broadcast(few), list(keys), how)
+    return attach(rows, few, keys, spread, how)
+
+
 def with_one_row(rows: DataFrame, one: DataFrame) -> DataFrame:
     """Put the single row of a global aggregate on every row; its size is one by construction."""
     return rows.join(F.broadcast(one))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from joinlift.functions import attach, average_ranks, cumulate, materialise, max_modulus, pearson
+from joinlift.functions import attach, average_ranks, cumulate, materialise, max_modulus, meet, pearson
 from joinlift.functions.exprs import zero_if_undefined
 from joinlift.functions.spread import SPLIT_ROWS, has_large_group
 from joinlift.operators import joins
@@ -34,13 +36,12 @@ def aligned(pairs: DataFrame, cells: DataFrame, impute: str | None = "mean") ->
     # a dataset's own columns meet its target row by row, all others by key
     own = F.col("query_id") == F.col("candidate_id")
     at = F.when(F.col("own"), F.col("row_id")).otherwise(F.col("row_key")).alias("at")
-    pairs = pairs.select(*PAIR).distinct().withColumn("own", own)
-    y = pairs.join(
-        cells.where("v is not null").select(
-            F.col("dataset_id").alias("query_id"), F.col("col").alias("target"), "row_key", "row_id",
-            F.col("v").alias("y")), ["query_id", "target"]).select(*PAIR, "own", *kept, at, "y")
+    pairs = materialise(pairs.select(*PAIR).distinct().withColumn("own", own))
+    y = meet(cells.where("v is not null").select(
+        F.col("dataset_id").alias("query_id"), F.col("col").alias("target"), "row_key", "row_id",
+        F.col("v").alias("y")), pairs, ["query_id", "target"], ["row_key"]).select(*PAIR, "own", *kept, at, "y")
     used = pairs.select("candidate_id", "own").distinct()
-    theirs = cells.withColumnRenamed("dataset_id", "candidate_id").join(used, "candidate_id")
+    theirs = meet(cells.withColumnRenamed("dataset_id", "candidate_id"), used, ["candidate_id"], ["row_key", "col"])
     # a repeated key is averaged first, so a frequent key never fills a map
     unique = theirs.where("v is not null").groupBy("candidate_id", "own", at, "col").agg(
         F.avg("v").alias("x"))
@@ -207,6 +208,140 @@ def measures(rows: DataFrame, group: list[str] = GROUP, *, norm: str = "geometri
     return out.join(kendall(joint, group), group) if with_kendall else out
 
 
+# ---- mean-filled columns, from the matched rows alone ----------------------------------------------
+#
+# A filled row has x = m, the mean of the matched x. It adds nothing to the co-moments of x about m, and it sits in one tie of x
+# with every other filled row. So the rows that meet no candidate key are never made: what they add to a sum follows from the target's own
+# totals, less what the matched rows hold of them.
+
+class Matched(NamedTuple):
+    """``rows`` (pair, col, x, y, ry, cy): matched rows with the target's rank and the number of rows that share it.
+    ``columns`` (pair, col, n, n_matched, m, xx, xy, ...): all columns with counts, mean and co-moments, and the target's totals."""
+
+    rows: DataFrame
+    columns: DataFrame
+
+
+def _f(c: Column) -> Column:
+    """c ln c, 0 for 0."""
+    return F.when(c > 0, c * F.ln(c)).otherwise(0.0)
+
+
+def targets_of(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """(query_id, target, row_key, y): the rows of each target, once, however many pairs it has."""
+    asked = pairs.select("query_id", "target").distinct()
+    values = cells.where("v is not null").select(F.col("dataset_id").alias("query_id"), F.col("col").alias("target"), "row_key", F.col("v").alias("y"))
+    return meet(values, asked, ["query_id", "target"], ["row_key"], "left_semi")
+
+
+def ranked_targets(pairs: DataFrame, cells: DataFrame, split_rows: int | None = None) -> DataFrame:
+    """``targets_of`` with ``ry``, the average rank of y, and ``cy``, the number of rows that share it. Stored."""
+    side = ["query_id", "target"]
+    rows = targets_of(pairs, cells)
+    limit = SPLIT_ROWS if split_rows is None else split_rows
+    if has_large_group(rows, side, limit):
+        counts = rows.groupBy(*side, "y").agg(F.count(F.lit(1)).alias("c"))
+        ranks = average_ranks(counts, side, "y", "c", "ry", "n", split_rows=limit).withColumnRenamed("c", "cy")
+        return materialise(rows.join(ranks.drop("n").hint("merge"), [*side, "y"]))
+    w = Window.partitionBy(*side).orderBy("y")
+    first = F.rank().over(w)
+    last = F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return materialise(rows.withColumns({"ry": (first + last) / 2, "cy": last - first + 1}))
+
+
+def target_totals(targets: DataFrame) -> DataFrame:
+    """Per target: rows ``n``, sum of squares ``yy`` about the mean and, of ranked ones, ``rr`` of the ranks, ``fy`` and ``ky`` of the tied groups."""
+    aggs = [F.count(F.lit(1)).alias("n"), F.var_pop("y").alias("v")]
+    if "ry" in targets.columns:
+        aggs += [F.var_pop("ry").alias("vr"), F.sum(F.ln("cy")).alias("fy"), F.round(F.sum(1 / F.col("cy"))).alias("ky")]
+    sums = targets.groupBy("query_id", "target").agg(*aggs).withColumn("yy", F.col("v") * F.col("n")).drop("v")
+    return sums.withColumn("rr", F.col("vr") * F.col("n")).drop("vr") if "ry" in targets.columns else sums
+
+
+def match(pairs: DataFrame, cells: DataFrame, *, ranks: bool = True, split_rows: int | None = None) -> Matched:
+    """The matched rows of pairs of different datasets; a repeated key of a candidate is averaged, one of a query keeps its rows.
+
+    ``ranks=False`` is enough for ``matched_linear``, and stores nothing.
+    """
+    pairs = materialise(pairs.select(*PAIR).distinct().where("query_id <> candidate_id"))
+    targets = ranked_targets(pairs, cells, split_rows) if ranks else targets_of(pairs, cells)
+    used = pairs.select("candidate_id").distinct()
+    theirs = meet(cells.withColumnRenamed("dataset_id", "candidate_id"), used, ["candidate_id"], ["row_key", "col"], "left_semi")
+    unique = theirs.where("v is not null").groupBy("candidate_id", "row_key", "col").agg(F.avg("v").alias("x"))
+    met = meet(targets, pairs, ["query_id", "target"], ["row_key"]).join(unique, ["candidate_id", "row_key"])
+    rows = met.select(*GROUP, "x", "y", *(["ry", "cy"] if ranks else []))
+    rows = materialise(rows) if ranks else rows
+    moments = rows.groupBy(*GROUP).agg(
+        F.count(F.lit(1)).alias("n_matched"), F.avg("x").alias("m"), F.var_pop("x").alias("vx"), F.covar_pop("x", "y").alias("cxy"))
+    names = pairs.join(theirs.select("candidate_id", "col").distinct(), "candidate_id")
+    k = F.coalesce("n_matched", F.lit(0))
+    columns = names.join(target_totals(targets), ["query_id", "target"]).join(moments, GROUP, "left").withColumns({
+        "n_matched": k, "m": F.coalesce("m", F.lit(0.0)), "xx": F.coalesce(F.col("vx") * k, F.lit(0.0)),
+        "xy": F.coalesce(F.col("cxy") * k, F.lit(0.0))}).drop("vx", "cxy")
+    return Matched(rows, materialise(columns) if ranks else columns)
+
+
+def matched_linear(of: Matched) -> DataFrame:
+    """(pair, col, n, pearson, covariance) with a missing x at the mean of the matched ones."""
+    scale = F.nullif(F.sqrt(F.col("xx") * F.col("yy")), F.lit(0.0))
+    return of.columns.select(*GROUP, "n", zero_if_undefined(F.col("xy") / scale).alias("pearson"),
+                             (F.col("xy") / F.nullif(F.col("n") - 1, F.lit(0))).alias("covariance"))
+
+
+def matched_spearman(of: Matched, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """(pair, col, spearman); filled rows are one tie whose rank and sums follow from counts."""
+    middle = (F.col("n") + 1) / 2
+    values = of.rows.groupBy(*GROUP, "x").agg(F.count(F.lit(1)).alias("c"), F.sum("ry").alias("s"))
+    if of.columns.where(F.col("n_matched") > split_rows).isEmpty():
+        w = Window.partitionBy(*GROUP).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+        run = values.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
+    else:
+        run = cumulate(values, GROUP, ["x"], {"before": F.col("c")}, totals=False, split_rows=split_rows)
+    met = run.join(of.columns.select(*GROUP, "n", "n_matched", "m", "rr"), GROUP)
+    missing = F.col("n") - F.col("n_matched")
+    off = F.col("s") - F.col("c") * middle
+    rank = F.col("before") + F.when(F.col("x") > F.col("m"), missing).otherwise(0) + (F.col("c") + 1) / 2 - middle
+    at_mean, other = F.col("x") == F.col("m"), F.col("x") != F.col("m")
+
+    def over(mask, value):
+        return F.sum(F.when(mask, value).otherwise(0.0))
+    sums = met.groupBy(*GROUP).agg(
+        over(other, rank * off).alias("ab"), over(other, F.col("c") * rank * rank).alias("aa"), F.sum(off).alias("t"), over(at_mean, off).alias("tm"),
+        over(F.col("x") < F.col("m"), F.col("c")).alias("below"), over(at_mean, F.col("c")).alias("equal"),
+        F.max(missing).alias("missing"), F.max("n").alias("n"), F.max("rr").alias("rr"))
+    tied = F.col("equal") + F.col("missing")
+    block = F.col("below") + (tied + 1) / 2 - (F.col("n") + 1) / 2
+    ab = F.col("ab") + block * (F.col("tm") - F.col("t"))
+    aa = F.col("aa") + tied * block * block
+    found = sums.select(*GROUP, (ab / F.nullif(F.sqrt(aa * F.col("rr")), F.lit(0.0))).alias("spearman"))
+    return of.columns.select(*GROUP).join(found, GROUP, "left").withColumn("spearman", zero_if_undefined(F.col("spearman")))
+
+
+def matched_information(of: Matched, norm: str = "geometric") -> DataFrame:
+    """(pair, col, mutual_info) of exact values; filled rows share one value of x."""
+    means = of.columns.select(*GROUP, "m")
+    others = of.rows.join(means, GROUP).where("x <> m")
+    joint = materialise(others.groupBy(*GROUP, "x", "y").agg(F.count(F.lit(1)).alias("c"), F.first("cy").alias("cy")))
+    x = joint.groupBy(*GROUP, "x").agg(F.sum("c").alias("c")).groupBy(*GROUP).agg(
+        F.sum(_f(F.col("c"))).alias("fx"), F.count(F.lit(1)).alias("kx"), F.sum("c").alias("held"))
+    y = joint.groupBy(*GROUP, "y").agg(F.sum("c").alias("u"), F.sum(_f(F.col("c"))).alias("fc"), F.first("cy").alias("cy")).groupBy(*GROUP).agg(
+        F.sum(F.col("fc") + _f(F.col("cy") - F.col("u")) - _f(F.col("cy").cast("double"))).alias("fj"))
+    all_ = of.columns.select(*GROUP, "n", "fy", "ky").join(x, GROUP, "left").join(y, GROUP, "left").na.fill(0, ["fx", "kx", "held", "fj"])
+    n, tied = F.col("n"), F.col("n") - F.col("held")
+    hx = F.ln(n) - (F.col("fx") + _f(tied.cast("double"))) / n
+    hy = F.ln(n) - F.col("fy") / n
+    info = hx + hy - (F.ln(n) - (F.col("fj") + F.col("fy")) / n)
+    mean = F.sqrt(hx * hy) if norm == "geometric" else (hx + hy) / 2
+    kinds = F.col("kx") + F.when(tied > 0, 1).otherwise(0)
+    nmi = F.when((kinds == 1) & (F.col("ky") == 1), 1.0).when((kinds == 1) | (F.col("ky") == 1) | (info <= 1e-12), 0.0).otherwise(info / mean)
+    return all_.select(*GROUP, nmi.alias("mutual_info"))
+
+
+def matched_measures(of: Matched, *, norm: str = "geometric") -> DataFrame:
+    """Pearson, covariance, Spearman and mutual information per column."""
+    return matched_linear(of).join(matched_spearman(of), GROUP).join(matched_information(of, norm), GROUP)
+
+
 def strongest(per_column: DataFrame, group: list[str] = PAIR, prefix: str = "") -> DataFrame:
     """The 4 association features of a pair: the largest modulus of each measure."""
     sources = ("pearson", "spearman", "covariance", "mutual_info")

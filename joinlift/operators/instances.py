@@ -56,11 +56,15 @@ def _query_side(queries: DataFrame, strongest: DataFrame) -> DataFrame:
 def pair_features(pairs: DataFrame, cells: DataFrame, impute: str | None = "mean") -> DataFrame:
     """The 10 features of the join: query-target, candidate-target, their difference, containment.
 
-    The queries' own columns are measured in the same pass as the candidates'.
+    Mean-filled columns are measured from the matched rows alone (``assoc.match``).
     """
-    rows = assoc.aligned(pairs, cells, impute=impute).unionByName(
-        assoc.aligned(assoc.own_pairs(pairs), cells, impute=None))
-    strongest = materialise(assoc.strongest(assoc.measures(rows)))
+    own = assoc.own_pairs(pairs)
+    if impute == "mean":
+        others = assoc.matched_measures(assoc.match(pairs, cells))
+        measured = others.unionByName(assoc.measures(assoc.aligned(own, cells, impute=None)))
+    else:
+        measured = assoc.measures(assoc.aligned(pairs, cells, impute=impute).unionByName(assoc.aligned(own, cells, impute=None)))
+    strongest = materialise(assoc.strongest(measured))
     is_own = F.col("query_id") == F.col("candidate_id")
     q = _query_side(pairs, strongest.where(is_own))
     c = strongest.where(~is_own).select(*PAIR, *[

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joinlift.functions import attach, finite, hash32, materialise, positions
+from joinlift.functions import attach, finite, hash32, materialise, meet, positions
 from joinlift.schema import PAIR
 
 PQ = ["query_id", "candidate_id"]
@@ -31,10 +31,10 @@ def augmentation_join(pairs: DataFrame, cells: DataFrame, how: str = "left") ->
     keeps only the rows on which every value is present.
     """
     row = ["row_id", "row_key"] if "row_id" in cells.columns else ["row_key"]
-    ids = pairs.select(*PQ).distinct()
-    q = ids.join(cells.withColumnRenamed("dataset_id", "query_id"), "query_id")
+    ids = materialise(pairs.select(*PQ).distinct())
+    q = meet(cells.withColumnRenamed("dataset_id", "query_id"), ids, ["query_id"], row)
     q_cells = q.select(*PQ, *row, F.lit("query").alias("side"), "col", "v")
-    c = ids.join(cells.withColumnRenamed("dataset_id", "candidate_id"), "candidate_id")
+    c = meet(cells.withColumnRenamed("dataset_id", "candidate_id"), ids, ["candidate_id"], ["row_key"])
     q_rows = q.select(*PQ, *row).distinct()
     c_cols = c.select(*PQ, "col").distinct()
     frame = attach(q_rows, c_cols, PQ, row, how="inner")
@@ -101,10 +101,10 @@ def to_wide(joined: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def containment(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     """Share of the query's keys that the candidate also has, per pair."""
-    ids = pairs.select(*PQ).distinct()
-    keys = keys_of(cells)
+    ids = materialise(pairs.select(*PQ).distinct())
+    keys = materialise(keys_of(cells))
     sizes = keys.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
-    q = ids.join(keys.withColumnRenamed("dataset_id", "query_id"), "query_id")
+    q = meet(keys.withColumnRenamed("dataset_id", "query_id"), ids, ["query_id"], ["row_key"])
     common = (q.join(keys.withColumnRenamed("dataset_id", "candidate_id"),
                      ["candidate_id", "row_key"])
               .groupBy(*PQ).agg(F.count(F.lit(1)).alias("n_common")))
@@ -218,11 +218,9 @@ def positional_rekey(pairs: DataFrame, cells: DataFrame, order: str = "row_ord")
     """
     rows = cells.groupBy("dataset_id", "row_key").agg(F.min(order).alias(order))
     placed = materialise(positions(rows, ["dataset_id"], [order, "row_key"]))
-    ids = pairs.select(*PQ).distinct()
-    q = ids.join(placed.select(F.col("dataset_id").alias("query_id"), "pos",
-                               F.col("row_key").alias("new_key")), "query_id")
-    c = ids.join(placed.select(F.col("dataset_id").alias("candidate_id"), "pos", "row_key"),
-                 "candidate_id")
+    ids = materialise(pairs.select(*PQ).distinct())
+    q = meet(placed.select(F.col("dataset_id").alias("query_id"), "pos", F.col("row_key").alias("new_key")), ids, ["query_id"], ["pos"])
+    c = meet(placed.select(F.col("dataset_id").alias("candidate_id"), "pos", "row_key"), ids, ["candidate_id"], ["pos"])
     mapped = c.join(q, [*PQ, "pos"], "left").select(
         *PQ, "row_key",
         F.coalesce("new_key", F.concat(F.lit("x-"), F.col("pos").cast("string"))).alias("new_key"))
@@ -234,9 +232,9 @@ def positional_rekey(pairs: DataFrame, cells: DataFrame, order: str = "row_ord")
 
 def effective_single_columns(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     """Split candidates into one per column and keep those whose join has any value."""
-    ids = pairs.select(*PQ).distinct()
-    q = ids.join(keys_of(cells).withColumnRenamed("dataset_id", "query_id"), "query_id")
-    c = ids.join(cells.withColumnRenamed("dataset_id", "candidate_id"), "candidate_id")
+    ids = materialise(pairs.select(*PQ).distinct())
+    q = meet(keys_of(cells).withColumnRenamed("dataset_id", "query_id"), ids, ["query_id"], ["row_key"])
+    c = meet(cells.withColumnRenamed("dataset_id", "candidate_id"), ids, ["candidate_id"], ["row_key"])
     hit = q.join(c, [*PQ, "row_key"]).groupBy(*PQ, "col").agg(F.count("v").alias("n_joined"))
     return hit.where("n_joined > 0").select(
         "query_id", F.concat_ws("/", "candidate_id", "col").alias("candidate_id"), "n_joined")

@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from joinlift.functions import attach, group_median, materialise
+from joinlift.functions import attach, group_median, materialise, meet
 from joinlift.operators.forests import fit_forests, predict_forests
 from joinlift.operators.impute import best_strategy, fill_value
 from joinlift.operators.joins import with_row_id
@@ -70,10 +70,10 @@ def model_rows(pairs: DataFrame, cells: DataFrame, *, inner: bool = False, strat
     median, or most frequent: ``strategy``) of the matched ones (0 if none), or with ``inner`` rows with a missing value are dropped. A query's
     key may repeat where ``cells`` has ``row_id``, which the result has in any case.
     """
-    pairs = pairs.select(*PAIR).distinct()
+    pairs = materialise(pairs.select(*PAIR).distinct())
     ids = pairs.select(F.col("query_id").alias("dataset_id")).union(
         pairs.select(F.col("candidate_id").alias("dataset_id"))).distinct()
-    used = cells.join(ids, "dataset_id", "left_semi")
+    used = meet(cells, ids, ["dataset_id"], ["row_key", "col"], "left_semi")
     columns = used.groupBy("dataset_id").agg(F.sort_array(F.collect_set("col")).alias("cols"))
 
     def rows(*at):

@@ -51,6 +51,10 @@ def _rows(spark, sf):
     return assoc.aligned(lake.pairs(spark), lake.stored_cells(spark, sf))
 
 
+def _matched(spark, sf, ranks=False):
+    return assoc.match(lake.pairs(spark), lake.stored_cells(spark, sf), ranks=ranks)
+
+
 def _own_rows(spark, sf):
     cells = lake.cells(spark, sf, "customer", "orders", "order_days")
     return assoc.aligned(assoc.own_pairs(lake.queries_frame(spark)), cells, impute=None)
@@ -59,13 +63,13 @@ def _own_rows(spark, sf):
 @query("c01_pearson", with_tables(
     f"SELECT {GKEY}, {rs('pearson', 6)} AS pearson FROM ({LINEAR})", **TABLES))
 def pearson(spark, sf):
-    return assoc.linear(_rows(spark, sf)).select(*PAIR, "col", rnd("pearson", 6).alias("pearson"))
+    return assoc.matched_linear(_matched(spark, sf)).select(*PAIR, "col", rnd("pearson", 6).alias("pearson"))
 
 
 @query("c02_max_pearson", with_tables(
     f"SELECT {PKEY}, {rs('max(abs(pearson))', 6)} AS max_pearson FROM ({LINEAR}) GROUP BY ALL", **TABLES))
 def max_pearson(spark, sf):
-    top = assoc.linear(_rows(spark, sf)).groupBy(*PAIR).agg(F.max(F.abs("pearson")).alias("p"))
+    top = assoc.matched_linear(_matched(spark, sf)).groupBy(*PAIR).agg(F.max(F.abs("pearson")).alias("p"))
     return top.select(*PAIR, rnd("p", 6).alias("max_pearson"))
 
 
@@ -80,7 +84,7 @@ def max_pearson(spark, sf):
 def pearson_difference(spark, sf):
     own = assoc.linear(_own_rows(spark, sf)).groupBy("query_id", "target").agg(
         F.max(F.abs("pearson")).alias("q"))
-    theirs = assoc.linear(_rows(spark, sf)).groupBy(*PAIR).agg(F.max(F.abs("pearson")).alias("c"))
+    theirs = assoc.matched_linear(_matched(spark, sf)).groupBy(*PAIR).agg(F.max(F.abs("pearson")).alias("c"))
     return theirs.join(own, ["query_id", "target"]).select(*PAIR, rnd(
         assoc.pearson_difference(F.col("c"), F.col("q")), 6).alias("max_pearson_difference"))
 
@@ -88,8 +92,7 @@ def pearson_difference(spark, sf):
 @query("c04_spearman", with_tables(
     f"SELECT {GKEY}, {rs('spearman', 6)} AS spearman FROM ({spearman_sql(GKEY)})", **TABLES))
 def spearman(spark, sf):
-    s = assoc.spearman(assoc.joint_counts(_rows(spark, sf)))
-    return s.select(*PAIR, "col", rnd("spearman", 6).alias("spearman"))
+    return assoc.matched_spearman(_matched(spark, sf, ranks=True)).select(*PAIR, "col", rnd("spearman", 6).alias("spearman"))
 
 
 # inversions by definition; DuckDB compares all row pairs of the 2399 day rows
@@ -113,14 +116,13 @@ def kendall(spark, sf):
 @query("c06_covariance", with_tables(
     f"SELECT {GKEY}, {rs('covariance', 2)} AS covariance FROM ({LINEAR})", **TABLES))
 def covariance(spark, sf):
-    return assoc.linear(_rows(spark, sf)).select(*PAIR, "col",
-                                                 rnd("covariance", 2).alias("covariance"))
+    return assoc.matched_linear(_matched(spark, sf)).select(*PAIR, "col", rnd("covariance", 2).alias("covariance"))
 
 
 @query("c07_mutual_information", with_tables(
     f"SELECT {GKEY}, {rs('mutual_info', 6)} AS mutual_info FROM ({nmi_sql(GKEY)})", **TABLES))
 def mutual_info(spark, sf):
-    m = assoc.normalised_mutual_information(assoc.joint_counts(_rows(spark, sf)))
+    m = assoc.matched_information(_matched(spark, sf, ranks=True))
     return m.select(*PAIR, "col", rnd("mutual_info", 6).alias("mutual_info"))
 
 
@@ -145,7 +147,7 @@ _FOUR = {"max_pearson": 6, "max_spearman": 6, "max_covariance": 2, "max_mutual_i
     f"SELECT {PKEY}, " + ", ".join(f"{rs(c, d)} AS {c}" for c, d in _FOUR.items())
     + f" FROM ({strongest_sql('')})", **TABLES))
 def target_features(spark, sf):
-    f = assoc.strongest(assoc.measures(_rows(spark, sf)))
+    f = assoc.strongest(assoc.matched_measures(_matched(spark, sf, ranks=True)))
     return f.select(*PAIR, *[rnd(c, d).alias(c) for c, d in _FOUR.items()])
 
 
