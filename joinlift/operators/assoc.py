@@ -215,8 +215,9 @@ def measures(rows: DataFrame, group: list[str] = GROUP, *, norm: str = "geometri
 # totals, less what the matched rows hold of them.
 
 class Matched(NamedTuple):
-    """``rows`` (pair, col, x, y, ry, cy): matched rows with the target's rank and the number of rows that share it.
-    ``columns`` (pair, col, n, n_matched, m, xx, xy, ...): all columns with counts, mean and co-moments, and the target's totals."""
+    """``rows`` (gid, x, y, ry, cy): matched rows with the target's rank and the number of rows that share it.
+    ``columns`` (gid, pair, col, n, n_matched, m, xx, xy, ...): all columns with counts, mean and co-moments, and the target's totals.
+    ``gid`` numbers the columns of pairs, so that rows carry one number instead of four names."""
 
     rows: DataFrame
     columns: DataFrame
@@ -268,14 +269,15 @@ def match(pairs: DataFrame, cells: DataFrame, *, ranks: bool = True, split_rows:
     used = pairs.select("candidate_id").distinct()
     theirs = meet(cells.withColumnRenamed("dataset_id", "candidate_id"), used, ["candidate_id"], ["row_key", "col"], "left_semi")
     unique = theirs.where("v is not null").groupBy("candidate_id", "row_key", "col").agg(F.avg("v").alias("x"))
+    names = materialise(pairs.join(theirs.select("candidate_id", "col").distinct(), "candidate_id").withColumn(
+        "gid", F.monotonically_increasing_id()))                      # stored, so that the numbers stay
     met = meet(targets, pairs, ["query_id", "target"], ["row_key"]).join(unique, ["candidate_id", "row_key"])
-    rows = met.select(*GROUP, "x", "y", *(["ry", "cy"] if ranks else []))
+    rows = meet(met, names, GROUP, ["row_key"]).select("gid", "x", "y", *(["ry", "cy"] if ranks else []))
     rows = materialise(rows) if ranks else rows
-    moments = rows.groupBy(*GROUP).agg(
+    moments = rows.groupBy("gid").agg(
         F.count(F.lit(1)).alias("n_matched"), F.avg("x").alias("m"), F.var_pop("x").alias("vx"), F.covar_pop("x", "y").alias("cxy"))
-    names = pairs.join(theirs.select("candidate_id", "col").distinct(), "candidate_id")
     k = F.coalesce("n_matched", F.lit(0))
-    columns = names.join(target_totals(targets), ["query_id", "target"]).join(moments, GROUP, "left").withColumns({
+    columns = names.join(target_totals(targets), ["query_id", "target"]).join(moments, "gid", "left").withColumns({
         "n_matched": k, "m": F.coalesce("m", F.lit(0.0)), "xx": F.coalesce(F.col("vx") * k, F.lit(0.0)),
         "xy": F.coalesce(F.col("cxy") * k, F.lit(0.0))}).drop("vx", "cxy")
     return Matched(rows, materialise(columns) if ranks else columns)
@@ -291,13 +293,13 @@ def matched_linear(of: Matched) -> DataFrame:
 def matched_spearman(of: Matched, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """(pair, col, spearman); filled rows are one tie whose rank and sums follow from counts."""
     middle = (F.col("n") + 1) / 2
-    values = of.rows.groupBy(*GROUP, "x").agg(F.count(F.lit(1)).alias("c"), F.sum("ry").alias("s"))
+    values = of.rows.groupBy("gid", "x").agg(F.count(F.lit(1)).alias("c"), F.sum("ry").alias("s"))
     if of.columns.where(F.col("n_matched") > split_rows).isEmpty():
-        w = Window.partitionBy(*GROUP).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+        w = Window.partitionBy("gid").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
         run = values.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
     else:
-        run = cumulate(values, GROUP, ["x"], {"before": F.col("c")}, totals=False, split_rows=split_rows)
-    met = run.join(of.columns.select(*GROUP, "n", "n_matched", "m", "rr"), GROUP)
+        run = cumulate(values, ["gid"], ["x"], {"before": F.col("c")}, totals=False, split_rows=split_rows)
+    met = meet(run, of.columns.select("gid", "n", "n_matched", "m", "rr"), ["gid"], ["x"])
     missing = F.col("n") - F.col("n_matched")
     off = F.col("s") - F.col("c") * middle
     rank = F.col("before") + F.when(F.col("x") > F.col("m"), missing).otherwise(0) + (F.col("c") + 1) / 2 - middle
@@ -305,7 +307,7 @@ def matched_spearman(of: Matched, split_rows: int = SPLIT_ROWS) -> DataFrame:
 
     def over(mask, value):
         return F.sum(F.when(mask, value).otherwise(0.0))
-    sums = met.groupBy(*GROUP).agg(
+    sums = met.groupBy("gid").agg(
         over(other, rank * off).alias("ab"), over(other, F.col("c") * rank * rank).alias("aa"), F.sum(off).alias("t"), over(at_mean, off).alias("tm"),
         over(F.col("x") < F.col("m"), F.col("c")).alias("below"), over(at_mean, F.col("c")).alias("equal"),
         F.max(missing).alias("missing"), F.max("n").alias("n"), F.max("rr").alias("rr"))
@@ -313,20 +315,19 @@ def matched_spearman(of: Matched, split_rows: int = SPLIT_ROWS) -> DataFrame:
     block = F.col("below") + (tied + 1) / 2 - (F.col("n") + 1) / 2
     ab = F.col("ab") + block * (F.col("tm") - F.col("t"))
     aa = F.col("aa") + tied * block * block
-    found = sums.select(*GROUP, (ab / F.nullif(F.sqrt(aa * F.col("rr")), F.lit(0.0))).alias("spearman"))
-    return of.columns.select(*GROUP).join(found, GROUP, "left").withColumn("spearman", zero_if_undefined(F.col("spearman")))
+    found = sums.select("gid", (ab / F.nullif(F.sqrt(aa * F.col("rr")), F.lit(0.0))).alias("spearman"))
+    return of.columns.select("gid", *GROUP).join(found, "gid", "left").select(*GROUP, zero_if_undefined(F.col("spearman")).alias("spearman"))
 
 
 def matched_information(of: Matched, norm: str = "geometric") -> DataFrame:
     """(pair, col, mutual_info) of exact values; filled rows share one value of x."""
-    means = of.columns.select(*GROUP, "m")
-    others = of.rows.join(means, GROUP).where("x <> m")
-    joint = materialise(others.groupBy(*GROUP, "x", "y").agg(F.count(F.lit(1)).alias("c"), F.first("cy").alias("cy")))
-    x = joint.groupBy(*GROUP, "x").agg(F.sum("c").alias("c")).groupBy(*GROUP).agg(
+    others = meet(of.rows, of.columns.select("gid", "m"), ["gid"], ["x", "y"]).where("x <> m")
+    joint = materialise(others.groupBy("gid", "x", "y").agg(F.count(F.lit(1)).alias("c"), F.first("cy").alias("cy")))
+    x = joint.groupBy("gid", "x").agg(F.sum("c").alias("c")).groupBy("gid").agg(
         F.sum(_f(F.col("c"))).alias("fx"), F.count(F.lit(1)).alias("kx"), F.sum("c").alias("held"))
-    y = joint.groupBy(*GROUP, "y").agg(F.sum("c").alias("u"), F.sum(_f(F.col("c"))).alias("fc"), F.first("cy").alias("cy")).groupBy(*GROUP).agg(
+    y = joint.groupBy("gid", "y").agg(F.sum("c").alias("u"), F.sum(_f(F.col("c"))).alias("fc"), F.first("cy").alias("cy")).groupBy("gid").agg(
         F.sum(F.col("fc") + _f(F.col("cy") - F.col("u")) - _f(F.col("cy").cast("double"))).alias("fj"))
-    all_ = of.columns.select(*GROUP, "n", "fy", "ky").join(x, GROUP, "left").join(y, GROUP, "left").na.fill(0, ["fx", "kx", "held", "fj"])
+    all_ = of.columns.select("gid", *GROUP, "n", "fy", "ky").join(x, "gid", "left").join(y, "gid", "left").na.fill(0, ["fx", "kx", "held", "fj"])
     n, tied = F.col("n"), F.col("n") - F.col("held")
     hx = F.ln(n) - (F.col("fx") + _f(tied.cast("double"))) / n
     hy = F.ln(n) - F.col("fy") / n
