@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from joinlift.llm.common import slices, spaced, split_words
 
-CACHED = 400_000           # pieces of text whose ids a worker remembers
+CACHED_BYTES = 48 << 20    # of pieces and words, and of their ids, that a worker remembers; about a quarter of what they take in memory
 WORDS_AT_ONCE = 20_000
 DOCS_BYTES = 1 << 20       # texts per round trip, unless one is longer
 DECODE_IDS = 1 << 17       # ids per round trip, unless one text has more
@@ -70,13 +70,14 @@ class Coder:
         splits = [(ranks[t[:i]], ranks[t[i:]], k) for t, k in ranks.items() for i in range(1, len(t))
                   if t[:i] in ranks and t[i:] in ranks]
         a, b, c = (pa.array(x, pa.int32()) for x in zip(*splits))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         self.db.register("m", pa.table({"a": a, "b": b, "id": c}))
         self.db.register("v", pa.table({"id": pa.array(list(ranks.values()), pa.int32()),
                                         "bytes": [t.decode("latin-1") for t in ranks]}))
         self.db.execute("CREATE TABLE merges AS FROM m; CREATE TABLE vocabulary AS FROM v")
         self.words: dict[str, str] = {}
         self.known: dict[str, str] = {}                    # by the piece without its leading space
+        self.size = 0                                      # bytes of both
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Coder:
@@ -102,7 +103,9 @@ class Coder:
                                             pa.array(self.of_byte[np.frombuffer(b"".join(raw), np.uint8)]))
             self.db.register("words", pa.table({"word": pa.array(range(len(some)), pa.int32()), "toks": toks}))
             got = self.db.execute(_ENCODE).fetchall()
-            self.words.update((some[k], ",".join(map(str, ids))) for k, ids in got)
+            found = [(some[k], ",".join(map(str, ids))) for k, ids in got]
+            self.words.update(found)
+            self.size += sum(len(w) + len(ids) for w, ids in found)
 
     def _words(self, pieces: list[str]) -> list[str]:
         """Decimal ids of pieces of text: each match of the pattern by itself."""
@@ -113,11 +116,14 @@ class Coder:
     def encode(self, batch: list[str]) -> list[str]:
         """Decimal ids of each text, joined by commas."""
         cut = [spaced(t) for t in batch]
-        if len(self.known) > CACHED or len(self.words) > CACHED:
+        if self.size > CACHED_BYTES:
             self.known.clear()
             self.words.clear()
+            self.size = 0
         new = list({p for pieces in cut for p in pieces[1:]}.difference(self.known))
-        self.known.update(zip(new, self._words([" " + p for p in new])))
+        ids = self._words([" " + p for p in new])
+        self.known.update(zip(new, ids))
+        self.size += sum(map(len, new)) + sum(map(len, ids))
         known = self.known
         heads = self._words([pieces[0] for pieces in cut])
         return [",".join([*([head] if head else []), *[known[p] for p in pieces[1:]]]) for head, pieces in zip(heads, cut)]
