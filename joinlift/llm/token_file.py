@@ -18,7 +18,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,18 +39,46 @@ SCHEMA = ("part int, seq int, first_id long, n long, doc_ids array<long>, doc_en
           "block_starts array<int>, payload binary")
 
 
+def _pack(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bits of each value, least first: every eight values fill ``width`` bytes."""
+    n = len(values)
+    eight = np.zeros((-(-n // 8), 8), np.uint64)
+    eight.ravel()[:n] = values & np.uint32((1 << width) - 1)
+    words = np.zeros((len(eight), width // 8 + 1), "<u8")
+    for j in range(8):
+        word, bit = divmod(j * width, 64)
+        words[:, word] |= eight[:, j] << np.uint64(bit)
+        if bit + width > 64:
+            words[:, word + 1] |= eight[:, j] >> np.uint64(64 - bit)
+    return words.view(np.uint8)[:, :width].tobytes()[:(n * width + 7) // 8]
+
+
+def _unpack(packed: np.ndarray, n: int, width: int) -> np.ndarray:
+    groups = -(-n // 8)
+    raw = np.zeros(groups * width, np.uint8)
+    raw[:len(packed)] = packed
+    held = np.zeros((groups, 8 * (width // 8 + 1)), np.uint8)
+    held[:, :width] = raw.reshape(groups, width)
+    words = held.view("<u8")
+    eight = np.empty((groups, 8), np.uint32)
+    for j in range(8):
+        word, bit = divmod(j * width, 64)
+        value = words[:, word] >> np.uint64(bit)
+        if bit + width > 64:
+            value |= words[:, word + 1] << np.uint64(64 - bit)
+        eight[:, j] = value & np.uint64((1 << width) - 1)
+    return eight.ravel()[:n]
+
+
 def pack_block(values: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     """One block of at most 65,535 unsigned 32-bit values."""
     base = int(values.min())
     rest = (values - base).astype(np.uint32)
-    width = int(np.percentile(rest, percentile, method="higher")).bit_length()
+    k = int(np.ceil(percentile / 100 * (len(rest) - 1)))
+    width = int(np.partition(rest, k)[k]).bit_length()
     over = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
-    word = 2 if width <= 16 else 4
-    low = rest.astype(f"<u{word}")
-    bits = np.unpackbits(low.view(np.uint8).reshape(-1, word), axis=1, bitorder="little")[:, :width]
     head = np.array((base, len(values), width, len(over)), _HEAD)
-    return b"".join([head.tobytes(), over.astype("<u2").tobytes(), rest[over].astype("<u4").tobytes(),
-                     np.packbits(bits.ravel(), bitorder="little").tobytes()])
+    return b"".join([head.tobytes(), over.astype("<u2").tobytes(), rest[over].astype("<u4").tobytes(), _pack(rest, width)])
 
 
 def unpack_block(data: bytes, at: int = 0) -> np.ndarray:
@@ -59,11 +87,7 @@ def unpack_block(data: bytes, at: int = 0) -> np.ndarray:
     at += _HEAD.itemsize
     over = np.frombuffer(data, "<u2", k, at)
     patch = np.frombuffer(data, "<u4", k, at + 2 * k)
-    packed = np.frombuffer(data, np.uint8, (n * width + 7) // 8, at + 6 * k)
-    word = 2 if width <= 16 else 4
-    bits = np.zeros((n, 8 * word), np.uint8)
-    bits[:, :width] = np.unpackbits(packed, count=n * width, bitorder="little").reshape(n, width)
-    values = np.packbits(bits, axis=1, bitorder="little").view(f"<u{word}").ravel().astype(np.uint32)
+    values = _unpack(np.frombuffer(data, np.uint8, (n * width + 7) // 8, at + 6 * k), n, width)
     values[over] = patch
     return values + head["base"]
 
@@ -112,8 +136,10 @@ class Encoder:
         several = [w for w in new if "\0" not in w]
         if several:
             written = "\0".join(several).encode().decode("latin-1").translate(letters).split(letters[0])
-            for w, letter_form in zip(several, written):
-                table[w] = array("I", [t.id for t in tokenize(letter_form)]).tobytes()
+            tokens = list(map(tokenize, written))
+            ends = np.cumsum([0, *map(len, tokens)]) * 4
+            blob = array("I", [t.id for ts in tokens for t in ts]).tobytes()
+            table.update(zip(several, [blob[a:b] for a, b in pairwise(ends.tolist())], strict=True))
         for w in words.difference(table):
             table[w] = array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))]).tobytes()
 
