@@ -4,8 +4,8 @@ Rules decide the addresses that they cover. For all others, trust flows from tru
 blocked hosts against them (who links to a blocked host is suspect), both as personalised PageRank; a host whose
 distrust exceeds ``THRESHOLD`` times its trust is blocked. There is no absolute floor, so any distrust without trust blocks.
 
-Rounds go on until the scores' summed change over ``STORE_EVERY`` rounds is at most ``TOLERANCE`` (each kind sums to one) and no
-further host is reached, however far it is from a seed.
+Rounds go on until all that later ones could add is at most ``TOLERANCE`` of a kind's whole mass and no further host was
+reached in the last ``STORE_EVERY`` of them, however far it is from a seed. Each kind's scores sum to one.
 
 A host is a seed when the rules decide more than half of its pages one way; its weight is the number of those pages.
 Host edges are the distinct pairs of a page's host and the host of an absolute link in its HTML, weighted by
@@ -66,30 +66,37 @@ def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, host, score): personalised PageRank per kind. ``edges``: (kind, src, dst, links); ``seeds``: (kind, host, mass)."""
+    """(kind, host, score): personalised PageRank per kind. ``edges``: (kind, src, dst, links); ``seeds``: (kind, host, mass).
+
+    A round sends each host's ``fresh`` mass (what reached it in the round before) over its links, damped, and adds what
+    arrives to its ``mass``. The sum over all rounds, scaled to one, is the score: mass that returns to the seeds only
+    repeats it. Each host has a row of its own among its links, which carries its mass, so a round reads its state once.
+    """
     total = seeds.groupBy("kind").agg(F.sum("mass").alias("all"))          # one row per kind: two
-    seeds = store(seeds.join(F.broadcast(total), "kind").select("kind", "host", (F.col("mass") / F.col("all")).alias("seed")))
+    state = seeds.join(F.broadcast(total), "kind").select(
+        "kind", "host", (F.col("mass") / F.col("all")).alias("fresh"), (F.col("mass") / F.col("all")).alias("mass"))
     out = edges.groupBy("kind", "src").agg(F.sum("links").alias("out"))
-    share = store(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst",
-                                                          (F.col("links") / F.col("out")).alias("share")))
-    last = score = seeds.select("kind", "host", F.col("seed").alias("score"))
-    i = 0
+    links = edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst",
+                                                    (F.col("links") / F.col("out") * DAMPING).alias("share"), F.lit(0.0).alias("own"))
+    hosts = edges.select("kind", "src").union(edges.select("kind", "dst")).union(seeds.select("kind", "host")).distinct()
+    links = store(links.union(hosts.toDF("kind", "host").select("kind", "host", "host", F.lit(0.0), F.lit(1.0))))
+    reached, i = -1, 0
     while True:
-        i += 1
-        sent = score.join(share, ["kind", "host"]).select(
-            "kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * DAMPING).alias("score"))
-        arrived = sent.groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        kept = arrived.groupBy("kind").agg(F.sum("score").alias("kept"))
-        back = seeds.join(F.broadcast(kept), "kind", "left").select(        # what did not travel returns to the seeds
-            "kind", "host", (F.col("seed") * (1 - F.coalesce("kept", F.lit(0.0)))).alias("score"))
-        score = arrived.unionByName(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if i % STORE_EVERY == 0:
-            score = store(score)
-            moved = score.unionByName(last.select("kind", "host", (-F.col("score")).alias("score"))).groupBy("kind", "host").agg(
-                F.sum("score").alias("by")).agg(F.sum(F.abs("by")).alias("by"), F.count(F.lit(1)).alias("n")).first()
-            if i >= rounds and (moved["by"] or 0.0) <= TOLERANCE and last.count() == moved["n"]:
-                return score
-            last = score
+        for _ in range(STORE_EVERY):
+            sent = F.col("fresh") * F.col("share")
+            state = state.join(links, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(
+                F.sum(sent).alias("fresh"), F.sum(sent + F.col("own") * F.col("mass")).alias("mass"))
+        i += STORE_EVERY
+        state = store(state)
+        left = state.groupBy("kind").agg(F.sum("fresh").alias("fresh"), F.sum("mass").alias("mass"), F.count(F.lit(1)).alias("n")).collect()
+        # all later rounds together add at most fresh / (1 - DAMPING)
+        settled = all(k["fresh"] <= TOLERANCE * (1 - DAMPING) * k["mass"] for k in left)
+        n = sum(k["n"] for k in left)
+        if i >= rounds and settled and n == reached:
+            break
+        reached = n
+    whole = state.groupBy("kind").agg(F.sum("mass").alias("whole"))
+    return state.join(F.broadcast(whole), "kind").select("kind", "host", (F.col("mass") / F.col("whole")).alias("score"))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], key: str = "page_id", url: str = "url",
