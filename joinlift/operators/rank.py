@@ -6,8 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from joinlift.functions import attach, cumulate, materialise, positions
+from joinlift.functions import attach, cumulate, materialise, positions, spread
 from joinlift.operators.assoc import kendall
 from joinlift.operators.labels import QUERY
 
@@ -23,7 +24,18 @@ def rank_by(rows: DataFrame, score: str, out: str, group: Sequence[str] = QUERY,
 
 def rank_candidates(rows: DataFrame, scores: Mapping[str, str],
                     group: Sequence[str] = QUERY, **kw) -> DataFrame:
-    """A rank column per entry of ``scores`` (rank name -> score column) and the list length n."""
+    """A rank column per entry of ``scores`` (rank name -> score column) and the list length n.
+
+    The source is read once. Behind one count of the groups all rankings share a shuffle.
+    """
+    rows = materialise(rows)
+    limit = kw.get("split_rows")
+    if not spread.has_large_group(rows, group, spread.SPLIT_ROWS if limit is None else limit):
+        w = Window.partitionBy(*group)
+        return rows.select(
+            "*", *[F.row_number().over(w.orderBy(-F.col(score), "candidate_id")).cast("long").alias(name)
+                   for name, score in scores.items()],
+            F.count(F.lit(1)).over(w).alias("n"))
     out = rows
     for name, score in scores.items():
         out = rank_by(out, score, name, group, **kw).withColumnRenamed(f"{name}_total", "n")
