@@ -1,11 +1,12 @@
 """Sharding by longest-processing-time scheduling, for groups that must stay together.
 
-Groups are sorted by size, and each goes to the least loaded shard through a heap. Large groups are scheduled one by one;
-there are few of them, since each has more than 1/``LARGE`` of all bytes. Small groups are scheduled in ``BUNDLES``
-bundles, formed by a hash of the group. So the heap gets at most LARGE + BUNDLES entries from any input.
+Groups are sorted by size, and each goes to the least loaded shard through a heap. Groups of equal size are interchangeable, so
+the driver gets one row per distinct size and how many groups have it: fewer than the square root of twice all bytes,
+since that many different sizes add up to all bytes. Many groups of one size are handed out up to a common level of
+load at once, which gives the counts that one by one would. Groups are numbered within their size, and the number names the shard.
 
-Positions within a shard come from counts per shard and slice, and a rank within the slice; slices follow the
-number of rows, so no task ranks a whole shard.
+Positions, of groups within a size and of rows within a shard, come from counts per slice and a rank within the slice; slices
+follow the number of rows, and a row repeated beyond a slice is dealt over slices, so no task ranks a whole shard.
 
 Defined cases: a null text counts as an empty one and groups with it. Repeated rows stay together
 and take different positions. An empty table gives an empty result; with fewer groups than shards, some shards are empty.
@@ -14,17 +15,17 @@ and take different positions. An empty table gives an empty result; with fewer g
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from joinlift.llm.common import store
+from joinlift.llm.common import lookup_join, store
 
 SHARDS = 40
 OVERHEAD = 16              # bytes of a row besides its text
-LARGE = 20_000
-BUNDLES = 16_384
 SLICE_ROWS = 20_000
 
 
@@ -39,33 +40,89 @@ def schedule(items: list[tuple[int, str]], shards: int) -> dict[str, int]:
     return placed
 
 
+def _raise(heap: list[tuple[int, int]], size: int, count: int) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """The heap after most of ``count`` items, and the items per shard: all that start below the highest level they suffice for."""
+    def starts(load: int, level: int) -> int:
+        return max(0, -((load - level) // size))
+    low, high = heap[0][0], heap[0][0] + size * count + 1          # enough at the one, too few at the other
+    while high - low > 1:
+        level = (low + high) // 2
+        if sum(starts(load, level) for load, _ in heap) <= count:
+            low = level
+        else:
+            high = level
+    given = {shard: starts(load, low) for load, shard in heap}
+    raised = [(load + size * given[shard], shard) for load, shard in heap]
+    heapq.heapify(raised)
+    return raised, {s: n for s, n in given.items() if n}
+
+
+def hand_out(sizes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, dict[int, int]]]:
+    """Per (size, count), by falling size: how many of its items each shard gets, as ``schedule`` would place them."""
+    heap = [(0, s) for s in range(shards)]
+    for size, count in sizes:
+        if not size:                                                # adds no load: the least loaded shard stays the least loaded
+            yield size, {heap[0][1]: count}
+            continue
+        given: dict[int, int] = {}
+        left = count
+        if count > shards:
+            heap, given = _raise(heap, size, count)
+            left -= sum(given.values())                             # fewer than the shards: those that start at the level itself
+        for _ in range(left):
+            load, shard = heap[0]
+            given[shard] = given.get(shard, 0) + 1
+            heapq.heapreplace(heap, (load + size, shard))
+        yield size, given
+
+
+def numbered(rows: DataFrame, n: int, by: str, order: list[str], out: str, extra: str | None = None) -> DataFrame:
+    """Adds ``out``: a gapless position within ``by``, from 0. ``rows`` must be stored; ``n`` is their number.
+
+    Rows fall into slices by a hash of ``order``, and of the column ``extra`` where given.
+    """
+    slices = max(1, -(-n // SLICE_ROWS))
+    sliced = rows.withColumn("__slice", F.pmod(F.xxhash64(*order, *([extra] if extra else [])), F.lit(slices)))
+    counts = sliced.groupBy(by, "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(by, "__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy(by, "__slice").orderBy(*order)) - 1
+    return (sliced.withColumn("__rank", rank).join(counts, [by, "__slice"])
+            .withColumn(out, (F.col("__before") + F.col("__rank")).cast("long")).drop("__slice", "__before", "__rank"))
+
+
 def assign(rows: DataFrame, size: str, group: str, shards: int = SHARDS) -> DataFrame:
-    """Adds ``shard`` to stored rows: equal groups share one, and the sums of sizes come out near equal."""
-    groups = store(rows.groupBy(F.col(group).alias("__group")).agg(F.sum(size).alias("__bytes")))
-    total = groups.agg(F.sum("__bytes")).first()[0] or 0
-    is_large = F.col("__bytes") * LARGE > F.lit(total)                      # fewer than LARGE groups, by arithmetic
-    bundle = lambda c: F.pmod(F.xxhash64(c), F.lit(BUNDLES))                # noqa: E731
-    large = groups.where(is_large).select("__group", "__bytes").collect()
-    small = groups.where(~is_large).groupBy(bundle("__group").alias("b")).agg(F.sum("__bytes").alias("bytes")).collect()
-    placed = schedule([(r[1], f"g{r[0]}") for r in large] + [(r[1], f"b{r[0]}") for r in small], shards)
+    """Adds ``shard`` and ``__rows`` (rows of the group) to stored rows: equal groups share one shard, and the sums of sizes come out near equal."""
     spark = rows.sparkSession
-    of_large = spark.createDataFrame([(r[0], placed[f"g{r[0]}"]) for r in large], "__group string, __large int")
-    of_small = spark.createDataFrame([(r[0], placed[f"b{r[0]}"]) for r in small], "__bundle long, __small int")
-    out = rows.withColumns({"__group": F.col(group), "__bundle": bundle(F.col(group))})
-    out = out.join(F.broadcast(of_large), "__group", "left").join(F.broadcast(of_small), "__bundle", "left")
-    return out.withColumn("shard", F.coalesce("__large", "__small")).drop("__group", "__bundle", "__large", "__small")
+    groups = store(rows.groupBy(F.col(group).alias("__group")).agg(F.sum(size).alias("__bytes"), F.count(F.lit(1)).alias("__rows")))
+    sizes = store(groups.groupBy("__bytes").agg(F.count(F.lit(1)).alias("__count")))
+    table = sizes.toArrow().sort_by([("__bytes", "descending")])
+    counts = table.column("__count").to_numpy()
+    placed = list(hand_out(zip(table.column("__bytes").to_numpy().tolist(), counts.tolist()), shards))
+    ends = pa.array([[sum(list(g.values())[:i + 1]) for i in range(len(g))] for _, g in placed], pa.list_(pa.int64()))
+    names = pa.array([list(g) for _, g in placed], pa.list_(pa.int32()))
+    by_size = store(spark.createDataFrame(pa.table(
+        {"__bytes": pa.array([s for s, _ in placed], pa.int64()), "__count": pa.array(counts, pa.int64()), "__ends": ends, "__names": names})))
+    at = store(numbered(groups, groups.count(), "__bytes", ["__group"], "__number"))
+    at = lookup_join(at, by_size, "__bytes", "__count")
+    passed = F.size(F.filter("__ends", lambda e: e <= F.col("__number")))
+    at = store(at.select("__group", "__rows", F.get("__names", passed).alias("shard")))
+    # the rows of a group are its weight as a key
+    return lookup_join(rows.withColumn("__group", F.col(group)), at.withColumn("__weight", F.col("__rows")), "__group", "__weight").drop("__group")
 
 
 def with_slots(rows: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """Adds ``slot``: a gapless position within the shard, from 0. ``rows`` must be stored; ``n`` is their number."""
-    slices = max(1, -(-n // SLICE_ROWS))
-    sliced = rows.withColumn("__slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
-    counts = sliced.groupBy("shard", "__slice").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("shard", "__slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("shard", "__slice").orderBy(*order)) - 1
-    return (sliced.withColumn("__rank", rank).join(counts, ["shard", "__slice"])
-            .withColumn("slot", (F.col("__before") + F.col("__rank")).cast("long")).drop("__slice", "__before", "__rank"))
+    """Adds ``slot``: a gapless position within the shard, from 0. ``rows`` must be stored, as ``assign`` returns them; ``n`` is their number."""
+    many = rows.where(F.col("__rows") > SLICE_ROWS).groupBy(*order).agg(F.count(F.lit(1)).alias("__copies")).where(
+        F.col("__copies") > SLICE_ROWS)
+    key = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order]))
+    many = store(many.select(key.alias("__key"), "__copies", F.lit(True).alias("__many")))
+    if many.isEmpty():
+        return numbered(rows.drop("__rows"), n, "shard", order, "slot")
+    # copies of one row are alike, so any numbering of them is the same result
+    own = lookup_join(rows.withColumns({"__key": key, "__id": F.monotonically_increasing_id()}), many, "__key", "__copies")
+    own = store(own.select(*[c for c in rows.columns if c != "__rows"], F.when(F.col("__many"), F.col("__id")).alias("__copy")))
+    return numbered(own, n, "shard", order, "slot", "__copy").drop("__copy")
 
 
 def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:

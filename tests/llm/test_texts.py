@@ -336,6 +336,34 @@ def test_schedule_is_longest_first():
     assert sharding.schedule([(3, "c"), (5, "a"), (4, "b"), (3, "d")], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
 
 
+def test_groups_of_one_size_are_handed_out_as_one_by_one():
+    rng = np.random.default_rng(3)
+    for trial in range(200):
+        shards = int(rng.integers(1, 9))
+        sizes = {int(s): int(rng.integers(1, rng.choice([3, 60]))) for s in rng.choice([40, 400], 1)[0] - rng.integers(0, 40, 12)}
+        if trial % 3 == 0:
+            sizes[5_000] = 1                                          # one group that the others have to catch up with
+        items = [(size, f"{size}-{i}") for size, n in sizes.items() for i in range(n)]
+        want: dict[int, dict[int, int]] = {}
+        for name, to in sharding.schedule(items, shards).items():
+            of_size = want.setdefault(int(name.split("-")[0]), {})
+            of_size[to] = of_size.get(to, 0) + 1
+        assert dict(sharding.hand_out(sorted(sizes.items(), reverse=True), shards)) == want
+
+
+def test_rows_repeated_beyond_a_slice_get_gapless_slots(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLICE_ROWS", 20)
+    rows = [(1, "again and again")] * 150 + [(None, None)] * 40 + [(i, f"text {i % 60}") for i in range(300)]
+    got = pd.DataFrame([r.asDict() for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=4).collect()])
+    assert len(got) == len(rows) and (got.groupby("text_crc32").shard.nunique() == 1).all()
+    for _, own in got.groupby("shard"):
+        assert sorted(own.slot) == list(range(len(own)))
+    sizes = got.groupby("text_crc32")["size"].sum()
+    placed = sharding.schedule([(n, str(c)) for c, n in sizes.items()], 4)
+    want = sorted(sum(n for c, n in sizes.items() if placed[str(c)] == s) for s in range(4))
+    assert sorted(got.groupby("shard")["size"].sum()) == want
+
+
 # op10
 
 def test_trees_learn_and_flat_arrays_agree_with_a_walk():
