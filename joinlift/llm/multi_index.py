@@ -2,7 +2,8 @@
 
 Each half of a vector is quantised by a codebook of its own (fitted by k-means on a bounded sample), so every vector lies in
 a cell named by a pair of centroids. A query traverses the pairs by summed score with a heap until the cells hold
-``VISIT_SHARE`` of all vectors (``VISIT_LEAST`` at least); all entries of the visited cells are reranked by their exact score.
+a share of all vectors; all entries of the visited cells are reranked by their exact score. The share is the least of ``SHARES`` by which
+``TRIAL_QUERIES`` vectors of the sample find ``RECALL`` of their exact neighbours within the sample; the same rule holds at every size.
 
 The index deals cells over groups of about ``GROUP_ROWS`` vectors; a cell with more than one group's share is split by a hash
 of its vectors, so a vector that a third of all rows repeat is spread as well. A query is sent to the groups with
@@ -29,8 +30,9 @@ from joinlift.llm.topk import matrix, merge_lists, select, usable
 SAMPLE_ROWS = 20_000       # vectors that the codebooks are fitted on, at most
 MOST_CENTROIDS = 64        # per half
 KMEANS_ROUNDS = 8
-VISIT_SHARE = 0.5
-VISIT_LEAST = 4_000
+SHARES = (0.02, 0.05, *(i / 10 for i in range(1, 11)))
+TRIAL_QUERIES = 512
+RECALL = 0.95              # asked for within the sample; among more vectors the nearest are nearer, so more are found
 GROUP_ROWS = 8_192
 
 
@@ -71,6 +73,30 @@ def traverse(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, want: int
     return -least
 
 
+def visits_needed(x: np.ndarray, first: np.ndarray, second: np.ndarray, k: int, queries: int = TRIAL_QUERIES) -> np.ndarray:
+    """For each of the exact best k of some rows of ``x`` among all others: the share of rows in the cells visited before its own."""
+    half = first.shape[1]
+    cells = assign(x[:, :half], first) * len(second) + assign(x[:, half:], second)
+    sizes = np.bincount(cells, minlength=len(first) * len(second))
+    needed = []
+    for at in np.unique(np.linspace(0, len(x) - 1, queries).astype(int)):
+        q = x[at]
+        scores = x @ q
+        scores[at] = -np.inf
+        near = select(scores, np.arange(len(x)), min(k, len(x) - 1))
+        order = np.argsort(-((first @ q[:half])[:, None] + (second @ q[half:])[None, :]).ravel(), kind="stable")
+        before = np.empty(len(sizes), np.int64)
+        before[order] = np.cumsum(sizes[order]) - sizes[order]
+        needed.append(before[cells[near]] / len(x))
+    return np.concatenate(needed)
+
+
+def least_share(x: np.ndarray, first: np.ndarray, second: np.ndarray, k: int, recall: float = RECALL) -> float:
+    """The least of ``SHARES`` that finds this part of the exact neighbours within ``x``."""
+    needed = visits_needed(x, first, second, k)
+    return next((s for s in SHARES if not len(needed) or (needed < s).mean() >= recall), 1.0)
+
+
 def _search(queries: pd.DataFrame, entries: pd.DataFrame, first: np.ndarray, second: np.ndarray, k: int) -> pd.DataFrame:
     """The best k of each query among the entries of one group whose cells it visits."""
     entries = entries.sort_values(["cell", "vec_id"], kind="stable")
@@ -105,8 +131,11 @@ def _search(queries: pd.DataFrame, entries: pd.DataFrame, first: np.ndarray, sec
 
 
 def search(table: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding",
-           visit_share: float = VISIT_SHARE, visit_least: int = VISIT_LEAST) -> DataFrame:
-    """(query_id, rank, vec_id, score): the best k found for each row that ``is_query`` names, among all rows but its own."""
+           visit_share: float | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the best k found for each row that ``is_query`` names, among all rows but its own.
+
+    ``visit_share``: the share of vectors to visit; none: as measured (``least_share``).
+    """
     spark = table.sparkSession
     v = F.col(vector).cast("array<double>")
     zero = F.forall(v, lambda x: x == 0.0)
@@ -136,7 +165,7 @@ def search(table: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector:
     sizes = np.zeros((len(first), k2), np.int64)
     for cell, count in index.groupBy("cell").count().collect():             # at most MOST_CENTROIDS squared rows
         sizes[cell // k2, cell % k2] = count
-    want = int(max(visit_least, visit_share * n))
+    want = int(np.ceil((least_share(x, first, second, k) if visit_share is None else visit_share) * n))
     groups = max(1, -(-n // GROUP_ROWS))
     # a cell larger than half a group is dealt out by its vectors
     wide = {int(c): int(-(-2 * s // GROUP_ROWS)) for c, s in enumerate(sizes.ravel()) if 2 * s > GROUP_ROWS}

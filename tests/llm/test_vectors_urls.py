@@ -99,7 +99,7 @@ def test_recall_of_the_multi_index(spark):
     sf = "/root/testdata/sf0.1"
     e = pd.read_parquet(f"{sf}/embeddings.parquet")
     x, ids = np.array(e.embedding.tolist(), float), e.vec_id.to_numpy()
-    x = np.vstack([x, vectors(8000, x.shape[1], 6)])                  # larger than the least number of visits
+    x = np.vstack([x, vectors(8000, x.shape[1], 6)])
     ids = np.concatenate([ids, ids.max() + 1 + np.arange(8000)])
     frame = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": x.tolist()}))
     got = multi_index.search(frame, lambda i: i % 20 == 0).toPandas()
@@ -113,6 +113,32 @@ def test_recall_of_the_multi_index(spark):
     assert hits / n >= 0.9
 
 
+def test_the_share_of_visits_is_the_least_that_finds_enough():
+    x = vectors(1500, 8, 5)
+    first, second = multi_index.kmeans(x[:, :4], 30), multi_index.kmeans(x[:, 4:], 30)
+    share = multi_index.least_share(x, first, second, 10)
+    cells = multi_index.assign(x[:, :4], first) * 30 + multi_index.assign(x[:, 4:], second)
+    sizes = np.bincount(cells, minlength=900).reshape(30, 30)
+
+    def recall(of):
+        hits = n = 0
+        for i in np.unique(np.linspace(0, 1499, multi_index.TRIAL_QUERIES).astype(int)):
+            a, b = first @ x[i, :4], second @ x[i, 4:]
+            last = multi_index.traverse(a, b, sizes, int(np.ceil(of * len(x))))
+            visited = (a[:, None] + b[None, :]).ravel()[cells] >= last - 1e-9
+            s = x @ x[i]
+            s[i] = -np.inf
+            hits += visited[np.argsort(-s)[:10]].sum()
+            n += 10
+        return hits / n
+    below = [s for s in multi_index.SHARES if s < share]
+    assert recall(share) >= multi_index.RECALL
+    assert not below or recall(below[-1]) < multi_index.RECALL
+    same = np.ones((40, 8))
+    assert multi_index.least_share(same, same[:1, :4], same[:1, 4:], 10) == multi_index.SHARES[0]
+    assert multi_index.least_share(x[:1], first, second, 10) == multi_index.SHARES[0]
+
+
 def test_traversal_visits_pairs_by_falling_sum():
     rng = np.random.default_rng(2)
     a, b, sizes = rng.normal(size=7), rng.normal(size=5), rng.integers(0, 9, (7, 5))
