@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import StandardScaler
@@ -26,6 +27,7 @@ from joinlift.operators.splits import hold_out
 from joinlift.schema import PAIR
 
 ERRORS = ("mae", "mse", "medae", "r2")
+TIE = 1e-9         # errors that differ by no more than this part of them are equal
 
 
 def absolute_gain(before: str, after: str) -> Column:
@@ -63,13 +65,8 @@ def relative_targets(scores: DataFrame) -> DataFrame:
         "gain_in_r2_score": relative_gain("r2_before", "r2_after")})
 
 
-def model_rows(pairs: DataFrame, cells: DataFrame, *, inner: bool = False, strategy: str = "mean") -> DataFrame:
-    """One row per (pair, query row): target ``y``, query features ``qx``, candidate features ``cx``.
-
-    Arrays follow the column names in order. Missing candidate values are the mean (or
-    median, or most frequent: ``strategy``) of the matched ones (0 if none), or with ``inner`` rows with a missing value are dropped. A query's
-    key may repeat where ``cells`` has ``row_id``, which the result has in any case.
-    """
+def _joined_rows(pairs: DataFrame, cells: DataFrame, inner: bool = False) -> DataFrame:
+    """The rows of ``model_rows`` before candidate values are filled."""
     pairs = materialise(pairs.select(*PAIR).distinct())
     ids = pairs.select(F.col("query_id").alias("dataset_id")).union(
         pairs.select(F.col("candidate_id").alias("dataset_id"))).distinct()
@@ -100,22 +97,39 @@ def model_rows(pairs: DataFrame, cells: DataFrame, *, inner: bool = False, strat
         c_rows, ["candidate_id", "row_key"], "inner" if inner else "left")
     met = met.withColumns({"qx": in_order("qv", "q_cols"), "cx": in_order("cv", "c_cols"),
                            "at": F.array_position("q_cols", F.col("target")).cast("int") - 1})
-    wide = met.select(
+    return met.select(
         *PAIR, "row_id", "row_key", F.get("qx", F.col("at")).alias("y"),
         F.transform(F.filter("qx", lambda v, i: i != F.col("at")), lambda v: F.coalesce(v, F.lit(0.0))).alias("qx"), "cx").where("y is not null")
-    if inner:
-        return wide.where(~F.exists("cx", lambda v: v.isNull()))
-    wide = materialise(wide)
+
+
+def _fills(wide: DataFrame, strategy: str) -> DataFrame:
+    """Per pair, the array ``ms`` of what replaces a missing value of each candidate feature; 0 where nothing matched."""
     values = wide.select(*PAIR, F.posexplode("cx").alias("i", "v"))
     if strategy == "mean":
         fills = fill_value(values, [*PAIR, "i"], "v", strategy)
     else:                                                            # a column without any match has no fill of its own
         fills = values.select(*PAIR, "i").distinct().join(fill_value(values, [*PAIR, "i"], "v", strategy), [*PAIR, "i"], "left")
-    means = fills.groupBy(*PAIR).agg(
+    return fills.groupBy(*PAIR).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("i", "fill"))),
                     lambda e: F.coalesce(e["fill"], F.lit(0.0))).alias("ms"))
-    return attach(wide, means, PAIR, ["row_id"]).withColumn(
-        "cx", F.zip_with("cx", "ms", lambda v, m: F.coalesce(v, m))).drop("ms")
+
+
+def _filled(cx, ms) -> Column:
+    return F.zip_with(cx, ms, lambda v, m: F.coalesce(v, m))
+
+
+def model_rows(pairs: DataFrame, cells: DataFrame, *, inner: bool = False, strategy: str = "mean") -> DataFrame:
+    """One row per (pair, query row): target ``y``, query features ``qx``, candidate features ``cx``.
+
+    Arrays follow the column names in order. Missing candidate values are the mean (or
+    median, or most frequent: ``strategy``) of the matched ones (0 if none), or with ``inner`` rows with a missing value are dropped. A query's
+    key may repeat where ``cells`` has ``row_id``, which the result has in any case.
+    """
+    wide = _joined_rows(pairs, cells, inner)
+    if inner:
+        return wide.where(~F.exists("cx", lambda v: v.isNull()))
+    wide = materialise(wide)
+    return attach(wide, _fills(wide, strategy), PAIR, ["row_id"]).withColumn("cx", _filled("cx", "ms")).drop("ms")
 
 
 def predict_linear(rows: DataFrame, coefs: DataFrame, group: list[str],
@@ -207,14 +221,29 @@ def before_and_after_with(kind: str, pairs: DataFrame, cells: DataFrame, *, inne
 
 def with_best_imputation(pairs: DataFrame, cells: DataFrame, strategies: Sequence[str] = ("mean", "median", "most_frequent"),
                          *, seed: str = "42") -> DataFrame:
-    """Scores under the imputation whose model after the join has the lowest MAE; ``strategy`` names it."""
-    each = None
-    for s in strategies:
-        one = before_and_after(pairs, cells, seed=seed, strategy=s).withColumn("strategy", F.lit(s))
-        each = one if each is None else each.unionByName(one)
-    each = materialise(each)
-    best = best_strategy(each.withColumn("mae", F.col("mae_after")), PAIR).select(*PAIR, "strategy")
-    return each.join(best, [*PAIR, "strategy"])
+    """Scores under the imputation whose model after the join has the lowest MAE; ``strategy`` names it.
+
+    Rows are joined once and carry the fills of all strategies; the model before the join and one per strategy are fitted
+    in the same job. Errors that differ by rounding alone are a tie, which goes to the first name.
+    """
+    wide = materialise(hold_out(_joined_rows(pairs, cells), "row_id", seed=seed))
+    each = [_fills(wide, s).select(*PAIR, F.lit(s).alias("stage"), "ms") for s in strategies]
+    fills = materialise(reduce(DataFrame.unionByName, each)).groupBy(*PAIR).agg(F.collect_list(F.struct("stage", "ms")).alias("fills"))
+    rows = attach(wide, fills, PAIR, ["row_id"])
+    both = materialise(rows.select(*PAIR, "row_id", "is_train", "y", F.inline(F.concat(
+        F.array(F.struct(F.lit("before").alias("stage"), F.col("qx").alias("xs"))),
+        F.transform("fills", lambda f: F.struct(f["stage"].alias("stage"), F.concat("qx", _filled(F.col("cx"), f["ms"])).alias("xs")))))))
+    group = [*PAIR, "stage"]
+    coefs = fit_linear(both.where("is_train"), group)
+    predicted = materialise(predict_linear(both.where("not is_train"), coefs, group, ["row_id"]))
+    errors = materialise(error_scores(predicted, group))
+    before = errors.where("stage = 'before'").select(*PAIR, *[F.col(m).alias(f"{m}_before") for m in ERRORS])
+    after = errors.where("stage <> 'before'").withColumnRenamed("stage", "strategy")
+    least = after.groupBy(*PAIR).agg(F.min("mae").alias("least"))
+    near = after.join(least, PAIR).withColumn("mae", F.when(F.col("mae") <= F.col("least") * (1 + TIE), F.col("least")).otherwise(F.col("mae")))
+    best = best_strategy(near, PAIR).select(*PAIR, "strategy")
+    after = after.join(best, [*PAIR, "strategy"]).select(*PAIR, "strategy", *[F.col(m).alias(f"{m}_after") for m in ERRORS])
+    return before.join(after, PAIR)
 
 
 def training_records(scores: DataFrame, strategy: str | None = "mean",

@@ -60,6 +60,38 @@ def before_after(spark, sf):
         for s in ("before", "after")], *[rnd(F.sqrt(f"mse_{s}"), 2).alias(f"rmse_{s}") for s in ("before", "after")])
 
 
+# Every single column of every candidate, for the two bases that have one feature besides their target.
+_EVERY_CANDIDATE = ("cust_orders", "user_events", "order_lines")
+_EVERY_PAIR = ("SELECT b.*, c.candidate_id FROM (VALUES ('customer', 'c_acctbal'), ('orders', 'o_totalprice')) b(query_id, target) "
+               f"CROSS JOIN (SELECT DISTINCT dataset_id AS candidate_id FROM ({lake.single_cells_sql(*_EVERY_CANDIDATE)})) c")
+_MATCHED = ("SELECT p.query_id, p.candidate_id, q.row_key, q.v AS y, a.v AS a, c.v AS x, " + hash_sql("42", "q.row_key") + " % 100 < 67 AS tr "
+            "FROM pairs p JOIN cells q ON q.dataset_id = p.query_id AND q.col = p.target "
+            "JOIN cells a ON a.dataset_id = p.query_id AND a.col <> p.target AND a.row_key = q.row_key "
+            "LEFT JOIN cells c ON c.dataset_id = p.candidate_id AND c.row_key = q.row_key")
+_FILLS = ("SELECT query_id, candidate_id, unnest(['mean', 'median', 'most_frequent']) AS strategy, unnest([avg(x), median(x), "
+          "min(x) FILTER (c = m)]) AS f FROM (SELECT *, max(c) OVER (PARTITION BY query_id, candidate_id) AS m FROM (SELECT *, "
+          "CASE WHEN x IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY query_id, candidate_id, x) END AS c FROM matched)) GROUP BY 1, 2")
+_EACH = ("SELECT m.query_id || '>' || m.candidate_id || '>' || strategy AS query_id, m.candidate_id, y, a, coalesce(x, f, 0) AS b, tr "
+         "FROM matched m JOIN fills USING (query_id, candidate_id)")
+
+
+@query("i01_best_strategy", with_tables(
+    "SELECT split_part(query_id, '>', 1) AS query_id, candidate_id, split_part(query_id, '>', 3) AS strategy, "
+    f"{rs('mae_before', 2)} AS mae_before, {rs('mae', 2)} AS mae_after, {rs('r2', 6)} AS r2_after FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY split_part(query_id, '>', 1), candidate_id ORDER BY split_part(query_id, '>', 3)) AS k FROM (SELECT n.*, p.mae AS mae_before, "
+    "min(n.mae) OVER (PARTITION BY split_part(query_id, '>', 1), candidate_id) AS least "
+    f"FROM ({_AFTER}) n JOIN ({_BEFORE}) p USING (query_id, candidate_id)) WHERE mae <= least * (1 + 1e-9)) WHERE k = 1",
+    cells=_M1_CELLS, pairs=_EVERY_PAIR, matched=_MATCHED, fills=_FILLS, xy=_EACH, fit=_FIT))
+def best_imputation(spark, sf):
+    """Every candidate column under the imputation that suits it best."""
+    found = materialise(lake.single_cells(spark, sf, *_EVERY_CANDIDATE))
+    bases = F.array(*[F.struct(F.lit(q).alias("query_id"), F.lit(t).alias("target")) for q, t in lake.QUERIES if q in ("customer", "orders")])
+    pairs = found.select(F.col("dataset_id").alias("candidate_id")).distinct().select("candidate_id", F.inline(bases))
+    best = scores.with_best_imputation(pairs, lake.cells(spark, sf, "customer", "orders").unionByName(found))
+    return best.select("query_id", "candidate_id", "strategy", rnd("mae_before", 2).alias("mae_before"),
+                       rnd("mae_after", 2).alias("mae_after"), rnd("r2_after", 6).alias("r2_after"))
+
+
 @query("m01_user_model_forest")
 def forest_scores(spark, sf):
     """The same pairs under a random forest as the user's model."""
