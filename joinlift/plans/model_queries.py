@@ -296,12 +296,34 @@ def full_run(spark, sf):
                                  pruner=lambda p: prune.by_containment(p, cells, 1), selector="elimination")
 
 
-@query("u12_candidates_by_true_gain")
+# A nation of few customers leaves features constant or dependent among its training rows, or one test row alone. Then a constant
+# feature has no weight, two dependent ones share it equally (smallest norm, scaled), and R2 without variance is null.
+_FEW_FIT = (
+    "SELECT query_id, candidate_id, my, ma, mb, CASE WHEN la THEN cay / va ELSE 0 END AS s, "
+    "CASE WHEN NOT la THEN 0 WHEN NOT lb THEN cay / va WHEN va * vb - cab ** 2 <= 1e-9 * va * vb THEN cay / va / 2 "
+    "ELSE (cay * vb - cby * cab) / (va * vb - cab ** 2) END AS ba, "
+    "CASE WHEN NOT lb THEN 0 WHEN NOT la THEN cby / vb WHEN va * vb - cab ** 2 <= 1e-9 * va * vb THEN cby / vb / 2 "
+    "ELSE (cby * va - cay * cab) / (va * vb - cab ** 2) END AS bb FROM (SELECT *, va > 1e-18 * qa AS la, vb > 1e-18 * qb AS lb FROM "
+    "(SELECT query_id, candidate_id, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS va, var_pop(b) AS vb, avg(a * a) AS qa, "
+    "avg(b * b) AS qb, covar_pop(a, b) AS cab, covar_pop(a, y) AS cay, covar_pop(b, y) AS cby FROM xy WHERE tr GROUP BY ALL))")
+_U12 = (
+    "truth AS (SELECT query_id, candidate_id, " + rs("(n.r2 - p.r2) / abs(nullif(p.r2, 0))", 9) + " AS gain "
+    f"FROM ({_BEFORE}) p JOIN ({_AFTER}) n USING (query_id, candidate_id)), ").replace("/ var_pop(y)", "/ nullif(var_pop(y), 0)") + (
+    "base_keys AS (SELECT DISTINCT dataset_id, row_key FROM cells), "
+    "met AS (SELECT query_id, candidate_id, count(k.row_key)::DOUBLE / count(*) AS containment FROM pairs JOIN base_keys q ON q.dataset_id = query_id "
+    "LEFT JOIN base_keys k ON k.dataset_id = candidate_id AND k.row_key = q.row_key GROUP BY 1, 2), "
+    "s AS (SELECT CASE WHEN gain > 0 THEN 'gain' ELSE 'loss' END AS class, CASE WHEN containment >= 0.6 THEN 'gain' ELSE 'loss' END AS pred_class "
+    "FROM truth JOIN met USING (query_id, candidate_id)), ")
+
+
+@query("u12_candidates_by_true_gain", with_tables(
+    "", cells=lake.nation_cells_sql(), pairs=lake.NATION_PAIRS_SQL, rows=ALIGNED, xy=_XY, fit=_FEW_FIT).rstrip() + ", " + _U12 + report_sql())
 def true_gain(spark, sf):
-    """Label every candidate by the gain of joining it alone and report on a containment rule."""
+    """Label every candidate by the gain of joining it alone and report on a containment rule; what rounding leaves is no gain."""
     cells = materialise(lake.nation_cells(spark, sf))
     pairs = materialise(lake.nation_pairs(cells))
     truth = scores.relative_targets(scores.before_and_after(pairs, cells))
+    truth = truth.withColumn("gain_in_r2_score", rnd("gain_in_r2_score", 9))
     known = labels.by_threshold(truth, gain="gain_in_r2_score", out="class")
     ranked = prune.ranked_by_containment(pairs, cells).withColumn(
         "pred_class", labels.label(F.col("containment") >= 0.6))
