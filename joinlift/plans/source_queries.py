@@ -336,11 +336,14 @@ def numeric_columns(spark, sf):
 
 
 @query("s12_drop_repeated_names", with_tables(
-    "SELECT dataset_id, row_key, col, v FROM cells WHERE dataset_id = 'ship_days' AND col <> 'max_price'", cells=lake.cells_sql("ship_days", "order_days")))
+    "SELECT dataset_id, row_key, col, v FROM cells WHERE dataset_id <> 'order_days' AND regexp_replace(lower(trim(col)), '[-_\\s]', '-', 'g') NOT IN "
+    "(SELECT regexp_replace(lower(trim(name)), '[-_\\s]', '-', 'g') FROM base)",
+    cells=lake.cells_sql(), base="SELECT DISTINCT upper(replace(col, '_', ' ')) AS name FROM cells WHERE dataset_id = 'order_days'"))
 def repeated_names(spark, sf):
-    cells = lake.cells(spark, sf, "order_days", "ship_days")
+    """Every other dataset of the lake against a base whose names are written in another way."""
+    cells = lake.stored_cells(spark, sf)
     base = cells.where("dataset_id = 'order_days'").withColumn("col", F.upper(F.translate("col", "_", " ")))
-    return src.drop_repeated_names(cells.where("dataset_id = 'ship_days'"), base)
+    return src.drop_repeated_names(cells.where("dataset_id <> 'order_days'"), base)
 
 
 _BYTES = "SELECT source AS dataset_id, count(*) AS n_lines, (sum(strlen(text) + 1))::BIGINT AS n_bytes FROM documents GROUP BY 1"
