@@ -23,6 +23,8 @@ from pyspark.sql.window import Window
 SHARD_ROWS = 8_192
 QUERY_ROWS = 512
 FAN = 16
+EXACT = 2.0 ** 52          # sums of integers below this are exact in double precision
+TOO_LONG = 2.0 ** 62
 
 
 def usable(vector: Column) -> Column:
@@ -71,7 +73,7 @@ def tile_lists(vectors: DataFrame, queries: DataFrame, k: int, shards: int, kind
     def search(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
         if not len(left) or not len(right):
             return
-        for out in best_in_tiles(left.to_pandas(), right.to_pandas(), k):
+        for out in best_in_tiles(left.to_pandas(), right.to_pandas(), k, kind == "long"):
             yield out.cast(schema)
 
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()),
@@ -80,18 +82,25 @@ def tile_lists(vectors: DataFrame, queries: DataFrame, k: int, shards: int, kind
         lambda q, v: pa.Table.from_batches(list(search(q, v)), schema), f"query_id long, vec_id long, score {kind}, grp int")
 
 
-def best_in_tiles(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> Iterator[pa.RecordBatch]:
-    grp = int(vectors["grp"].iloc[0])
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products; those of integers are exact: in double precision where no sum can leave it, else in 64-bit integers."""
+    fq, fx = q.astype(np.float64, copy=False), x.astype(np.float64, copy=False)
+    if q.dtype == np.int64 and np.sqrt((fq ** 2).sum(axis=1).max() * (fx ** 2).sum(axis=1).max()) >= EXACT:
+        return q @ x.T
+    return fq @ fx.T
+
+
+def best_in_tiles(queries: pd.DataFrame, vectors: pd.DataFrame, k: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    grp, kind = int(vectors["grp"].iloc[0]), np.int64 if whole else np.float64
     for width, same in vectors.groupby(vectors["v"].map(len)):
         fitting = queries[queries["q"].map(len) == width]
-        x = matrix(same["v"])
-        ids = same["vec_id"].to_numpy(np.int64)
+        x, ids = np.array(same["v"].tolist(), kind), same["vec_id"].to_numpy(np.int64)
         for start in range(0, len(fitting), QUERY_ROWS):
             some = fitting.iloc[start:start + QUERY_ROWS]
             own = some["query_id"].to_numpy(np.int64)
-            scores = matrix(some["q"]) @ x.T
-            scores[own[:, None] == ids[None, :]] = -np.inf
-            found = [select(row, ids, k) for row in scores]
+            scores = products(np.array(some["q"].tolist(), kind), x)
+            others = [np.flatnonzero(ids != i) for i in own]
+            found = [o[select(row[o], ids[o], k)] for o, row in zip(others, scores)]
             n = [len(f) for f in found]
             at = np.concatenate(found)
             yield pa.RecordBatch.from_arrays(
@@ -102,8 +111,11 @@ def best_in_tiles(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> Itera
 def search_integers(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the exact best k by integer inner product.
 
-    Components must be integers below 2^20 in magnitude in vectors of at most 4096, so that sums in double precision are exact.
+    Vectors whose squared length is ``TOO_LONG`` or more take no part, as their scores need not fit a long.
     """
+    def short(v: str) -> Column:
+        return F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) < TOO_LONG
+    vectors, queries = vectors.where(short("v")), queries.where(short("q"))
     shards = max(1, -(-vectors.count() // shard_rows))
     lists = tile_lists(vectors, queries, k, shards, "long")
     return merge_lists(lists, shards, k)

@@ -73,6 +73,20 @@ def test_tiles_and_tree_give_the_same_lists(spark, shards, fan):
         assert [(v, s) for _, v, s in own] == want
 
 
+def test_integer_scores_are_exact_beyond_double_precision(spark):
+    big = 1 << 29
+    rows = [(0, [big, 1, 3]), (20, [7, 7, 7]), *((i, [big, i % 4, -(i % 3)]) for i in range(1, 15)), (15, [1 << 40, 0, 0]), (16, [2 ** 63 - 1, 0, 0])]
+    frame = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    q = frame.where("vec_id in (0, 15, 20)").selectExpr("vec_id as query_id", "v as q")
+    got = topk.search_integers(frame, q, 9, shard_rows=4).collect()
+    for i in (0, 20):
+        own = dict(rows)[i]
+        scores = sorted((-sum(a * b for a, b in zip(own, v)), j) for j, v in rows if j not in (i, 15, 16))
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == i) == [
+            (k + 1, j, -s) for k, (s, j) in enumerate(scores[:9])]
+    assert {r["query_id"] for r in got} == {0, 20}
+
+
 def test_multi_index_visits_all_is_exact(spark, mixed):
     got = defaultdict(list)
     found = multi_index.search(table(spark, [*mixed, (1006, [0.0] * 8)]), lambda i: i % 20 == 0, visit_share=1.0).collect()
