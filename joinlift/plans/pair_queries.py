@@ -201,12 +201,14 @@ def cyclic(spark, sf):
     return out.select("event_id", *[rnd(f"{n}_{fn}", 9).alias(f"{n}_{fn}") for n in _CYCLE for fn in ("sin", "cos")])
 
 
-@query("p18_clean_names", "SELECT raw, regexp_replace(raw, '[\\[\\]<]', '_', 'g') AS clean FROM (SELECT url AS raw FROM pages UNION ALL "
-       "SELECT p_name || '[' || p_brand || ']<' FROM part)")
+@query("p18_clean_names", "SELECT url, regexp_replace(url, '[\\[\\]<]', '_', 'g') AS clean, raw, regexp_replace(raw, '[\\[\\]<]', '_', 'g') AS name "
+       "FROM pages FULL JOIN (SELECT p_partkey, p_name || '[' || p_brand || ']<' AS raw FROM part) ON p_partkey = page_id")
 def clean_names(spark, sf):
-    pages = lake.table(spark, sf, "pages").select(F.col("url").alias("raw"))
-    part = lake.table(spark, sf, "part").select(F.concat("p_name", F.lit("["), "p_brand", F.lit("]<")).alias("raw"))
-    return pages.union(part).select("raw", splits.clean_name("raw").alias("clean"))
+    """Each page with the part of its number, and every page and part that has none beside it."""
+    pages = lake.table(spark, sf, "pages").select("page_id", "url")
+    part = lake.table(spark, sf, "part").select("p_partkey", F.concat("p_name", F.lit("["), "p_brand", F.lit("]<")).alias("raw"))
+    return pages.join(part, F.col("p_partkey") == F.col("page_id"), "full").select(
+        "url", splits.clean_name("url").alias("clean"), "raw", splits.clean_name("raw").alias("name"))
 
 
 # ---- negative pairs --------------------------------------------------------------------------

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from joinlift.operators import assoc, joins, profile, scores, splits
+from joinlift.plans import catalogue
 
 CELL = "dataset_id string, row_key string, col string, v double"
 
@@ -139,3 +140,12 @@ def test_rows_of_a_repeated_base_key_stay_apart(spark):
     model = scores.model_rows(pairs, cells).toPandas().set_index("row_id").reindex(filled.index)
     assert np.allclose(model.y, filled.t) and np.allclose(np.stack(model.qx)[:, 0], filled.a)
     assert np.allclose(np.stack(model.cx)[:, 0], filled.x)
+
+
+def test_clean_names_joins_every_page_and_part(spark, tmp_path):
+    spark.createDataFrame([(1, "a[1]"), (2, "b<"), (2, "b2"), (None, "c")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(2, "p", "q"), (3, "r", "s"), (None, "t", "u")], "p_partkey long, p_name string, p_brand string").write.parquet(
+        f"{tmp_path}/part.parquet")
+    got = sorted((tuple(r) for r in catalogue.QUERIES["p18_clean_names"](spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([("a[1]", "a_1_", None, None), ("b<", "b_", "p[q]<", "p_q__"), ("b2", "b2", "p[q]<", "p_q__"), ("c", "c", None, None),
+                          (None, None, "r[s]<", "r_s__"), (None, None, "t[u]<", "t_u__")], key=str)
