@@ -200,3 +200,11 @@ def test_prune_and_select_run(spark, wide):
     row = runs.prune_and_select("base", "y", pairs, cells, selector="elimination").first()
     assert row["r2_before"] < 0.2 and row["r2_after"] > 0.99
     assert set(row["selected"].split(",")) == {"cand0__x", "cand1__x"}
+
+
+def test_partitions_of_training_rows_stay_few(spark):
+    def parts(n):
+        return metamodel.in_fixed_order(spark.range(n), ["id"]).rdd.getNumPartitions()
+    assert (parts(0), parts(10_000), parts(45_000)) == (1, 1, 5)
+    assert parts(2_000_000) == metamodel.FEW_PARTITIONS
+    assert metamodel.partitions_of(144_000_000) == 144
