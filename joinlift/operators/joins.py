@@ -257,6 +257,6 @@ def shared_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def pair_cells(pairs: DataFrame, cells: DataFrame, side: str) -> DataFrame:
     """The cells behind one side of every pair (``query`` or ``candidate``)."""
-    ident = f"{side}_id"
-    return pairs.join(cells.withColumnRenamed("dataset_id", ident), ident).select(
-        *[c for c in PAIR if c in pairs.columns], "row_key", "col", "v")
+    ident, names = f"{side}_id", [c for c in PAIR if c in pairs.columns]
+    return meet(cells.withColumnRenamed("dataset_id", ident), materialise(pairs.select(*names)), [ident], ["row_key"]).select(
+        *names, "row_key", "col", "v")

@@ -149,3 +149,13 @@ def test_clean_names_joins_every_page_and_part(spark, tmp_path):
     got = sorted((tuple(r) for r in catalogue.QUERIES["p18_clean_names"](spark, str(tmp_path)).collect()), key=str)
     assert got == sorted([("a[1]", "a_1_", None, None), ("b<", "b_", "p[q]<", "p_q__"), ("b2", "b2", "p[q]<", "p_q__"), ("c", "c", None, None),
                           (None, None, "r[s]<", "r_s__"), (None, None, "t[u]<", "t_u__")], key=str)
+
+
+def test_cells_of_pairs_are_not_dealt_by_dataset(spark, lake):
+    pairs = spark.createDataFrame([("d0", "t", "d5"), ("d0", "t", "d5"), ("d0", "u", "d9"), (None, "t", "d1")], "query_id string, target string, candidate_id string")
+    got = joins.pair_cells(pairs, spark.createDataFrame(lake, CELL), "query")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    own = lake[lake.dataset_id == "d0"]
+    want = sorted((*p, *r) for p in (("d0", "t", "d5"), ("d0", "t", "d5"), ("d0", "u", "d9")) for r in own[["row_key", "col", "v"]].itertuples(index=False))
+    assert sorted(tuple(r) for r in got.collect()) == want
