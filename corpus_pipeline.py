@@ -24,7 +24,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays, the one of the smallest id."""
+    """One document of each group of near copies stays, the one of the smallest id: SimHash links of five-word shingles first, then
+    MinHash bands for what they leave apart, all verified at similarity 0.8."""
     return shingles.keep_first(docs, words=queries.STAGE_WORDS)
 
 

@@ -1,10 +1,13 @@
-"""Near copies by word shingles: links between texts whose sets of shingles have a Jaccard similarity of at least SIMILARITY.
+"""Near copies by SimHash, then by word shingles: links between texts whose sets of shingles have a Jaccard similarity of at least SIMILARITY.
 
-Candidates come from MinHash bands: two texts of similarity s meet in some band with chance 1 - (1 - s^ROWS)^BANDS, which is
-0.99999 at 0.8 and more above. Each candidate pair is verified by its exact similarity, so nothing below it is linked.
+First come the links of ``simhash`` (fingerprints of the same shingles within its radius), each verified by its exact
+similarity. SimHash misses many copies at 0.8, so candidates for what it leaves apart come from MinHash bands: two texts of
+similarity s meet in some band with chance 1 - (1 - s^ROWS)^BANDS, which is 0.99999 at 0.8 and more above. Each candidate
+pair is verified once, so nothing below the similarity is linked.
 
 Texts of one set of shingles are merged first. Within a band's bucket, one member of each group found so far meets the
-bucket's first one, round after round, so a dense group of n near copies costs about n pairs, not n^2. What
+bucket's first one: in the first bands, then in more (``STEPS``), then in all, round after round. What earlier bands linked is one group, so
+a dense group of n near copies costs about n pairs, neither n^2 nor n a band. What
 still shares a bucket with another group when no round links any more meets pair by pair, so no candidate is left untested.
 
 Defined cases: as in ``simhash``; texts without words are equal to each other and like no other. Sets are named by a 64-bit hash.
@@ -21,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from joinlift.llm import simhash
-from joinlift.llm.common import lookup_join, store, texts
+from joinlift.llm.common import BROADCAST_ROWS, lookup_join, store, texts
 from joinlift.llm.components import components
 
 SIMILARITY = 0.8
 BANDS = 30
 ROWS = 5
+STEPS = (2, 6, 14)         # bands that take part, before all do
 AT_ONCE = 1 << 12
 
 _RNG = np.random.default_rng(42)
@@ -36,16 +40,7 @@ _SHIFTS = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a text (A-Z folded); one shingle where it has fewer words."""
-    parts = text.lower().split()
-    k = min(words, len(parts))
-    if not k:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(parts)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    first, last = starts[:len(parts) - k + 1].tolist(), ends[k - 1:].tolist()
-    hashed = (xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(first, last))
-    return np.unique(np.fromiter(hashed, np.uint64, len(first)))
+    return np.unique(simhash.shingle_hashes(text, words))
 
 
 def set_name(shingles: np.ndarray) -> int:
@@ -74,14 +69,17 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(id, fp, bands) of every row: fp names the set of shingles."""
+    """(id, fp, sim, bands) of every row: fp names the set of shingles, sim is the SimHash fingerprint of all shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, words) for t in texts(batch.column(1))]
+            hashes = [simhash.shingle_hashes(t, words) for t in texts(batch.column(1))]
+            sim = np.array([simhash.majority(h) for h in hashes], np.uint64).view(np.int64)
+            sets = [np.unique(h) for h in hashes]
             fp = np.array([set_name(s) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), _lists([bands(s) for s in sets])], ["id", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(sim), _lists([bands(s) for s in sets])],
+                                             ["id", "fp", "sim", "bands"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, "id long, fp long, bands array<long>")
+    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, "id long, fp long, sim long, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text: str, words: int) -> DataFrame:
@@ -99,42 +97,70 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str, words: int) -> DataFram
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of at least this similarity; a join splits the partition of a set that many pairs hold."""
-    both = pairs.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b").join(
-        sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
+    """The pairs (a, b; stored) of at least this similarity; a join splits the partition of a set that many pairs hold."""
+    x, y = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
+    if pairs.count() <= BROADCAST_ROWS:          # only the sets that they name travel
+        x = x.join(F.broadcast(pairs.select("a").distinct()), "a", "left_semi")
+        pairs = F.broadcast(pairs)
+    both = y.join(pairs, "b").join(x, "a")
     x, y = F.size("x"), F.size("y")
     both = both.where(F.least(x, y) >= F.greatest(x, y) * similarity)
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= (x + y - common) * similarity).select("a", "b")
 
 
+def _by_simhash(rows: DataFrame) -> DataFrame:
+    """Stored (a, b), a < b: sets that SimHash links; ``rows``: stored sketches."""
+    each = rows.select("fp", "sim").distinct()
+    distinct = store(each.groupBy(F.col("sim").alias("fp")).agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("first")))
+    first = distinct.select(F.col("fp").alias("sim"), "n", "first")
+    within = lookup_join(each, first, "sim", "n").select(F.col("first").alias("u"), F.col("fp").alias("v"))
+    across = simhash.links(distinct).join(first.select(F.col("sim").alias("a"), F.col("first").alias("u")), "a").join(
+        first.select(F.col("sim").alias("b"), F.col("first").alias("v")), "b").select("u", "v")
+    return store(within.unionByName(across).where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
+
+
 def links(docs: DataFrame, rows: DataFrame, text: str, words: int, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): links that connect the same sets as all candidates of at least this similarity do. ``rows``: stored sketches."""
-    raw = rows.select("fp", F.explode("bands").alias("band"))
+    raw = rows.select("fp", F.posexplode("bands").alias("nr", "band"))
     buckets = store(raw.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("x"), F.max("fp").alias("y"))
                     .where("x <> y").select("band", "n", F.lit(True).alias("hit")))
-    entries = store(lookup_join(raw, buckets, "band", "n").where("hit").select("band", "fp").distinct())
-    wanted = store(rows.join(entries.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
+    entries = store(lookup_join(raw, buckets, "band", "n").where("hit").select("nr", "band", "fp").distinct())
+    tested = _by_simhash(rows)
+    named = entries.select("fp").unionByName(tested.select(F.col("a").alias("fp"))).unionByName(tested.select(F.col("b").alias("fp")))
+    wanted = store(rows.join(named.distinct(), "fp", "left_semi").groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
     sets = _sets(docs, wanted, text, words)
-    found = entries.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    members = entries.withColumn("label", F.col("fp"))
-    turn = 0
+    found = store(_similar(tested, sets, similarity))
+
+    def grouped() -> DataFrame:
+        labels = components(found, "a", "b").select(F.col("node").alias("fp"), F.col("component").alias("label"))
+        return store(entries.join(labels, "fp", "left").select("nr", "band", "fp", F.coalesce("label", "fp").alias("label")))
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        return store(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+
+    members, turn = grouped(), 0
     while True:
-        one = store(members.groupBy("band", "label").agg(F.min_by("fp", F.xxhash64("fp", F.lit(turn))).alias("b")))
+        upto = STEPS[turn] if turn < len(STEPS) else BANDS
+        one = store(members.where(F.col("nr") < upto).groupBy("band", "label").agg(F.min_by("fp", F.xxhash64("fp", F.lit(turn))).alias("b")))
         open_ = store(one.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("a")).where("n > 1"))
+        turn += 1
         if open_.isEmpty():
-            return found
-        pairs = lookup_join(one, open_, "band", "n").where("a is not null and a <> b").select("a", "b").distinct()
+            if upto == BANDS:
+                return found
+            continue
+        pairs = untested(lookup_join(one, open_, "band", "n").where("a is not null and a <> b"))
         new = store(_similar(pairs, sets, similarity))
-        if new.isEmpty():
+        tested = tested.unionByName(pairs)
+        if not new.isEmpty():
+            found = store(found.unionByName(new))
+            members = grouped()
+        elif upto == BANDS:
             break
-        found = store(found.unionByName(new))
-        labels = components(found, "a", "b").select(F.col("node").alias("fp"), F.col("component").alias("label"))
-        members = store(entries.join(labels, "fp", "left").select("band", "fp", F.coalesce("label", "fp").alias("label")))
-        turn += 1
     rest = store(lookup_join(members, open_.drop("a").withColumn("hit", F.lit(True)), "band", "n").where("hit").drop("hit"))
-    pairs = rest.select("band", F.col("fp").alias("a"), F.col("label").alias("l")).join(
-        rest.select("band", F.col("fp").alias("b"), F.col("label").alias("m")), "band").where("l < m").select("a", "b").distinct()
+    pairs = untested(rest.select("band", F.col("fp").alias("u"), F.col("label").alias("l")).join(
+        rest.select("band", F.col("fp").alias("v"), F.col("label").alias("m")), "band").where("l < m").select(
+        F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
     return store(found.unionByName(_similar(pairs, sets, similarity)))
 
 

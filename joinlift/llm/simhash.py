@@ -34,22 +34,31 @@ CHUNK = 2_048
 HASHES_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """64-bit SimHash of the word shingles of a text (A-Z folded, repeats counted); no words: zero."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """64-bit hashes of the word shingles of a text (A-Z folded, repeats included); one shingle where it has fewer words."""
     parts = text.lower().split()
-    if not parts:
-        return 0
+    k = min(words, len(parts))
+    if not k:
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    k = min(words, len(parts))
     first, last = starts[:len(parts) - k + 1].tolist(), ends[k - 1:].tolist()
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(first, last)), np.uint64, len(first))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have; none: zero."""
     ones = np.zeros(BITS, np.int64)
-    for i in range(0, len(first), HASHES_AT_ONCE):
-        cut = slice(i, i + HASHES_AT_ONCE)
-        h = np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(first[cut], last[cut])], "<u8")
+    for i in range(0, len(hashes), HASHES_AT_ONCE):
+        h = hashes[i:i + HASHES_AT_ONCE].astype("<u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(first), bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: bytes, words: int) -> int:
+    """64-bit SimHash of the word shingles of a text (A-Z folded, repeats counted); no words: zero."""
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:

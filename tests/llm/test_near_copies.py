@@ -66,3 +66,18 @@ def test_bands_meet_as_often_as_similarity_says():
         x, y = np.unique(np.concatenate([common, own[:100]])), np.unique(np.concatenate([common, own[100:]]))
         met += (shingles.bands(x) == shingles.bands(y)).sum()
     assert abs(met / 300 / shingles.BANDS - 0.8 ** shingles.ROWS) < 0.03
+
+
+def test_stage_takes_the_links_of_simhash(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(f"w{x}" for x in rng.integers(0, 5000, 400)), "", None]
+    frame = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], SCHEMA)
+    named = [np.uint64(shingles.set_name(shingles.shingle_set(t.encode(), 5))).view(np.int64) for t in texts[:2]]
+    rows = shingles.store(shingles.sketches(frame, "doc_id", "text", 5))
+    assert [sorted(r) for r in shingles._by_simhash(rows).collect()] == [sorted(named)]
+    seen = []
+    found = shingles.simhash.links
+    monkeypatch.setattr(shingles.simhash, "links", lambda *a: seen.append(a) or found(*a))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame, "").collect()) == [0, 2, 3]
+    assert len(seen) == 1
