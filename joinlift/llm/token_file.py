@@ -32,6 +32,7 @@ BLOCK = 4_096
 PERCENTILE = 98.0
 SEGMENT_IDS = 1 << 18      # a segment is closed after so many ids; a longer document makes a longer one
 END_ID = 0
+AT_ONCE = 256              # new pieces that are looked at for white space together
 CACHED = 800_000           # pieces of text whose ids a worker remembers
 
 _HEAD = np.dtype([("base", "<u4"), ("n", "<u2"), ("width", "u1"), ("exceptions", "<u2")])
@@ -150,8 +151,14 @@ class Encoder:
 
     def _know(self, new: set[str]) -> None:
         """Remembers pieces. Those without any white space are split in one go: only their first words start with a space."""
-        plain = [p for p in new if p.split() == [p]]
-        other = list(new.difference(plain))
+        plain, other, every = [], [], list(new)
+        for i in range(0, len(every), AT_ONCE):
+            some = every[i:i + AT_ONCE]
+            if " ".join(some).split() == some:
+                plain += some
+            else:
+                for p in some:
+                    (plain if p.split() == [p] else other).append(p)
         self.known.update(zip(other, self._ids([" " + p for p in other])))
         if plain:
             words = self.pattern.findall(" " + " ".join(plain))
@@ -178,9 +185,17 @@ class Encoder:
             self.known.clear()
             self.words.clear()
         heads = self._ids([pieces[0] for pieces in cut])
-        self._know(set(chain.from_iterable(islice(pieces, 1, None) for pieces in cut)).difference(self.known))
-        known = self.known.__getitem__
-        return [head + b"".join(map(known, islice(pieces, 1, None))) for head, pieces in zip(heads, cut)]
+        known, out, late = self.known.__getitem__, [], []
+        for i, pieces in enumerate(cut):         # a text of known pieces takes one look at each; the others' new ones are learned at once
+            try:
+                out.append(heads[i] + b"".join(map(known, islice(pieces, 1, None))))
+            except KeyError:
+                out.append(b"")
+                late.append(i)
+        self._know(set(chain.from_iterable(islice(cut[i], 1, None) for i in late)).difference(self.known))
+        for i in late:
+            out[i] = heads[i] + b"".join(map(known, islice(cut[i], 1, None)))
+        return out
 
 
 def _segment(part: int, seq: int, first: int, docs: list[tuple[int | None, np.ndarray]]) -> dict:

@@ -402,3 +402,13 @@ def test_quality_on_hostile_and_empty(spark, docs, none):
     empty = quality.fit(none, labels)
     assert quality.keep_good(none, empty).count() == 0
     assert {r["score"] for r in quality.score(docs.select("doc_id", "text"), empty).collect()} == {0.5}
+
+
+def test_pieces_with_white_space_among_many_plain_ones():
+    path, pattern = queries.tokenizer("byte_bpe_50k.json"), queries.split_pattern()
+    new = {*(f"w{i}" for i in range(token_file.AT_ONCE * 3)), "", "a\tb", "c\n", "\u00a0d", "e\u2003f"}
+    many, single = token_file.Encoder(path, pattern), token_file.Encoder(path, pattern)
+    many._know(new)
+    assert many.known == dict(zip(new, single._ids([" " + p for p in new])))
+    texts = ["w1 w2 w3", "w1 new w2", "", "w5\tx w6  y"]
+    assert many.encode(texts) == [np.array(many.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
