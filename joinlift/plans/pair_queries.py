@@ -6,6 +6,7 @@ from joinlift.functions import hash_order
 from joinlift.operators import joins, labels, profile, prune, rank, report, scores, splits
 from joinlift.plans import testlake as lake
 from joinlift.plans.registry import hash_sql, md5_sql, query, rnd, rnd_sql as rs, with_tables
+from joinlift.schema import PAIR
 
 S = dict(s=lake.SCORED_SQL)
 ID = "query_id, candidate_id"
@@ -373,7 +374,8 @@ _SCORES = {"real_rank": "gain", "pred_rank": "predicted_gain"}
 
 
 def _ranked(spark, sf, extra=None):
-    return rank.rank_candidates(lake.scored(spark, sf), {**_SCORES, **(extra or {})})
+    by = {**_SCORES, **(extra or {})}
+    return rank.rank_candidates(lake.scored(spark, sf).select(*PAIR, *by.values()), by)
 
 
 @query("r01_rankings", with_tables(f"SELECT {ID}, real_rank, pred_rank, cont_rank, pear_rank FROM r", **R))
