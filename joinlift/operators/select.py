@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from joinlift.functions import average_ranks, hash32, hash_order, materialise, pearson
+from joinlift.functions import average_ranks, hash32, hash_order, materialise, meet, pearson
 from joinlift.operators.forests import fit_forests, forest_importances
 from joinlift.operators.metamodel import DEPTH, in_fixed_order
 from joinlift.operators.products import Products, solve
@@ -70,17 +70,31 @@ def by_correlation(cells: DataFrame, group: Sequence[str] = ()) -> DataFrame:
 
 
 def binned(cells: DataFrame, bins: int, group: Sequence[str] = (), **kw) -> DataFrame:
-    """x and y replaced by equal-count bins; equal values share a bin (by their average rank)."""
+    """x and y replaced by equal-count bins; equal values share a bin (by their average rank).
+
+    Bins rise with the value, so the largest value of each says where it ends: a feature's few cuts meet its cells, whose bins
+    are looked up. No cell meets another by its value, however frequent that is.
+    """
     g = [*group, "col"]
     cells = materialise(cells)
-    def bin_of(side):
+    def cuts_of(side):
         counts = cells.groupBy(*g, side).agg(F.count(F.lit(1)).alias("c"))
         ranks = average_ranks(counts, g, side, "c", f"__r_{side}", "__n", **kw)
-        return ranks.select(*g, side, F.floor((F.col(f"__r_{side}") - 0.5) * bins / F.col("__n"))
-                            .alias(f"b{side}"))
-    return cells.join(bin_of("x").hint("merge"), [*g, "x"]).join(
-        bin_of("y").hint("merge"), [*g, "y"]).groupBy(*g, "bx", "by").agg(
-        F.count(F.lit(1)).alias("c"))
+        ends = ranks.where(F.col(side).isNotNull()).groupBy(
+            *g, F.floor((F.col(f"__r_{side}") - 0.5) * bins / F.col("__n")).alias("b")).agg(F.max(side).alias("end"))
+        # at most one cut per bin
+        sorted_ = ends.groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("end", "b"))).alias("__cuts"))
+        return sorted_.select(*g, F.col("__cuts.end").alias(f"__ends_{side}"), F.col("__cuts.b").alias(f"__bins_{side}"))
+    cuts = materialise(cuts_of("x").join(cuts_of("y"), g))
+    met = meet(cells.where("x is not null and y is not null").select(*g, "x", "y"), cuts, g, ["x", "y"])
+    for side in ("x", "y"):
+        # a binary search in plain steps, which compile; array functions would run interpreted for every cell
+        met = met.withColumn("__at", F.lit(0))
+        for step in (2 ** i for i in range(bins.bit_length() - 1, -1, -1)):
+            below = F.get(f"__ends_{side}", F.col("__at") + F.lit(step - 1)) < F.col(side)
+            met = met.withColumn("__at", F.when(below, F.col("__at") + F.lit(step)).otherwise(F.col("__at")))
+        met = met.withColumn(f"b{side}", F.get(f"__bins_{side}", F.col("__at")))
+    return met.groupBy(*g, "bx", "by").agg(F.count(F.lit(1)).alias("c"))
 
 
 def mutual_information(cells: DataFrame, bins: int = 32, group: Sequence[str] = (),
