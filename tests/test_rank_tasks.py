@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from joinlift.functions import spread
-from joinlift.operators import assoc, rank
+from joinlift.operators import assoc, rank, select
 
 
 def pairs(n_queries=4, seed=3):
@@ -70,3 +70,43 @@ def test_harmonic_numbers(spark):
     from pyspark.sql import functions as F
     got = [r[0] for r in spark.createDataFrame([(k,) for k in ks], "k long").select(rank.harmonic(F.col("k"))).collect()]
     assert got == pytest.approx([sum(1 / i for i in range(1, k + 1)) for k in ks], rel=1e-14)
+
+
+@pytest.mark.parametrize("group", [["g"], ["g", "h"], []])
+def test_median_of_large_groups_orders_the_middle_only(spark, monkeypatch, group):
+    def refuse(*a, **kw):
+        raise AssertionError("all values ordered")
+    monkeypatch.setattr(spread, "_in_ranges", refuse)
+    rng = np.random.default_rng(7)
+    table = pd.DataFrame(dict(g=rng.integers(0, 3, 4000).astype(str), h=1, v=rng.normal(size=4000)))
+    got = spread.group_median(spark.createDataFrame(table), group, "v", split_rows=100).toPandas()
+    if not group:
+        assert got["median"].tolist() == [table.v.median()]
+    else:
+        assert got.set_index("g")["median"].to_dict() == pytest.approx(table.groupby("g").v.median().to_dict())
+
+
+def test_median_where_a_bracket_cannot_hold(spark, monkeypatch):
+    monkeypatch.setattr(spread, "_near_middle", lambda *a: None)
+    v = list(np.arange(301.0))
+    assert spread.group_median(spark.createDataFrame([(float(x),) for x in v], "v double"), [], "v", split_rows=100, slots=4).first()[0] == 150.0
+
+
+def test_bins_are_looked_up_not_joined_by_value(spark):
+    """A value that fills a column is no key of a join; bins are those of the average ranks."""
+    rng = np.random.default_rng(8)
+    n = 600
+    table = pd.DataFrame(dict(col="a", x=np.where(rng.random(n) < 0.7, 5.0, rng.normal(size=n).round(1)), y=rng.normal(size=n).round(1)))
+    table.loc[::50, "x"] = None
+    sdf = spark.createDataFrame([(c, None if x != x else float(x), float(y)) for c, x, y in table.itertuples(index=False)], "col string, x double, y double")
+    out = select.binned(sdf, 8)
+    assert "[x#" not in "".join(l for l in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in l)
+    got = {(r["bx"], r["by"]): r["c"] for r in out.collect()}
+    def bins(v):
+        return np.floor((pd.Series(v).rank(method="average", na_option="top") - 0.5) * 8 / n)
+    bx, by = bins(table.x), bins(table.y)
+    want = {}
+    for a, b, x in zip(bx, by, table.x):
+        if x == x:
+            want[int(a), int(b)] = want.get((int(a), int(b)), 0) + 1
+    assert got == want
