@@ -23,17 +23,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node above (``a``) has one node below it (``b``), which is below none: the smallest of its component."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("above"), F.lit(0).alias("below")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("above"), F.lit(1).alias("below")))
+    roles = ends.groupBy("node").agg(F.sum("above").alias("above"), F.max("below").alias("below"))
+    return roles.where("above + below > 1").isEmpty()
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node that each linked node reaches. Nodes without links are left out.
 
-    Each round's links are a table in the shared folder, so lineage stays short; the number of rounds grows with the
+    Each star's links are a table in the shared folder, so lineage and plans stay short; the number of rounds grows with the
     logarithm of the number of nodes. Self links and repeated links do no harm; no links give an empty table.
     """
-    edges = store(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
-    before = None
-    while True:
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if state == before or state[0] == 0:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before = state
-        edges = store(_star(_star(edges, large=True), large=False))
+    edges = store(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
+    while not _are_stars(edges):
+        edges = store(_star(store(_star(edges, large=True)), large=False))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

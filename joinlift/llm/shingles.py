@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from joinlift.functions import meet
 from joinlift.llm import simhash
 from joinlift.llm.common import BROADCAST_ROWS, lookup_join, store, texts
 from joinlift.llm.components import components
@@ -120,6 +121,18 @@ def _by_simhash(rows: DataFrame) -> DataFrame:
     return store(within.unionByName(across).where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
 
 
+def _merged(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored (fp, label) after the links ``new`` (stored: a, b): only the groups that they connect go through the stars again."""
+    ends = new.select(F.col("a").alias("fp")).unionByName(new.select(F.col("b").alias("fp"))).distinct()
+    named = store(ends.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")))
+    a, b = named.select(F.col("fp").alias("a"), F.col("label").alias("u")), named.select(F.col("fp").alias("b"), F.col("label").alias("v"))
+    roots = components(new.join(a, "a").join(b, "b"), "u", "v").select(F.col("node").alias("label"), "component")
+    # a group's first set has no row until now
+    others = named.unionByName(roots.select(F.col("label").alias("fp"), "label")).distinct()
+    every = labels.unionByName(others.join(labels.select("fp"), "fp", "left_anti"))
+    return store(meet(every, roots, ["label"], ["fp"], "left").select("fp", F.coalesce("component", "label").alias("label")))
+
+
 def links(docs: DataFrame, rows: DataFrame, text: str, words: int, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): links that connect the same sets as all candidates of at least this similarity do. ``rows``: stored sketches."""
     raw = rows.select("fp", F.posexplode("bands").alias("nr", "band"))
@@ -133,12 +146,12 @@ def links(docs: DataFrame, rows: DataFrame, text: str, words: int, similarity: f
     found = store(_similar(tested, sets, similarity))
 
     def grouped() -> DataFrame:
-        labels = components(found, "a", "b").select(F.col("node").alias("fp"), F.col("component").alias("label"))
         return store(entries.join(labels, "fp", "left").select("nr", "band", "fp", F.coalesce("label", "fp").alias("label")))
 
     def untested(pairs: DataFrame) -> DataFrame:
         return store(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
 
+    labels = components(found, "a", "b").select(F.col("node").alias("fp"), F.col("component").alias("label"))
     members, turn = grouped(), 0
     while True:
         upto = STEPS[turn] if turn < len(STEPS) else BANDS
@@ -154,6 +167,7 @@ def links(docs: DataFrame, rows: DataFrame, text: str, words: int, similarity: f
         tested = tested.unionByName(pairs)
         if not new.isEmpty():
             found = store(found.unionByName(new))
+            labels = _merged(labels, new)
             members = grouped()
         elif upto == BANDS:
             break
