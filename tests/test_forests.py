@@ -101,3 +101,26 @@ def test_empty_and_missing(spark):
     out = {r["id"]: r["yhat"] for r in predict_forests(rows, grown, ["g"], ["id"]).collect()}
     assert set(out) == {"1", "2", "3", "4"} and out["4"] == 1.0 and 2.0 <= out["1"] <= 4.0
     assert fit_forests(rows.limit(0), ["g"], ["id"], trees=2).count() == 0
+
+
+def test_blocks_are_summed_in_slices(monkeypatch):
+    rng = np.random.default_rng(8)
+    bins, h = rng.integers(0, BINS, (700, 5)).astype(np.uint8), rng.integers(0, 2 ** 63, 700).astype(np.uint64)
+    y = np.where(bins[:, 0] > 9, 4.0, 1.0) + bins[:, 1]
+    whole = grow(bins, y, h, 3, 1, 6, 0.5).row([list(range(BINS))] * 5, 0.0)
+    monkeypatch.setattr(forests, "SLICE_ROWS", 64)
+    parts = forests.grow_from([(bins[i:j], y[i:j], h[i:j]) for i, j in ((0, 300), (300, 301), (301, 700))], 3, 1, 6, 0.5).row([list(range(BINS))] * 5, 0.0)
+    assert whole[:5] == parts[:5] and whole[6] == parts[6] and np.allclose(whole[5], parts[5]) and np.allclose(whole[7], parts[7])
+    w = np.bincount(np.searchsorted(forests.POISSON, (forests._mix(h ^ forests._of(3, 1)) >> np.uint64(11)).astype(float) / 2.0 ** 53, "right"))
+    assert (np.bincount(draws(h, 3, 1).astype(int)) == w).all()
+
+
+@pytest.mark.parametrize("most", [10 ** 9, 0])
+def test_each_group_may_have_its_own_seed(spark, most):
+    x, y = data(300, 4, 9)
+    rows = spark.createDataFrame(pd.DataFrame([(s, f"{i}", r.tolist(), float(v)) for s in (5, 8) for i, (r, v) in enumerate(zip(x, y))],
+                                              columns=["round", "id", "xs", "y"]), "round int, id string, xs array<double>, y double")
+    got = {(r["seed"], r["tree"]): r for r in fit_forests(rows, ["round"], ["id"], trees=2, depth=3, seeds=None, local_numbers=most).collect()}
+    assert set(got) == {(s, t) for s in (5, 8) for t in range(2)} and all(r["round"] == s for (s, _), r in got.items())
+    alone = fit_forests(rows.where("round = 8"), ["round"], ["id"], trees=2, depth=3, seeds=(8,)).collect()
+    assert all(got[8, r["tree"]]["cut"] == r["cut"] for r in alone)
