@@ -208,3 +208,19 @@ def test_partitions_of_training_rows_stay_few(spark):
     assert (parts(0), parts(10_000), parts(45_000)) == (1, 1, 5)
     assert parts(2_000_000) == metamodel.FEW_PARTITIONS
     assert metamodel.partitions_of(144_000_000) == 144
+
+
+def test_rounds_of_shadows_share_jobs_only_where_they_are_sure(spark, monkeypatch):
+    assert select._sure_rounds(0, 20, {"a": 0, "b": 0}, ["a", "b"], 0.05 / 7) == 8       # 0.5^8 < 0.05/7
+    assert select._sure_rounds(8, 20, {"a": 4}, ["a"], 0.05 / 7) == next(
+        t for t in range(9, 21) if t == 20 or select._at_least(t - 4, t) < 0.05 / 7) - 8
+    rng = np.random.default_rng(3)
+    rows = [(str(i), float(a), float(b), float(3.0 * a + 0.01 * n)) for i, (a, b, n) in enumerate(rng.normal(size=(200, 3)))]
+    t = spark.createDataFrame(rows, "k string, a double, b double, y double")
+    turns = []
+    made = select._shadow_weights
+    monkeypatch.setattr(select, "_shadow_weights", lambda *a: turns.append(len(a[4])) or made(*a))
+    one = select.shadow_selection(t, "k", "y", ["a", "b"], rounds=7, trees=3, depth=3)
+    assert turns[0] == 6 and one["a"] == "confirmed"
+    monkeypatch.setattr(select, "ROUND_ROWS", 1)
+    assert select.shadow_selection(t, "k", "y", ["a", "b"], rounds=7, trees=3, depth=3) == one and set(turns[-7:]) >= {1}
