@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from joinlift.functions import meet
 from joinlift.llm import simhash
-from joinlift.llm.common import BROADCAST_ROWS, lookup_join, store, texts
+from joinlift.llm.common import BROADCAST_ROWS, flat_bytes, lookup_join, slices, store, texts
 from joinlift.llm.components import components
 
 SIMILARITY = 0.8
@@ -33,6 +33,7 @@ BANDS = 30
 ROWS = 5
 STEPS = (2, 6, 14)         # bands that take part, before all do
 AT_ONCE = 1 << 12
+PIECE_BYTES = 2 << 20      # of texts whose shingles a task holds at once
 
 _RNG = np.random.default_rng(42)
 _FACTORS = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
@@ -69,10 +70,17 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64), pa.int64()))
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows of about PIECE_BYTES of text: shingles take several times the memory of their text."""
+    for batch in batches:
+        for first, last in slices(flat_bytes(batch.column(column))[1], PIECE_BYTES):
+            yield batch.slice(first, last - first)
+
+
 def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """(id, fp, sim, bands) of every row: fp names the set of shingles, sim is the SimHash fingerprint of all shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             hashes = [simhash.shingle_hashes(t, words) for t in texts(batch.column(1))]
             sim = np.array([simhash.majority(h) for h in hashes], np.uint64).view(np.int64)
             sets = [np.unique(h) for h in hashes]
@@ -86,7 +94,7 @@ def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, text: str, words: int) -> DataFrame:
     """Stored (fp, shingles) of the sets in ``wanted`` (stored: fp, n)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 0):
             sets = [shingle_set(t, words) for t in texts(batch.column(0))]
             fp = np.array([set_name(s) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(fp), _lists(sets)], ["fp", "shingles"])

@@ -1,6 +1,7 @@
 """The pipeline's near-copy stage against exact shingle similarity."""
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from joinlift.llm import shingles
@@ -81,3 +82,12 @@ def test_stage_takes_the_links_of_simhash(spark, monkeypatch):
     monkeypatch.setattr(shingles.simhash, "links", lambda *a: seen.append(a) or found(*a))
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame, "").collect()) == [0, 2, 3]
     assert len(seen) == 1
+
+
+def test_shingles_are_made_of_few_texts_at_a_time(monkeypatch):
+    monkeypatch.setattr(shingles, "PIECE_BYTES", 10)
+    column = pa.array(["a b c", None, "d" * 30, "", "e f", "g h i j"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), column], ["id", "text"])
+    runs = list(shingles.pieces(iter([batch, batch.slice(0, 0), batch.slice(3)]), 1))
+    assert [r["id"].to_pylist() for r in runs] == [[0, 1], [2], [3, 4, 5], [3, 4, 5]]
+    assert pa.Table.from_batches(runs)["text"].to_pylist() == column.to_pylist() + column.to_pylist()[3:]
