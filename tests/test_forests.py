@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from joinlift.operators import forests
 from joinlift.operators.forests import BINS, best_splits, chosen, draws, fit_forests, forest_importances, grow, predict_forests, sums_by_bin
@@ -124,3 +125,28 @@ def test_each_group_may_have_its_own_seed(spark, most):
     assert set(got) == {(s, t) for s in (5, 8) for t in range(2)} and all(r["round"] == s for (s, _), r in got.items())
     alone = fit_forests(rows.where("round = 8"), ["round"], ["id"], trees=2, depth=3, seeds=(8,)).collect()
     assert all(got[8, r["tree"]]["cut"] == r["cut"] for r in alone)
+
+
+def test_shares_of_few_groups_have_a_task_each(spark):
+    groups = spark.createDataFrame([("a", 1), (None, 1), ("b", None)], "g string, h int")
+    turns = forests._turns(groups, ["g", "h"], 6, 40)
+    found = turns.select("g", "h", "__share", "__turn", F.pmod(F.hash("g", "h", "__turn"), F.lit(40)).alias("task")).toPandas()
+    assert len(found) == 18 and found.task.nunique() == 18 and set(found["__share"]) == set(range(6))
+    dealt = turns.repartition(40, "g", "h", "__turn").select(F.spark_partition_id().alias("at"), "__turn").toPandas()
+    assert dealt["at"].nunique() == 18                                                   # where Spark's own shuffle sends them
+    many = forests._turns(groups, ["g", "h"], 6, 17).toPandas()
+    assert len(many) == 18 and (many["__share"] == many["__turn"]).all()
+
+
+def test_rows_on_their_way_are_found_again(spark):
+    x, y = data(900, 4, 11)
+    rows = frame(spark, [("a", x, y)])
+    made = {}
+    for most in (10 ** 9, 0):
+        made[most] = sorted((r["tree"], tuple(r["node"]), tuple(r["cut"]), tuple(r["weight"])) for r in
+                            fit_forests(rows, ["g"], ["id"], trees=13, depth=6, local_numbers=most).collect())
+    assert made[0] == made[10 ** 9] and [t[0] for t in made[0]] == list(range(13))
+    h = np.random.default_rng(1).integers(0, 2 ** 63, 5000).astype(np.uint64)
+    kept = h.copy()
+    u = forests._mix(h ^ forests._of(7, 3))
+    assert (draws(h, 7, 3) == np.searchsorted(forests.POISSON, (u >> np.uint64(11)).astype(float) / 2.0 ** 53, "right")).all() and (h == kept).all()
