@@ -258,7 +258,7 @@ def _records(spark, sf):
 def training_records(spark, sf):
     """Write training records as JSON lines and parse them again."""
     path = _fresh(spark)
-    src.write_records(_records(spark, sf), path)
+    src.write_records(_records(spark, sf), path, "gzip")
     return src.record_pairs(src.read_records(spark, path)).select(
         "query_id", "candidate_id", "target", "imputation_strategy", "mark", "mae_before", "mae_after",
         "r2_before", "r2_after")

@@ -357,8 +357,9 @@ def instance_parts(instances: DataFrame) -> DataFrame:
 
 # ---- sinks -----------------------------------------------------------------------------------
 
-def write_records(records: DataFrame, path: str) -> None:
-    records.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_records(records: DataFrame, path: str, compression: str = "none") -> None:
+    """One JSON object per line; field names repeat in each, so large sets are best compressed (``gzip``), which ``read_records`` reads too."""
+    records.write.mode("overwrite").option("ignoreNullFields", "false").json(path, compression=compression)
 
 
 def write_instances(instances: DataFrame, path: str) -> None:

@@ -150,3 +150,15 @@ def test_what_became_of_candidate_files(spark, tmp_path):
     assert sorted((r["row_id"], r["row_key"], r["v"]) for r in base.where("row_key is not null").collect()) == [("1", "1", 2.0), ("2", "1", 3.0)]
     with pytest.raises(ValueError):
         lake.read_candidates(spark, str(tmp_path), "nowhere", sep=";")
+
+
+def test_compressed_records_are_read_again(spark, tmp_path):
+    records = spark.createDataFrame([(f"q{i}", "t", f"c{i}", None, "positive", [0.5, 0.25 * i]) for i in range(500)],
+                                    "query_dataset string, target string, candidate_dataset string, imputation_strategy string, mark string, r2_score array<double>")
+    sizes, found = [], []
+    for how in ("none", "gzip"):
+        path = str(tmp_path / how)
+        lake.write_records(records, path, how)
+        sizes.append(sum(f.stat().st_size for f in (tmp_path / how).glob("part-*")))
+        found.append(sorted(map(str, lake.read_records(spark, path).collect())))
+    assert found[0] == found[1] and len(found[0]) == 500 and sizes[1] * 4 < sizes[0]
